@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, decontaminate, line_dedup, simhash
 
-QUERIES = {"op8_line_dedup": line_dedup.query}
-ORACLES = {"op8_line_dedup": line_dedup.SQL}
+QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op2_bpe": bpe.query,
+    "op3_simhash": simhash.query,
+    "op8_line_dedup": line_dedup.query,
+}
+ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_line_dedup": line_dedup.SQL}
