@@ -76,11 +76,9 @@ class TrieEncoder:
             if c not in self.rank:
                 self.rank[c], self.parts[c] = r, (a, b)
         self.ids, self.suffix = ids, vocabulary.suffix
-        self.longest: dict[str, int] = {}
-        for t in ids:
-            last, size = (t[-len(self.suffix) - 1 :], len(t) - len(self.suffix)) if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else (t[-1], len(t))
-            self.longest[last] = max(self.longest.get(last, 0), size)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
+        self.begun = {t[:k] for t in ids for k in range(1, len(t) + 1)}  # what tokens begin with
+        self.moves: dict[str, tuple[str, list[tuple[int, int]]]] = {}
 
     def _is_stable(self, left: int, right: int) -> bool:
         """Whether BPE leaves this pair of tokens apart: undo their merges, latest first, and look for one across the
@@ -99,65 +97,63 @@ class TrieEncoder:
             else:  # of equal pairs the left one is merged first, so one across the border would have come before
                 limit, b = rb + 1, parts[b][0]
 
-    def encode(self, words: Iterable[str], trie_words: int = 20_000) -> dict[str, list[int]]:
-        """Ids of distinct byte-symbol words, by tries of at most ``trie_words`` words that are neighbours in sorted order."""
+    def _move(self, key: str, symbol: str) -> tuple[str, list[tuple[int, int]]]:
+        """The longest end of ``key`` that some token begins with, and the tokens that are ends of it, longest first,
+        with their numbers of symbols. ``key`` ends in ``symbol``, which may carry the end-of-word suffix."""
+        state, extra = key, len(symbol) - 1
+        while state not in self.begun:
+            state = state[1:]
+        ends = [(len(state) - k - extra, t) for k in range(len(state) - extra) if (t := self.ids.get(state[k:])) is not None]
+        if len(self.moves) > 1_000_000:
+            self.moves.clear()
+        made = self.moves[key] = (state, ends)
+        return made
+
+    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of distinct byte-symbol words. In sorted order the words are the leaves of their trie as a depth-first
+        traversal meets them; the branch to the current leaf is kept, with each prefix's last token, and the
+        traversal returns to where the next word leaves it."""
         out: dict[str, list[int]] = {}
-        ordered = sorted(words)
-        for at in range(0, len(ordered), trie_words):
-            trie: dict = {}
-            for word in ordered[at : at + trie_words]:
-                node = trie
-                for symbol in word[:-1]:
-                    node = node.setdefault(symbol, {})
-                node.setdefault(word[-1] + self.suffix, {})[""] = word
-            self._walk(trie, out)
-        return out
-
-    def _walk(self, trie: dict, out: dict[str, list[int]]) -> None:
-        ids, stable, longest = self.ids, self.stable, self.longest
+        moves, stable, suffix = self.moves, self.stable, self.suffix
         if len(stable) > 2_000_000:
             stable.clear()
-        path: list[str] = []  # symbols to here
-        last: list[int] = []  # last token of the encoding of each prefix
-        size: list[int] = []  # its symbols
-        stack = [(0, s, child) for s, child in trie.items()]
-        while stack:
-            depth, symbol, node = stack.pop()
-            del path[depth:], last[depth:], size[depth:]
-            path.append(symbol)
-            tail = symbol
-            token = ids[symbol]
-            k, most = 1, min(longest[symbol], depth + 1)
-            chosen = -1
-            while True:
-                if token is not None:
-                    if k > depth:
-                        chosen = token
+        states: list[str] = []  # for each prefix on the branch: how far into tokens it reaches,
+        last: list[int] = []  # the last token of its encoding,
+        size: list[int] = []  # and that token's symbols
+        before = ""
+        for word in sorted(words):
+            depth, most = 0, min(len(before), len(word)) - 1
+            while depth < most and before[depth] == word[depth]:
+                depth += 1
+            before, end = word, len(word) - 1
+            del states[depth:], last[depth:], size[depth:]
+            state = states[-1] if depth else ""
+            for at in range(depth, end + 1):
+                symbol = word[at] if at < end else word[at] + suffix
+                key = state + symbol
+                move = moves.get(key)
+                state, ends = move if move is not None else self._move(key, symbol)
+                for k, token in ends:
+                    if k > at:
                         break
-                    before = (last[depth - k], token)
-                    ok = stable.get(before)
+                    pair = last[at - k] << 24 | token
+                    ok = stable.get(pair)
                     if ok is None:
-                        ok = stable[before] = self._is_stable(*before)
+                        ok = stable[pair] = self._is_stable(pair >> 24, token)
                     if ok:
-                        chosen = token
                         break
-                k += 1
-                if k > most:
-                    raise AssertionError(f"no last token for {path}")
-                tail = path[depth + 1 - k] + tail
-                token = ids.get(tail)
-            last.append(chosen)
-            size.append(k)
-            for s, child in node.items():
-                if s == "":
-                    at, found = depth, []
-                    while at >= 0:
-                        found.append(last[at])
-                        at -= size[at]
-                    found.reverse()
-                    out[child] = found
                 else:
-                    stack.append((depth + 1, s, child))
+                    raise AssertionError(f"no last token for {word[: at + 1]}")
+                states.append(state)
+                last.append(token)
+                size.append(k)
+            at, found = end, []
+            while at >= 0:
+                found.append(last[at])
+                at -= size[at]
+            found.reverse()
+            out[word] = found
+        return out
 
 
 class Codec:
@@ -165,7 +161,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, cache_pieces: int = 300_000):
         self.encoder = TrieEncoder(vocabulary)
-        self.symbols = byte_symbols()
+        self.table = dict(enumerate(byte_symbols()))
         self.split = regex.compile(vocabulary.pattern).findall
         self.special = vocabulary.special
         self.specials = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
@@ -186,14 +182,25 @@ class Codec:
         s = _WIDE_SPACE.sub(" ", s).replace("Σ", "σ").lower()
         return s.encode().split()
 
+    def words(self, piece: bytes) -> list[str]:
+        """The pre-tokens of a piece, in byte symbols."""
+        s = piece.decode()
+        if s.isalpha():
+            found = [s]
+        elif s[-1] in ".,;:!?" and s[:-1].isalpha():
+            found = [s[:-1], s[-1]]
+        else:
+            found = self.split(s)
+        return found if piece.isascii() and s.isprintable() else [w.encode().decode("latin-1").translate(self.table) for w in found]
+
     def learn(self, new: set[bytes]) -> None:
-        table = {b: s for b, s in enumerate(self.symbols)}
-        found = {p: [w.encode().decode("latin-1").translate(table) for w in self.split(p.decode())] for p in new}
+        found = {p: self.words(p) for p in new}
         words = self.encoder.encode({w for ws in found.values() for w in ws})
+        as_bytes, names = self.as_bytes, self.names
         for p, ws in found.items():
-            tokens = [t for w in ws for t in words[w]]
-            self.ids[p] = b"".join([self.as_bytes[t] for t in tokens])
-            self.text[p] = b" ".join([self.names[t] for t in tokens])
+            tokens = words[ws[0]] if len(ws) == 1 else [t for w in ws for t in words[w]]
+            self.ids[p] = b"".join([as_bytes[t] for t in tokens])
+            self.text[p] = b" ".join([names[t] for t in tokens])
 
     def encode(self, texts: list[bytes | None]) -> tuple[list[bytes], list[bytes]]:
         """For each text its ids, as little-endian unsigned 32-bit integers, and its decoded text in UTF-8."""
