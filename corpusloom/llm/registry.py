@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, simhash
+from . import bpe, decontaminate, language_id, line_dedup, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
+    "op4_toxicity": toxicity.query,
+    "op5_language_id": language_id.query,
     "op8_line_dedup": line_dedup.query,
 }
 ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_line_dedup": line_dedup.SQL}
