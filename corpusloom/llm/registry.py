@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, simhash, toxicity
+from . import bpe, decontaminate, html_main, language_id, line_dedup, lm_score, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,5 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_language_id": language_id.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_lm_score": lm_score.query,
+    "op10_html_main": html_main.query,
 }
 ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_line_dedup": line_dedup.SQL}
