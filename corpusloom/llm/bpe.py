@@ -167,9 +167,10 @@ class Codec:
         self.specials = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
         self.names = {i: t.encode() for t, i in [*vocabulary.ids.items(), *vocabulary.special.items()]}
         self.as_bytes = [i.to_bytes(4, "little") for i in range(max(self.names) + 1)]
-        self.ids: dict[bytes, bytes] = {}
-        self.text: dict[bytes, bytes] = {}
+        self.marks = {t: b" " + t.encode() for t in self.special}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.limit = cache_pieces
+        self.reset()
 
     @staticmethod
     def pieces(text: bytes) -> list[bytes]:
@@ -195,44 +196,45 @@ class Codec:
 
     def learn(self, new: set[bytes]) -> None:
         found = {p: self.words(p) for p in new}
-        words = self.encoder.encode({w for ws in found.values() for w in ws})
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
         as_bytes, names = self.as_bytes, self.names
+        for w, tokens in self.encoder.encode({w for ws in found.values() for w in ws if w not in known}).items():
+            known[w] = b"".join([as_bytes[t] for t in tokens]), b" ".join([names[t] for t in tokens])
         for p, ws in found.items():
-            tokens = words[ws[0]] if len(ws) == 1 else [t for w in ws for t in words[w]]
-            self.ids[p] = b"".join([as_bytes[t] for t in tokens])
-            self.text[p] = b" ".join([names[t] for t in tokens])
+            if len(ws) == 1:
+                self.ids[p], self.text[p] = known[ws[0]]
+            else:
+                parts = [known[w] for w in ws]
+                self.ids[p], self.text[p] = b"".join([a for a, _ in parts]), b" ".join([b for _, b in parts])
 
     def encode(self, texts: list[bytes | None]) -> tuple[list[bytes], list[bytes]]:
         """For each text its ids, as little-endian unsigned 32-bit integers, and its decoded text in UTF-8."""
-        split: list[list] = []
+        split: list[list[bytes]] = []
         for t in texts:
             if not t:
                 split.append([])
-            elif self.specials and b"<" in t and (marks := self.specials.findall(s := t.decode())):
-                parts = self.specials.split(s)
-                row: list = self.pieces(parts[0].encode())
-                for mark, part in zip(marks, parts[1:]):
-                    row += [self.special[mark], *self.pieces(part.encode())]
+            elif self.specials and b"<" in t and self.specials.search(s := t.decode()):
+                row: list[bytes] = []
+                for mark, part in zip(["", *self.specials.findall(s)], self.specials.split(s)):
+                    row += [self.marks[mark], *self.pieces(part.encode())] if mark else self.pieces(part.encode())
                 split.append(row)
             else:
                 split.append(self.pieces(t))
-        new = {p for row in split for p in row if p not in self.ids and isinstance(p, bytes)}
+        new = set().union(*split).difference(self.ids)
         if new:
             if len(self.ids) + len(new) > self.limit:
-                self.ids.clear()
-                self.text.clear()
-                new = {p for row in split for p in row if isinstance(p, bytes)}
+                self.reset()
+                new = set().union(*split).difference(self.ids)
             self.learn(new)
-        ids, text, plain = self.ids.__getitem__, self.text.__getitem__, []
-        decoded = []
-        for row in split:
-            if any(isinstance(p, int) for p in row):
-                plain.append(b"".join([self.as_bytes[p] if isinstance(p, int) else ids(p) for p in row]))
-                decoded.append(b" ".join([self.names[p] if isinstance(p, int) else text(p) for p in row]))
-            else:
-                plain.append(b"".join(map(ids, row)))
-                decoded.append(b" ".join(map(text, row)))
-        return plain, decoded
+        ids, text = self.ids.__getitem__, self.text.__getitem__
+        return [b"".join(map(ids, row)) for row in split], [b" ".join(map(text, row)) for row in split]
+
+    def reset(self) -> None:
+        """Forget all pieces but the special tokens, whose names here hold a space, as no piece of text does."""
+        self.ids = {m: self.as_bytes[self.special[t]] for t, m in self.marks.items()}
+        self.text = {m: t.encode() for t, m in self.marks.items()}
 
     def decode(self, ids: bytes) -> bytes:
         return b" ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -250,27 +252,36 @@ def _codec(shared, cache_pieces: int) -> Codec:
     return _codecs[key]
 
 
-def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", cache_pieces: int = 300_000, block: int = 1000, digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded), or with ``digests`` (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+_OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), keep: tuple[str, ...] = (), cache_pieces: int = 300_000, block: int = 1000) -> DataFrame:
+    """(doc_id, the columns of ``keep``, n_tokens, and the ``outputs`` named of ids, decoded, ids_sha256 and
+    decoded_sha256)."""
     spark: SparkSession = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(Vocabulary(path))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    source = docs.select(F.col(doc_id).alias("doc_id"), *keep, utf8(text).alias("_text"))
+    names = [*source.columns[:-1], "n_tokens", *outputs]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long", *(f"{x} {_OUTPUTS[x]}" for x in outputs)])
+
+    def made(name: str, ids: list[bytes], decoded: list[bytes]) -> pa.Array:
+        if name == "ids":
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        if name == "decoded":
+            return pa.array([x.decode() for x in decoded], pa.string())
+        return pa.array([hashlib.sha256(x).hexdigest() for x in (ids if name == "ids_sha256" else decoded)], pa.string())
 
     def run(batches):
         codec = _codec(shared, cache_pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                ids, decoded = codec.encode(part.column(1).to_pylist())
+                ids, decoded = codec.encode(part.column(part.num_columns - 1).to_pylist())
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if digests:
-                    rest = [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (ids, decoded)]
-                else:
-                    rest = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([x.decode() for x in decoded])]
-                yield pa.RecordBatch.from_arrays([part.column(0), n, *rest], names=["doc_id", "n_tokens", "ids", "decoded"] if not digests else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], n, *(made(x, ids, decoded) for x in outputs)], names=names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), utf8(text)).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def default_path() -> str:
@@ -280,4 +291,4 @@ def default_path() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), default_path(), digests=True)
+    return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), default_path(), outputs=("ids_sha256", "decoded_sha256"))
