@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_main, language_id, line_dedup, lm_score, simhash, toxicity
+from . import bpe, decontaminate, html_main, language_id, line_dedup, lm_score, media_copies, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_toxicity": toxicity.query,
     "op5_language_id": language_id.query,
+    "op6_token_counts": token_counts.query,
+    "op7_media_copies": media_copies.query,
     "op8_line_dedup": line_dedup.query,
     "op9_lm_score": lm_score.query,
     "op10_html_main": html_main.query,
