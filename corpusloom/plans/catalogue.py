@@ -1,6 +1,640 @@
-"""All registered queries of the library and their SQL equivalents."""
+"""All registered queries of the library over the test tables, each beside the SQL that states the same result.
+
+Where SQL cannot say it (folds over a document, parsers, hashed embeddings), a query has no SQL and tests hold it to
+expectations. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed as fx
+from ..functions import text as tx
+from ..functions import vectors
+from ..operators import catalog, curate, dedup, jobs, maintenance, memory, retrieval
+from ..sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(make):
+        QUERIES[make.__name__] = make
+        if sql:
+            ORACLES[make.__name__] = sql
+        return make
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def micros(column: str, name: str | None = None):
+    """Microseconds since 1970 of a timestamp without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column)).alias(name or column)
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+FOLDED = "strip_accents(lower(text))"
+PLAIN = "replace(strip_accents(lower(text)), 'ß', 's')"
+
+
+# ------------------------------------------------------------------ catalogue
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS books FROM documents")
+def stats_totals(spark, d):
+    return catalog.totals(t(spark, d, "documents", "source"), "source")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def tally_lang(spark, d):
+    return catalog.tally(t(spark, d, "documents", "lang"), "lang")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def tally_source(spark, d):
+    return catalog.tally(t(spark, d, "documents", "source"), "source")
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag")
+def exploded_tally(spark, d):
+    return catalog.tally(t(spark, d, "part", "p_name").select(F.split("p_name", " ").alias("tag")), "tag", explode=True)
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
+def facet_sources(spark, d):
+    return catalog.facet(t(spark, d, "documents", "source"), "source")
+
+
+@query("SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL")
+def facet_types(spark, d):
+    return catalog.facet(t(spark, d, "part", "p_type"), "p_type")
+
+
+@query("SELECT DISTINCT source AS slug FROM documents")
+def distinct_slugs(spark, d):
+    return catalog.slugs(t(spark, d, "documents", "source", "doc_id").select(F.format_string("%s::%04d", "source", "doc_id").alias("id")))
+
+
+@query(
+    "SELECT (SELECT array_to_string(list_sort(list_distinct(list(p_type))), ',') FROM part) AS p_type, "
+    "(SELECT array_to_string(list_sort(list_distinct(list(tag))), ',') FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part)) AS tags"
+)
+def facets(spark, d):
+    found = catalog.facets(t(spark, d, "part", "p_type", "p_name").select("p_type", F.split("p_name", " ").alias("tags")), {"p_type": False, "tags": True})
+    return found.select(*(F.array_join(c, ",").alias(c) for c in found.columns))
+
+
+@query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY event_type")
+def phase_counters(spark, d):
+    return catalog.outcomes(t(spark, d, "events").select(F.col("event_type").alias("outcome")), "outcome")
+
+
+@query(
+    "SELECT conv_id, count(*) AS pages_total, count(*) FILTER (WHERE length(regexp_replace(text, '\\P{L}', '', 'g')) < 40) AS pages_without_text, "
+    "CASE WHEN count(*) FILTER (WHERE length(regexp_replace(text, '\\P{L}', '', 'g')) < 40) / count(*) >= 0.8 THEN 'no_text' "
+    "WHEN count(*) FILTER (WHERE length(regexp_replace(text, '\\P{L}', '', 'g')) < 40) / count(*) >= 0.2 THEN 'partial_text' ELSE 'ok' END AS coverage "
+    "FROM conversations GROUP BY conv_id"
+)
+def text_coverage(spark, d):
+    return catalog.page_coverage(t(spark, d, "conversations", "conv_id", "text"), "conv_id", "text")
+
+
+@query(
+    "SELECT conv_id, md5(string_agg(body, chr(10) || chr(10) ORDER BY turn)) AS merged FROM (SELECT conv_id, turn, "
+    "CASE WHEN turn % 2 = 1 THEN text WHEN turn % 4 = 0 THEN text ELSE '' END AS body FROM conversations) WHERE trim(body) <> '' GROUP BY conv_id"
+)
+def page_merge(spark, d):
+    turns = t(spark, d, "conversations", "conv_id", "turn", "text")
+    own = turns.withColumn("text", F.when(F.col("turn") % 4 == 0, F.col("text")).otherwise(F.lit("")))
+    return catalog.merge_pages(own, turns.where("turn % 2 = 1"), "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("merged"))
+
+
+def _keyword_case(table: dict, default: str) -> str:
+    tests = (" OR ".join(f"contains(hay, {sql_text(tx.fold_py(k))})" for k in terms) for terms in table.values())
+    return "CASE " + " ".join(f"WHEN {test} THEN {sql_text(name)}" for name, test in zip(table, tests)) + f" ELSE {default} END"
+
+
+_HAY = "SELECT doc_id, lang, strip_accents(lower(source || '.txt' || chr(10) || substr(text, 1, 8000))) AS hay FROM documents"
+
+
+@query(f"SELECT doc_id, {_keyword_case(fx.REGION_KEYWORDS, chr(39) + 'internacional' + chr(39))} AS region FROM ({_HAY})")
+def heuristic_region(spark, d):
+    docs = t(spark, d, "documents", "doc_id", "source", "text", "lang")
+    return catalog.book_meta(docs.withColumn("_b", F.concat("source", F.lit(".txt"))).withColumn("_n", F.col("doc_id")), "_b", "text", "lang", "lang", "_n").select(F.col("n_recipes").alias("doc_id"), "region")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN len(found) = 0 THEN 'prato_principal' ELSE array_to_string(found, ',') END AS dish_types FROM (SELECT doc_id, list_filter(["
+    + ", ".join("CASE WHEN " + " OR ".join(f"contains(hay, {sql_text(tx.fold_py(k))})" for k in terms) + f" THEN {sql_text(name)} END" for name, terms in fx.DISH_KEYWORDS.items())
+    + f"], lambda x: x IS NOT NULL) AS found FROM ({_HAY}))"
+)
+def heuristic_dish_types(spark, d):
+    docs = t(spark, d, "documents", "doc_id", "source", "text", "lang")
+    meta = catalog.book_meta(docs.withColumn("_b", F.concat("source", F.lit(".txt"))).withColumn("_n", F.col("doc_id")), "_b", "text", "lang", "lang", "_n")
+    return meta.select(F.col("n_recipes").alias("doc_id"), F.array_join("dish_types", ",").alias("dish_types"))
+
+
+@query(
+    "SELECT p_partkey, regexp_replace(p_name, '[^\\p{L}\\p{N}_\\-. À-ÿ]', '_', 'g') || '_' || p_brand[1:5] || '_1' AS slug, "
+    "replace(p_name, '_', ' ') || ' ' || p_brand[1:5] || ' 1' AS title, 'html' AS ext FROM part"
+)
+def book_names(spark, d):
+    part = t(spark, d, "part", "p_partkey", "p_name", "p_brand")
+    named = part.withColumn("file", F.concat(F.lit("up/Copy of "), "p_name", F.lit("_"), F.substring("p_brand", 1, 5), F.lit("_1.HTM")))
+    return named.select("p_partkey", tx.safe_slug(F.col("file")).alias("slug"), tx.book_title(F.col("file")).alias("title"), tx.extension(F.col("file")).alias("ext"))
+
+
+# ------------------------------------------------------------------ text
+
+
+@query(f"SELECT doc_id, md5({FOLDED}) AS folded FROM documents")
+def fold_text(spark, d):
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(tx.fold(F.col("text"))).alias("folded"))
+
+
+@query("SELECT doc_id, round(coalesce(length(regexp_replace(text, '\\P{Lu}', '', 'g')) / nullif(length(regexp_replace(text, '\\P{L}', '', 'g')), 0), 0), 6) AS ratio FROM documents")
+def uppercase_ratio(spark, d):
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.round(tx.uppercase_ratio(F.col("text")), 6).alias("ratio"))
+
+
+_LANG_SQL = ", ".join(f"len(regexp_extract_all(h, '\\b({w})\\b')) AS {lang}" for lang, w in fx.LANGUAGE_WORDS.items())
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN greatest(pt, en, fr, es, it) < 3 THEN 'pt' WHEN pt = greatest(pt, en, fr, es, it) THEN 'pt' WHEN en = greatest(pt, en, fr, es, it) THEN 'en' "
+    f"WHEN fr = greatest(pt, en, fr, es, it) THEN 'fr' WHEN es = greatest(pt, en, fr, es, it) THEN 'es' ELSE 'it' END AS detected "
+    f"FROM (SELECT doc_id, {_LANG_SQL} FROM (SELECT doc_id, replace(strip_accents(lower(substr(text, 1, 20000))), 'ß', 's') AS h FROM documents))"
+)
+def detect_lang(spark, d):
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", tx.detect_language(F.col("text")).alias("detected"))
+
+
+_COUNTS = {"ing_headers": fx.INGREDIENT_HEADER, "met_headers": fx.METHOD_HEADER, "classic_headers": fx.CLASSIC_HEADER, "qty_lines": fx.QUANTITY_LINE, "yield_lines": fx.YIELD_LINE, "culinary_hits": fx.CULINARY_WORD, "noncul_hits": fx.NON_CULINARY}
+_COUNTS_SQL = "SELECT doc_id, length(plain) AS chars, " + ", ".join(f"len(regexp_extract_all(plain, {sql_text(p)})) AS {c}" for c, p in _COUNTS.items()) + f", plain FROM (SELECT doc_id, {PLAIN} AS plain FROM documents)"
+
+
+def _plain(spark, d) -> DataFrame:
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.replace(tx.fold(F.col("text")), F.lit("ß"), F.lit("s")).alias("text"))
+
+
+@query("SELECT doc_id, " + ", ".join(_COUNTS) + f" FROM ({_COUNTS_SQL})")
+def classifier_counts(spark, d):
+    return _plain(spark, d).select("doc_id", *(c.alias(k) for k, c in curate.classifier_counts(F.col("text")).items()))
+
+
+_RUNS = "length(marks) - length(regexp_replace(marks, 'x{4,}', '', 'g'))"
+_MARKS = "array_to_string(list_transform(regexp_extract_all(substr({0}, 1, 40000), '[A-Za-zÀ-ÿ]+'), lambda w: CASE WHEN length(w) = 1 THEN 'x' ELSE 'w' END), '')"
+
+
+@query(
+    "SELECT doc_id, CASE WHEN unreadable OR (noncul_hits / n >= 0.5 AND culinary_hits / n < 3) THEN 'descartado' WHEN signal AND NOT tome THEN 'receitas' "
+    "WHEN culinary_hits / n >= 1.5 AND NOT tome THEN 'tecnica' ELSE 'descartado' END AS tier, signal AS recipe_signal, unreadable FROM (SELECT *, "
+    "(ing_headers >= 5 AND met_headers >= 3) OR classic_headers / n >= 1 OR qty_lines / n >= 6 OR (ing_headers >= 3 AND qty_lines / n >= 3) AS signal, "
+    "chars >= 1000000 AND ing_headers / n < 0.5 AND met_headers / n < 0.5 AND classic_headers / n < 0.3 AND qty_lines / n < 0.5 AS tome, "
+    f"length(marks) >= 20 AND ({_RUNS}) / length(marks) > 0.25 AS unreadable FROM (SELECT *, greatest(chars / 10000.0, 1e-6) AS n, {_MARKS.format('plain')} AS marks FROM ({_COUNTS_SQL})))"
+)
+def tier_case(spark, d):
+    return curate.with_profile(_plain(spark, d)).select("doc_id", "tier", "recipe_signal", "unreadable")
+
+
+@query(
+    f"SELECT doc_id, round(r, 6) AS ratio, r > 0.15 AS low_quality FROM (SELECT doc_id, CASE WHEN length(marks) < 20 THEN 0.0 ELSE ({_RUNS}) / length(marks) END AS r "
+    f"FROM (SELECT doc_id, {_MARKS.format('text')} AS marks FROM documents))"
+)
+def garbage_ratio(spark, d):
+    ratio = t(spark, d, "documents", "doc_id", "text").withColumn("r", tx.garbage_run_ratio(F.col("text")))
+    return ratio.select("doc_id", F.round("r", 6).alias("ratio"), (F.col("r") > fx.GARBAGE_FLAG).alias("low_quality"))
+
+
+_ALONE = (fx.PAGE_NUMBER, fx.ROMAN_NUMBER, fx.DOT_LEADER, fx.DIGIT_RUN, fx.URL_ONLY, fx.ISBN_LINE)
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents"
+
+
+@query(
+    "SELECT doc_id, count(*) AS n_noise FROM (SELECT doc_id, trim(line) AS s FROM (" + _LINES + ")) WHERE s <> '' AND ("
+    + " OR ".join(f"regexp_matches(s, {sql_text(p)})" for p in _ALONE)
+    + f" OR (regexp_matches(s, {sql_text(fx.SPAM_LINE)}) AND length(s) < 200)) GROUP BY doc_id"
+)
+def noise_lines(spark, d):
+    lines = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
+    return lines.where(tx.is_noise_line(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_noise"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g')) AS joined FROM documents")
+def dehyphenate(spark, d):
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(tx.dehyphenate(F.col("text"))).alias("joined"))
+
+
+@query(
+    "SELECT doc_id, md5(s) AS line, n FROM (SELECT doc_id, s, count(*) AS n, any_value(total) AS total FROM (SELECT doc_id, trim(line) AS s, count(*) OVER (PARTITION BY doc_id) AS total "
+    f"FROM ({_LINES})) WHERE length(s) > 3 GROUP BY doc_id, s) WHERE n >= greatest(5, total // 150)"
+)
+def repeated_lines(spark, d):
+    split = t(spark, d, "documents", "doc_id", "text").select("doc_id", tx.lines(F.col("text")).alias("l"))
+    lines = split.select("doc_id", F.size("l").alias("total"), F.explode("l").alias("line")).select("doc_id", "total", F.trim("line").alias("s")).where(F.char_length("s") > 3)
+    counted = lines.groupBy("doc_id", "s").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    return counted.where(F.col("n") >= F.greatest(F.lit(fx.REPEAT_THRESHOLD), F.expr("total div 150"))).select("doc_id", F.md5("s").alias("line"), "n")
+
+
+@query(
+    "SELECT doc_id, pos, md5(joined) AS row FROM (SELECT doc_id, pos, array_to_string(list_filter(list_transform(string_split(trim(trim(line), '|'), '|'), lambda c: trim(c)), "
+    f"lambda c: regexp_matches(c, '[A-Za-zÀ-ÿ0-9]') AND NOT regexp_matches('|' || c || '|', {sql_text(fx.SEPARATOR_ROW)})), ' ') AS joined FROM ({_LINES}) "
+    f"WHERE regexp_matches(line, {sql_text(fx.TABLE_ROW)}) AND NOT regexp_matches(line, {sql_text(fx.SEPARATOR_ROW)})) WHERE length(joined) >= 3"
+)
+def table_rows(spark, d):
+    lines = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
+    rows = lines.where(tx.matches(F.col("line"), fx.TABLE_ROW) & ~tx.matches(F.col("line"), fx.SEPARATOR_ROW)).withColumn("row", tx.strip_table_row(F.col("line")))
+    return rows.where("row IS NOT NULL").select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.md5("row").alias("row"))
+
+
+@query()
+def clean_text(spark, d):
+    return curate.clean_documents(t(spark, d, "documents", "doc_id", "text")).select("doc_id", F.char_length("cleaned").alias("n_chars"), F.md5("cleaned").alias("cleaned"))
+
+
+@query()
+def chunk_documents(spark, d):
+    cleaned = curate.clean_documents(t(spark, d, "documents", "doc_id", "text", "source")).withColumn("tier", F.lit("tecnica"))
+    cut = curate.chunk_documents(cleaned, "cleaned", "tier").select("doc_id", F.posexplode("pieces").alias("n", "p"))
+    return cut.select("doc_id", "n", "p.title", "p.kind", F.char_length("p.text").alias("n_chars"), F.md5("p.text").alias("text_md5"))
+
+
+@query()
+def prepare_documents(spark, d):
+    return curate.prepare(t(spark, d, "documents", "doc_id", "text")).select("doc_id", "tier", "lang", "discard_reason", F.size("pieces").alias("n_pieces"))
+
+
+@query()
+def html_to_text(spark, d):
+    return readers.html_pages(t(spark, d, "pages", "page_id", "html")).select("page_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")
+def url_domain(spark, d):
+    return t(spark, d, "pages", "page_id", "url").select("page_id", tx.url_host(F.col("url")).alias("host"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, round(100.0 * CAST(json_extract_string(props, '$.k') AS INT) / 99) AS percent FROM events")
+def event_fields(spark, d):
+    events = t(spark, d, "events", "event_id", "ts", "props").withColumn("k", tx.tool_arguments(F.col("props"))["k"])
+    return events.select("event_id", "k", tx.iso_micros(F.col("ts")).alias("at"), tx.progress_percent(F.col("k").cast("int"), F.lit(99)).alias("percent"))
+
+
+# ------------------------------------------------------------------ duplicates
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def exact_dup(spark, d):
+    groups = t(spark, d, "documents", "doc_id", "text").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return groups.where("n > 1")
+
+
+_NAMED = "SELECT doc_id, md5(text) AS md5, CASE WHEN doc_id % 3 = 0 THEN 'Copy of ' ELSE '' END || 'doc' || doc_id || '.txt' AS name FROM documents"
+
+
+@query(f"SELECT doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY starts_with(name, 'Copy of '), length(name), name) AS r FROM ({_NAMED})) WHERE r = 1")
+def preferred_dup(spark, d):
+    named = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5("text").alias("md5"), F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("Copy of ")).otherwise(F.lit("")), F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    return dedup.preferred_copy(named).select("doc_id", "name")
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    return (
+        f"SELECT DISTINCT {key}, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS s "
+        f"FROM (SELECT {key}, regexp_extract_all({FOLDED}, '[a-z]{{3,}}') AS w FROM {table}) WHERE len(w) >= 5"
+    )
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({_shingle_sql('documents', 'doc_id')}) GROUP BY doc_id")
+def shingle_count(spark, d):
+    return dedup.shingles(t(spark, d, "documents", "doc_id", "text"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH s AS ({_shingle_sql('documents', 'doc_id')}), n AS (SELECT doc_id, count(*) AS n_new FROM s GROUP BY doc_id) "
+    "SELECT a.doc_id AS new_id, b.doc_id AS known_id, any_value(n_new) AS n_new, count(*) AS n_shared, round(count(*) / any_value(n_new), 6) AS containment "
+    "FROM s a JOIN s b USING (s) JOIN n ON n.doc_id = a.doc_id WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) / any_value(n_new) >= 0.15"
+)
+def containment_pairs(spark, d):
+    docs = t(spark, d, "documents", "doc_id", "text")
+    new = dedup.shingles(docs.where("doc_id % 20 = 0"), "doc_id", "text").withColumnRenamed("doc_id", "new_id")
+    known = dedup.shingles(docs, "doc_id", "text").withColumnRenamed("doc_id", "known_id")
+    found = dedup.containment(new, known, "new_id", "known_id").where(F.col("new_id") != F.col("known_id"))
+    return found.where(F.col("containment") >= fx.MIN_CONTAINMENT).withColumn("containment", F.round("containment", 6))
+
+
+@query(
+    f"WITH i AS ({_shingle_sql('benchmark', 'item_id')}), s AS ({_shingle_sql('documents', 'doc_id')}), n AS (SELECT item_id, count(*) AS n_new FROM i GROUP BY item_id) "
+    "SELECT i.item_id, s.doc_id, any_value(n_new) AS n_new, count(*) AS n_shared, round(count(*) / any_value(n_new), 6) AS containment FROM i JOIN s USING (s) JOIN n ON n.item_id = i.item_id "
+    "GROUP BY 1, 2 HAVING count(*) / any_value(n_new) >= 0.15"
+)
+def benchmark_contamination(spark, d):
+    items = dedup.shingles(t(spark, d, "benchmark", "item_id", "text"), "item_id", "text")
+    found = dedup.containment(items, dedup.shingles(t(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "item_id", "doc_id")
+    return found.where(F.col("containment") >= fx.MIN_CONTAINMENT).withColumn("containment", F.round("containment", 6))
+
+
+def _chunks(spark, d) -> DataFrame:
+    """Documents that have a vector, in the shape of the chunk table."""
+    docs, vec = t(spark, d, "documents", "doc_id", "text", "lang", "source"), t(spark, d, "embeddings", "vec_id", "embedding", "label")
+    return docs.join(vec, docs.doc_id == vec.vec_id).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("book"), F.lit("").alias("title"), F.when(F.col("label") < 5, F.lit("receita")).otherwise(F.lit("texto")).alias("kind"), "lang", "text", "embedding", F.lit("nao_especificado").alias("region"), F.array(F.lit("prato_principal")).alias("dish_types")
+    )
+
+
+_CHUNKS = "SELECT doc_id AS id, source AS book, CASE WHEN label < 5 THEN 'receita' ELSE 'texto' END AS kind, text, strip_accents(lower(chr(10) || text)) AS f, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON doc_id = vec_id"
+
+
+@query()
+def near_dup(spark, d):
+    chunks = _chunks(spark, d)
+    return dedup.find_duplicates(chunks.where("id % 20 = 0").withColumnRenamed("book", "new_book"), chunks.where("id % 20 <> 0"))
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def _vector(spark, d, vec_id: int = 0) -> list[float]:
+    return list(t(spark, d, "embeddings", "vec_id", "embedding").where(F.col("vec_id") == vec_id).first().embedding)
+
+
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"SELECT vec_id, round(cos, 6) AS cos, row_number() OVER (ORDER BY cos DESC, vec_id) - 1 AS rank FROM (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), {_Q}) AS cos FROM embeddings) ORDER BY cos DESC, vec_id LIMIT 8")
+def knn_topk(spark, d):
+    return retrieval.knn(t(spark, d, "embeddings", "vec_id", "embedding"), _vector(spark, d), "vec_id").select("vec_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT vec_id, round(cos, 6) AS cos FROM (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), {_Q}) AS cos FROM embeddings WHERE label = 3) ORDER BY cos DESC, vec_id LIMIT 8")
+def knn_filtered(spark, d):
+    base = t(spark, d, "embeddings", "vec_id", "embedding", "label").where("label = 3").select("vec_id", "embedding")
+    return retrieval.knn(base, _vector(spark, d), "vec_id").select("vec_id", F.round("cos", 6).alias("cos"))
+
+
+_NEAREST = (
+    "SELECT query_id, vec_id, cos FROM (SELECT q.vec_id AS query_id, b.vec_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos, "
+    "row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS r "
+    "FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0) WHERE r = 1"
+)
+
+
+def _nearest(spark, d) -> DataFrame:
+    base = t(spark, d, "embeddings", "vec_id", "embedding")
+    asked = base.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = dedup.nearest(asked, base, "query_id", "vec_id", k=2).where("query_id <> vec_id")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("r = 1")
+
+
+@query(f"SELECT query_id, vec_id, round(cos, 6) AS cos FROM ({_NEAREST})")
+def knn_join1(spark, d):
+    return _nearest(spark, d).select("query_id", "vec_id", F.round("cos", 6).alias("cos"))
+
+
+@query(
+    f"WITH n AS (SELECT q.label AS new_book, b.label AS book, count(*) AS n FROM ({_NEAREST}) x JOIN embeddings q ON q.vec_id = query_id JOIN embeddings b ON b.vec_id = x.vec_id GROUP BY 1, 2), "
+    "s AS (SELECT *, n / sum(n) OVER (PARTITION BY new_book) AS share, row_number() OVER (PARTITION BY new_book ORDER BY n DESC, book) AS r FROM n) "
+    "SELECT new_book, book, n, round(share, 6) AS share FROM s WHERE r <= 3 AND share >= 0.2"
+)
+def neighbour_share(spark, d):
+    labels = t(spark, d, "embeddings", "vec_id", "label")
+    near = _nearest(spark, d).join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("new_book")), "query_id").join(labels.select("vec_id", F.col("label").alias("book")), "vec_id")
+    return dedup.neighbour_candidates(near, "new_book", "book").select("new_book", "book", "n", F.round("share", 6).alias("share"))
+
+
+@query("SELECT vec_id, round(list_inner_product(v, v), 6) AS norm, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS v FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS w FROM embeddings))")
+def l2_normalise(spark, d):
+    v = t(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.explode(F.array(F.transform("embedding", lambda x: x.cast("double") * 3))).alias("w"))
+    unit = v.select("vec_id", F.explode(F.array(vectors.l2_normalise(F.col("w")))).alias("v"))
+    return unit.select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+@query()
+def hashed_embedding(spark, d):
+    return vectors.with_hashed_embedding(t(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
+# ------------------------------------------------------------------ retrieval
+
+_STOP = ", ".join(map(sql_text, fx.STOPWORDS))
+_TERMS = f"SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all({FOLDED}, '[a-z0-9]+')) AS term FROM benchmark WHERE item_id IN (0, 2)) WHERE length(term) >= 4 AND term NOT IN ({_STOP})"
+_TF = f"SELECT id, term, (length(f) - length(replace(f, term, ''))) // length(term) AS tf FROM c, ({_TERMS})"
+_SEARCH = f"WITH c AS ({_CHUNKS}), tf AS (SELECT * FROM ({_TF}) WHERE tf > 0), n AS (SELECT count(*) AS n FROM c), rare AS (SELECT term, count(*) AS df, sum(tf) AS total, ln(any_value(n) / count(*)) AS idf FROM tf, n GROUP BY term HAVING count(*) <= 0.01 * any_value(n) AND sum(tf) <= 0.05 * any_value(n))"
+_LEX = "SELECT id, sum(idf * least(tf, 5)) AS lex FROM tf JOIN rare USING (term) GROUP BY id"
+
+
+def _question(spark, d) -> str:
+    return " ".join(r.text for r in t(spark, d, "benchmark").where("item_id IN (0, 2)").orderBy("item_id").collect())
+
+
+@query(f"{_SEARCH} SELECT term, df, CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM rare")
+def rare_terms(spark, d):
+    chunks = _chunks(spark, d).withColumn("_f", retrieval.folded_text())
+    counts = retrieval.term_counts(chunks, "id", "_f", retrieval.query_terms(_question(spark, d)))
+    return retrieval.rare_terms(counts, chunks.count()).select("term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+@query(f"{_SEARCH} SELECT id, round(lex, 6) AS lex FROM ({_LEX})")
+def lexical_score(spark, d):
+    chunks = _chunks(spark, d).withColumn("_f", retrieval.folded_text())
+    counts = retrieval.term_counts(chunks, "id", "_f", retrieval.query_terms(_question(spark, d)))
+    return retrieval.lexical_scores(counts, retrieval.rare_terms(counts, chunks.count()), "id").select("id", F.round("lex", 6).alias("lex"))
+
+
+def _fused(allowed: str, k: int) -> str:
+    return (
+        f"{_SEARCH}, a AS (SELECT id, list_inner_product(e, {_Q}) AS cos FROM c WHERE {allowed}), "
+        "sem AS (SELECT id, cos, row_number() OVER (ORDER BY cos DESC, id) - 1 AS r FROM a ORDER BY cos DESC, id LIMIT (SELECT CASE WHEN count(*) > 0 THEN 200 ELSE 8 END FROM rare)), "
+        f"lex AS (SELECT id, cos, row_number() OVER (ORDER BY lex DESC, cos DESC, id) - 1 AS r FROM ({_LEX}) JOIN a USING (id) ORDER BY lex DESC, cos DESC, id LIMIT 200) "
+        "SELECT id, round(coalesce(sem.cos, lex.cos), 6) AS cos, round(coalesce(1 / (60 + sem.r), 0) + coalesce(1 / (60 + lex.r), 0), 9) AS rrf "
+        f"FROM sem FULL JOIN lex USING (id) ORDER BY coalesce(1 / (60 + sem.r), 0) + coalesce(1 / (60 + lex.r), 0) DESC, sem.r NULLS LAST, lex.r LIMIT {k}"
+    )
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("cos", 6).alias("cos"), F.round("rrf", 9).alias("rrf"))
+
+
+@query(_fused("true", 20))
+def rrf_fusion(spark, d):
+    return _hits(retrieval.search(_chunks(spark, d), _question(spark, d), _vector(spark, d), k=20))
+
+
+@query(_fused("true", 8))
+def hybrid_search(spark, d):
+    return _hits(retrieval.search(_chunks(spark, d), _question(spark, d), _vector(spark, d), k=8))
+
+
+@query(_fused("kind = 'texto' AND contains(strip_accents(lower(book)), 'src1')", 8))
+def filtered_search(spark, d):
+    filters = retrieval.SearchFilters(kind="texto", book="SRC1")
+    return _hits(retrieval.search(_chunks(spark, d), _question(spark, d), _vector(spark, d), filters, k=8))
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({FOLDED}, '(^|[^\\p{{L}}\\p{{N}}])the') AND regexp_matches({FOLDED}, '(^|[^\\p{{L}}\\p{{N}}])of\\s+the')")
+def ingredient_filter(spark, d):
+    filters = retrieval.SearchFilters(ingredient="The, of  the;")
+    return t(spark, d, "documents", "doc_id", "text").where(filters.condition(tx.fold(F.col("text")))).select("doc_id")
+
+
+@query("SELECT doc_id, CAST(packed_chars AS BIGINT) AS packed_chars FROM (SELECT doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS packed_chars FROM documents) WHERE packed_chars <= 60000")
+def context_pack(spark, d):
+    docs = t(spark, d, "documents", "doc_id", "source", "text")
+    return retrieval.pack_context(docs, ["source"], ["doc_id"], F.char_length("text")).select("doc_id", "packed_chars")
+
+
+@query(
+    f"SELECT vec_id, '[' || (row_number() OVER (ORDER BY cos DESC, vec_id)) || '] label ' || label || ' — trecho  (texto)' AS line FROM (SELECT vec_id, label, list_inner_product(CAST(embedding AS DOUBLE[]), {_Q}) AS cos FROM embeddings) ORDER BY cos DESC, vec_id LIMIT 8"
+)
+def citation_numbers(spark, d):
+    hits = retrieval.knn(t(spark, d, "embeddings", "vec_id", "embedding", "label"), _vector(spark, d), "vec_id")
+    return hits.select("vec_id", retrieval.citation_line(F.col("rank") + 1, F.concat(F.lit("label "), F.col("label").cast("string")), F.lit(""), F.lit("texto")).alias("line"))
+
+
+@query()
+def batch_packing(spark, d):
+    return retrieval.batched(t(spark, d, "documents", "source", "doc_id", "text"), "source", "doc_id", "text")
+
+
+# ------------------------------------------------------------------ conversations and jobs
+
+
+@query("SELECT conv_id, turn, md5(text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
+def last_turns(spark, d):
+    return memory.last_turns(t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", F.md5("text").alias("text"))
+
+
+@query("SELECT conv_id, turn, md5(text) AS plain FROM (SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'assistant')")
+def strip_citations(spark, d):
+    said = t(spark, d, "conversations").where("role = 'assistant'").withColumn("cited", F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("][12]")))
+    return said.select("conv_id", "turn", F.md5(tx.strip_citations(F.col("cited"))).alias("plain"))
+
+
+@query(
+    "SELECT doc_id, md5(CASE WHEN length(p) > 1500 THEN CASE WHEN contains(substr(p, 1, 1500), ' ') THEN regexp_extract(substr(p, 1, 1500), '(?s)^(.*) ', 1) ELSE substr(p, 1, 1500) END || ' …' ELSE p END) AS kept "
+    "FROM (SELECT doc_id, trim(regexp_replace(text, '\\s?\\[\\d+\\]', '', 'g')) AS p FROM documents)"
+)
+def truncate_answer(spark, d):
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(tx.truncate_answer(F.col("text"))).alias("kept"))
+
+
+@query(
+    "WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM x) "
+    "SELECT user_id, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n FROM y GROUP BY 1, 2"
+)
+def session_ttl(spark, d):
+    return memory.sessions(t(spark, d, "events", "user_id", "ts"), "user_id", "ts").select("user_id", "session", micros("started"), micros("ended"), "n")
+
+
+def _queue(spark, d) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", F.lit("queued")).when(F.col("o_orderstatus") == "P", F.lit("processing")).otherwise(F.lit("error"))
+    return t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.md5((F.col("o_orderkey") % 100).cast("string")).alias("file_md5"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("retryable"), F.lit(None).cast("string").alias("reason_code"), (F.col("o_orderpriority") == "2-HIGH").alias("cancel_requested"), F.when(F.col("o_orderpriority") == "5-LOW", F.lit("indexing")).alias("stage"),
+    )
+
+
+@query("SELECT o_orderkey AS id, epoch_us(o_orderdate) AS created FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def keyset_page(spark, d):
+    found = jobs.page(_queue(spark, d), F.lit("1996-06-01").cast("timestamp_ntz"))
+    return found.select("id", micros("created_at", "created"))
+
+
+@query("SELECT o_orderkey AS id, epoch_us(o_orderdate) AS created FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def oldest_claim(spark, d):
+    return jobs.oldest_queued(_queue(spark, d)).select("id", micros("created_at", "created"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus IN ('O', 'P')) > 0 AS active FROM orders")
+def active_exists(spark, d):
+    return jobs.has_active(_queue(spark, d))
+
+
+@query("SELECT epoch_us(min(o_orderdate)) AS created FROM orders WHERE o_orderkey % 100 = 7 AND o_orderstatus IN ('O', 'P')")
+def find_by_digest(spark, d):
+    import hashlib
+
+    found = jobs.by_digest(_queue(spark, d), hashlib.md5(b"7").hexdigest(), fx.PENDING_STATUSES)
+    return found.select(micros("created_at", "created"))
+
+
+@query(
+    "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'retry' WHEN o_orderstatus = 'O' THEN 'cancel' "
+    "WHEN o_orderstatus = 'P' AND o_orderpriority NOT IN ('2-HIGH', '5-LOW') THEN 'cancel' ELSE '' END AS actions FROM orders"
+)
+def job_actions(spark, d):
+    return _queue(spark, d).select("id", F.array_join(jobs.actions(), ",").alias("actions"))
+
+
+_EVENT_STATUS = {"signup": "queued", "view": "processing", "click": "added", "error": "error", "purchase": "cancelled"}
+_STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT_STATUS.items()) + " END"
+
+
+@query(
+    f"SELECT event_id, from_status, to_status FROM (SELECT event_id, coalesce(lag({_STATUS_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'new') AS from_status, {_STATUS_SQL} AS to_status FROM events) "
+    "WHERE (from_status, to_status) NOT IN (" + ", ".join(f"('{a}', '{b}')" for a, b in fx.TRANSITIONS) + ")"
+)
+def job_state_validate(spark, d):
+    status = F.create_map(*(F.lit(x) for pair in _EVENT_STATUS.items() for x in pair))[F.col("event_type")]
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = t(spark, d, "events").withColumn("to_status", status)
+    changes = steps.select("event_id", F.coalesce(F.lag("to_status").over(w), F.lit("new")).alias("from_status"), "to_status")
+    return jobs.illegal(changes).select("event_id", "from_status", "to_status")
+
+
+# ------------------------------------------------------------------ maintenance
+
+
+@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
+def anti_join_manifest(spark, d):
+    files = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5("text").alias("md5"))
+    return maintenance.not_processed(files, files.where("doc_id % 2 = 0").select("md5").distinct()).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 9 ELSE quality END AS quality FROM labels")
+def upsert_processed(spark, d):
+    known = t(spark, d, "labels", "doc_id", "quality")
+    return maintenance.upsert(known, known.where("doc_id % 10 = 0").withColumn("quality", F.lit(9)), "doc_id")
+
+
+def _books(spark, d) -> DataFrame:
+    book = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit(" [doc"), (F.col("doc_id") % 3).cast("string"), F.lit("]"))).otherwise(F.col("source"))
+    return t(spark, d, "documents", "doc_id", "source").select(F.format_string("%s::%04d", "source", "doc_id").alias("id"), book.alias("book"))
+
+
+_BOOKS = "SELECT source || '::' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS id, source, CASE WHEN doc_id % 5 = 0 THEN source || ' [doc' || (doc_id % 3) || ']' ELSE source END AS book FROM documents"
+
+
+@query(
+    f"WITH b AS ({_BOOKS}), r AS (SELECT source AS new, min(book) AS old FROM b WHERE source IN ('src1', 'src2') AND book <> source GROUP BY source) "
+    "SELECT id, coalesce(new, book) AS book FROM b LEFT JOIN r ON book = old WHERE book NOT IN ('src1', 'src2')"
+)
+def remove_and_relabel(spark, d):
+    return maintenance.remove_books(_books(spark, d), ["src1", "src2"])
+
+
+@query(
+    f"SELECT count(*) FILTER (WHERE book IN ('src1', 'src2')) AS chunks_removed, count(*) AS chunks_before, count(*) FILTER (WHERE book NOT IN ('src1', 'src2')) AS chunks_after, "
+    f"count(DISTINCT CASE WHEN book IN ('src1', 'src2') THEN source END) AS slugs_removed, count(DISTINCT CASE WHEN book NOT IN ('src1', 'src2') THEN book END) AS books_after FROM ({_BOOKS})"
+)
+def removal_report(spark, d):
+    titles = spark.createDataFrame([("src1",), ("src2",)], "book string")
+    return maintenance.removal_report(_books(spark, d), titles)
+
+
+@query("SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY user_id")
+def upper_median(spark, d):
+    return t(spark, d, "events", "user_id", "value").groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", tx.upper_median(F.col("v")).alias("median"))
