@@ -1,0 +1,45 @@
+from __future__ import annotations
+
+import books
+
+from corpusloom.functions.vectors import hashed_embedding_py
+from corpusloom.operators import dedup
+
+
+def chunked(spark, book, paragraphs, size, column="book"):
+    texts = [" ".join(paragraphs[i : i + size]) for i in range(0, len(paragraphs), size)]
+    return spark.createDataFrame([(f"{book}::{n:04d}", book, t, hashed_embedding_py(t).tolist()) for n, t in enumerate(texts)], f"id string, {column} string, text string, embedding array<float>")
+
+
+def test_same_work_cut_anew_is_found(spark):
+    known = chunked(spark, "A", books.invented(1), 1).unionByName(chunked(spark, "B", books.invented(2), 1))
+    found = dedup.find_duplicates(chunked(spark, "novo", books.invented(1), 3, "new_book"), known).collect()
+    assert [(r.new_book, r.book) for r in found] == [("novo", "A")] and found[0].containment > 0.9
+    assert dedup.find_duplicates(chunked(spark, "novo", books.invented(9), 3, "new_book"), known).collect() == []
+
+
+def test_near_vectors_with_other_text_are_none(spark):
+    known = chunked(spark, "A", books.invented(1), 1)
+    other = chunked(spark, "n", books.invented(5), 1, "new_book").drop("embedding")
+    same = [r.embedding for r in known.orderBy("id").collect()]
+    new = spark.createDataFrame([(r.id, r.new_book, r.text, v) for r, v in zip(other.orderBy("id").collect(), same)], "id string, new_book string, text string, embedding array<float>")
+    assert dedup.find_duplicates(new, known).collect() == []
+
+
+def test_empty_store(spark):
+    known = chunked(spark, "A", books.invented(1), 1).where("false")
+    assert dedup.find_duplicates(chunked(spark, "n", books.invented(1), 1, "new_book"), known).collect() == []
+
+
+def test_nearest_in_blocks(spark):
+    rows = [(n, hashed_embedding_py(f"w{n} w{n % 7}", 16).tolist()) for n in range(40)]
+    base = spark.createDataFrame(rows, "b long, embedding array<float>")
+    asked = base.withColumnRenamed("b", "q")
+    one = {(r.q, r.b, round(r.cos, 9)) for r in dedup.nearest(asked, base, "q", "b", k=3).collect()}
+    many = {(r.q, r.b, round(r.cos, 9)) for r in dedup.nearest(asked, base, "q", "b", k=3, block=7).collect()}
+    assert one == many and len(one) == 120
+
+
+def test_shingles_of_short_texts(spark):
+    df = spark.createDataFrame([(1, "um dois tres quatro"), (2, None), (3, "abc def ghi jkl mno abc def ghi jkl mno")], "k long, text string")
+    assert {r.k for r in dedup.shingles(df, "k", "text").collect()} == {3}

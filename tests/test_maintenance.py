@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import pytest
+
+from corpusloom.operators import catalog, maintenance
+from corpusloom.operators.maintenance import Snapshots
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "id string, book string")
+
+
+def test_snapshots(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "index"))
+    assert s.current is None and s.recover() == []
+    with pytest.raises(FileNotFoundError):
+        s.read()
+    s.append(frame(spark, [("a::0000", "A")]), n_books=1)
+    s.append(frame(spark, [("b::0000", "B")]))
+    assert s.current["n_rows"] == s.read().count() == 2
+    frame(spark, [("x", "X")]).write.parquet(f"{s.path}/v-left-behind")  # a commit that was interrupted before its pointer
+    assert s.read().count() == 2
+    assert s.recover() == ["v-left-behind"] and s.recover() == []
+    s.rollback()
+    assert [r.book for r in s.read().collect()] == ["A"]
+    with pytest.raises(ValueError):
+        s.rollback()
+
+
+def test_remove_books(spark):
+    chunks = frame(spark, [("a::0000", "T"), ("b::0000", "T [livro.pdf]"), ("c::0000", "T [zebra.pdf]"), ("d::0000", "U"), ("e::0000", "T2 [x]")])
+    kept = {r.id: r.book for r in maintenance.remove_books(chunks, ["T"]).collect()}
+    assert kept == {"b::0000": "T", "c::0000": "T [zebra.pdf]", "d::0000": "U", "e::0000": "T2 [x]"}
+    with pytest.raises(ValueError, match="unknown titles"):
+        maintenance.remove_books(chunks, ["T", "nada"])
+
+
+def test_processed(spark):
+    known = spark.createDataFrame([("m1", 3, "a"), ("m2", 2, "b")], "md5 string, n_chunks int, slug string").withColumn("removed", maintenance.F.lit(False))
+    gone = maintenance.mark_removed(known, spark.createDataFrame([("a",)], "slug string"))
+    assert {(r.md5, r.n_chunks, r.removed) for r in gone.collect()} == {("m1", 0, True), ("m2", 2, False)}
+    files = spark.createDataFrame([("m1",), ("m3",)], "md5 string")
+    assert [r.md5 for r in maintenance.not_processed(files, gone).collect()] == ["m3"]
+    more = maintenance.insert_absent(known, spark.createDataFrame([("m2", 9, "x"), ("m4", 1, "d")], "md5 string, n_chunks int, other string"), "md5")
+    assert {(r.md5, r.n_chunks, r.slug) for r in more.collect()} == {("m1", 3, "a"), ("m2", 2, "b"), ("m4", 1, None)}
+    assert catalog.may_rebuild(9, 10) and not catalog.may_rebuild(8, 10)
+
+
+def test_titles_cascade(spark):
+    df = spark.createDataFrame([(None, "", "meta", "s"), ("added", "p", "m", "s"), (None, None, None, "s")], "a string, b string, c string, d string")
+    assert [r[0] for r in df.select(catalog.known_title(*map(catalog.F.col, "abcd"))).collect()] == ["meta", "added", "s"]
