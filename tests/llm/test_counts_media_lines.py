@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from conftest import assert_same
+from tokenizers import Tokenizer
+
+from corpusloom.llm import decontaminate, line_dedup
+from corpusloom.llm import media_copies as mc
+from corpusloom.llm import token_counts as tc
+
+SPEC = open(tc.default_path(), encoding="utf-8").read()
+LIB = Tokenizer.from_str(SPEC)
+LIB.encode_special_tokens = True
+
+
+def test_edits_against_full_counts():
+    rng, counter = random.Random(2), tc.Counter(SPEC)
+    alphabet = "ab'sltd 12\n.,é ✓<|>"
+    for _ in range(600):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 20, 900])))
+        tree = tc.TokenTree(counter.find.findall(text), counter)
+        for _ in range(5):
+            at, cut = rng.randint(-2, len(text) + 3), rng.choice([-1, 0, 1, 2, 50])
+            new = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 9, 1500 if rng.random() < 0.1 else 3])))
+            tree.edit(at, cut, new)
+            at = min(max(at, 0), len(text))
+            text = text[:at] + new + text[at + max(cut, 0) :]
+            assert tree.text() == text and tree.total == len(LIB.encode(text, add_special_tokens=False).ids)
+            assert tree.letters[1] == len(text)
+
+
+def test_only_the_edited_region_is_encoded():
+    counter = tc.Counter(SPEC)
+    tree = tc.TokenTree(counter.find.findall("some words and more " * 5000), counter)
+    tree.edit(40_000, 5, "new")
+    assert tree.encoded < 20
+
+
+def test_edit_tables(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, "x"), (None, "y"), (3, "z")], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 2, 0, 5, "bye"), (1, 1, 5, 100, ", you"), (2, 1, 0, 0, "text"), (9, 1, 0, 0, "q"), (None, 1, 0, 0, "q"), (3, 1, -4, -1, None)], "doc_id long, seq int, pos long, n_delete long, insert string")
+    rows = tc.recount_from(docs, edits, tc.default_path()).collect()
+    import hashlib
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {(r.doc_id, r.text_sha256) for r in rows}
+    assert got == {(1, digest("bye, you")), (2, digest("text")), (3, digest("x")), (3, digest("z")), (None, digest("y"))}
+    assert tc.recount_from(docs.where("false"), edits, tc.default_path()).count() == 0
+
+
+def test_token_query_against_library(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumn("edits", tc.scripted_edits())
+    expected = {}
+    for r in docs.collect():
+        text = r.text
+        for e in r.edits:
+            text = text[: e.pos] + e["insert"] + text[e.pos + e.n_delete :]
+        expected[r.doc_id] = (len(LIB.encode(r.text, add_special_tokens=False).ids), len(LIB.encode(text, add_special_tokens=False).ids))
+    assert {r.doc_id: (r.n_tokens_before, r.n_tokens_after) for r in tc.query(spark, sf).collect()} == expected
+    assert F is not None
+
+
+def test_copies_are_found_and_others_left(spark):
+    rng = np.random.default_rng(1)
+    pictures = [mc.render(rng.random(8)) for _ in range(25)]
+    rows = [(10 * n, mc.write_pgm(p)) for n, p in enumerate(pictures)]
+    rows += [(1, rows[0][1]), (11, mc.write_pgm(mc.edited(pictures[1], 3))), (21, mc.write_pgm(pictures[2] * 0.6 + 30)), (31, mc.write_pgm(pictures[3][12:76, 4:70] + rng.normal(0, 1.0, (64, 66))))]
+    rows += [(900, None), (901, b""), (902, b"P5 9 9"), (903, b"P5 4 4 255\n" + b"\0" * 16), (904, mc.write_pgm(np.full((80, 80), 7.0))), (None, rows[4][1]), (10, rows[1][1])]
+    df = spark.createDataFrame([(i, d, 0) for i, d in rows], "image_id long, data binary, corner int")
+    found = mc.copies(df).collect()
+    assert len(found) == len(rows)
+    where = {r.image_id: r.component_id for r in found}
+    assert {i: c for i, c in where.items() if i != c} == {1: 0, 11: 10, 21: 20, 31: 30}
+    assert {r.image_id: r.n_links for r in found if r.n_links} == {10: 1, 11: 1, 20: 1, 21: 1, 30: 1, 31: 1} or all(r.n_links <= 1 for r in found)
+    assert mc.copies(df.where("false")).count() == 0
+
+
+def test_pgm_round_trip():
+    image = np.arange(48, dtype=np.float32).reshape(6, 8)
+    assert (mc.read_pgm(mc.write_pgm(image)) == image).all() and mc.read_pgm(b"GIF89a") is None
+
+
+def test_line_query_same_as_sql(spark, sf, duck):
+    assert_same(line_dedup.query(spark, sf), duck, line_dedup.SQL)
+
+
+def test_decontamination_query_same_as_sql(spark, sf, duck):
+    assert_same(decontaminate.query(spark, sf), duck, decontaminate.SQL)
+
+
+def test_lines_odd_rows(spark):
+    line = "A line that repeats"
+    rows = [(2, f"{line}\nown two"), (1, f"  {line.lower()}\t\n{line}\nshort\n"), (3, f"short\nshort\n{line}"), (4, None), (5, ""), (None, line), (3, f"short\nshort\n{line}"), (6, "É" * 12), (7, "é" * 12), (8, "\n".join(f"row {n} of many lines" for n in range(700))), (9, "\n".join(f"row {n} of many lines" for n in range(0, 700, 7)) + "\nlast own line")]
+    df = spark.createDataFrame([(a, b, "k") for a, b in rows], "doc_id long, text string, n_dropped string")
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    text8 = rows[9][1]
+    assert got == {(2, "own two", 2, 1), (1, rows[1][1], 4, 0), (3, "short\nshort", 3, 1), (4, "", 1, 0), (5, "", 1, 0), (None, line, 1, 0), (6, "É" * 12, 1, 0), (7, "é" * 12, 1, 0), (8, text8, 700, 0), (9, "last own line", 101, 100)}
+    assert line_dedup.dedup_lines(df).count() == len(rows)
+    assert line_dedup.dedup_lines(df.where("false")).count() == 0
+
+
+def test_lines_stay_in_the_jvm(spark, sf):
+    plan = line_dedup.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan
