@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -41,9 +43,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     path = f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver's end, not before
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The rows whose distinct ``column`` values have the ``n`` smallest hashes. A first cut by the share of the hash range that
+    holds about twice as many keeps what meets in one task small at any size."""
+    named = df.where(F.col(column).isNotNull())
+    share = 2 * (n + 500) / max(named.count(), 1)
+    near = named.where(F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int(min(share, 1.0) * (1 << 40)))
+    return near.dropDuplicates([column]).orderBy(F.pmod(F.xxhash64(column), F.lit(1 << 40)), column).limit(n)
+
+
+def without_gc(f: Callable) -> Callable:
+    """For functions that make many objects and no cycles: the collector would walk all of them again and again."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args, **named)
+        finally:
+            if was:
+                gc.enable()
+
+    return run
+
+
 def utf8(column: str):
     """The column as UTF-8 bytes; Python workers then get bytes without decoding."""
     return F.col(column).cast("binary").alias(column)

@@ -24,6 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare, table, utf8
+from ._common import prepare, table, utf8, without_gc
 
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
+_UNSURE = re.compile("[\u0378-\U0010ffff]")
+
 
 def byte_symbols() -> list[str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
@@ -48,10 +51,11 @@ class Vocabulary:
 
     def __init__(self, path: str, max_vocab: int = 1 << 20):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-        normal = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"] or spec["decoder"] is not None:
+            self.spec = f.read()
+        spec = json.loads(self.spec)
+        model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if model["type"] != "BPE" or normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or spec["decoder"] is not None:
             raise ValueError(f"not a tokenizer of the supported kind: {path}")
         if len(model["vocab"]) > max_vocab:
             raise ValueError(f"{len(model['vocab'])} entries are over max_vocab={max_vocab}")
@@ -104,7 +108,7 @@ class TrieEncoder:
         while state not in self.begun:
             state = state[1:]
         ends = [(len(state) - k - extra, t) for k in range(len(state) - extra) if (t := self.ids.get(state[k:])) is not None]
-        if len(self.moves) > 1_000_000:
+        if len(self.moves) > 300_000:
             self.moves.clear()
         made = self.moves[key] = (state, ends)
         return made
@@ -115,7 +119,7 @@ class TrieEncoder:
         traversal returns to where the next word leaves it."""
         out: dict[str, list[int]] = {}
         moves, stable, suffix = self.moves, self.stable, self.suffix
-        if len(stable) > 2_000_000:
+        if len(stable) > 1_000_000:
             stable.clear()
         states: list[str] = []  # for each prefix on the branch: how far into tokens it reaches,
         last: list[int] = []  # the last token of its encoding,
@@ -159,56 +163,69 @@ class TrieEncoder:
 class Codec:
     """Encodes and decodes whole texts; one for each Python worker."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_pieces: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, cache_pieces: int = 600_000):
         self.encoder = TrieEncoder(vocabulary)
         self.table = dict(enumerate(byte_symbols()))
-        self.split = regex.compile(vocabulary.pattern).findall
+        self.byte_of = {s: b for b, s in self.table.items()}
+        self.split, self.spec = regex.compile(vocabulary.pattern).findall, vocabulary.spec
         self.special = vocabulary.special
         self.specials = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
         self.names = {i: t.encode() for t, i in [*vocabulary.ids.items(), *vocabulary.special.items()]}
         self.as_bytes = [i.to_bytes(4, "little") for i in range(max(self.names) + 1)]
         self.marks = {t: b" " + t.encode() for t in self.special}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.limit = cache_pieces
         self.reset()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
     @staticmethod
-    def pieces(text: bytes) -> list[bytes]:
+    def unknown(s: str) -> bool:
+        """Whether it has letters of a later Unicode version than Python's: only the library knows what it makes of them."""
+        return any(unicodedata.category(c) == "Cn" for c in set(s))
+
+    def pieces(self, text: bytes) -> list[bytes]:
         """Normalised text, between white space."""
         if text.isascii():
             return text.lower().split()
         s = text.decode()
+        if _UNSURE.search(s) and self.unknown(s):
+            return self.library.normalizer.normalize_str(s).encode().split()
         if not unicodedata.is_normalized("NFC", s):
             s = unicodedata.normalize("NFC", s)
         s = _WIDE_SPACE.sub(" ", s).replace("Σ", "σ").lower()
         return s.encode().split()
 
-    def words(self, piece: bytes) -> list[str]:
-        """The pre-tokens of a piece, in byte symbols."""
+    def words(self, piece: bytes) -> list[bytes]:
+        """The pre-tokens of a piece."""
         s = piece.decode()
         if s.isalpha():
-            found = [s]
-        elif s[-1] in ".,;:!?" and s[:-1].isalpha():
-            found = [s[:-1], s[-1]]
-        else:
-            found = self.split(s)
-        return found if piece.isascii() and s.isprintable() else [w.encode().decode("latin-1").translate(self.table) for w in found]
+            return [piece]
+        if s[-1] in ".,;:!?" and s[:-1].isalpha():
+            return [piece[:-1], piece[-1:]]
+        if _UNSURE.search(s) and self.unknown(s):
+            return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(s)]
+        return [w.encode() for w in self.split(s)]
 
     def learn(self, new: set[bytes]) -> None:
+        """Encode the words of new pieces that are no pieces yet, and put pieces of several words together."""
         found = {p: self.words(p) for p in new}
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        as_bytes, names = self.as_bytes, self.names
-        for w, tokens in self.encoder.encode({w for ws in found.values() for w in ws if w not in known}).items():
-            known[w] = b"".join([as_bytes[t] for t in tokens]), b" ".join([names[t] for t in tokens])
+        unseen = {w for ws in found.values() for w in ws}.difference(self.ids)
+        symbols = {w.decode("latin-1").translate(self.table): w for w in unseen}
+        as_bytes, names, ids, text = self.as_bytes, self.names, self.ids, self.text
+        for s, tokens in self.encoder.encode(symbols).items():
+            w = symbols[s]
+            ids[w] = b"".join([as_bytes[t] for t in tokens])
+            text[w] = b" ".join([names[t] for t in tokens])
         for p, ws in found.items():
-            if len(ws) == 1:
-                self.ids[p], self.text[p] = known[ws[0]]
-            else:
-                parts = [known[w] for w in ws]
-                self.ids[p], self.text[p] = b"".join([a for a, _ in parts]), b" ".join([b for _, b in parts])
+            if len(ws) > 1:
+                ids[p] = b"".join([ids[w] for w in ws])
+                text[p] = b" ".join([text[w] for w in ws])
 
+    @without_gc
     def encode(self, texts: list[bytes | None]) -> tuple[list[bytes], list[bytes]]:
         """For each text its ids, as little-endian unsigned 32-bit integers, and its decoded text in UTF-8."""
         split: list[list[bytes]] = []
@@ -255,7 +272,7 @@ def _codec(shared, cache_pieces: int) -> Codec:
 _OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), keep: tuple[str, ...] = (), cache_pieces: int = 300_000, block: int = 1000) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), keep: tuple[str, ...] = (), cache_pieces: int = 600_000, block: int = 1000) -> DataFrame:
     """(doc_id, the columns of ``keep``, n_tokens, and the ``outputs`` named of ids, decoded, ids_sha256 and
     decoded_sha256)."""
     spark: SparkSession = prepare(docs.sparkSession)

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prepare, table, utf8
+from ._common import prepare, table, utf8, without_gc
 
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +46,7 @@ class Counter:
         self.known: dict[str, int] = {}
         self.limit = limit
 
+    @without_gc
     def learn(self, tokens: set[str]) -> None:
         new = tokens.difference(self.known)
         if new:
