@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,29 @@ class Snapshots:
         self._replace("CURRENT", json.dumps(made))
         return made
 
+    @contextmanager
+    def lock(self, wait_seconds: float = 600, on_wait: Callable[[], None] | None = None):
+        """One writer at a time: a file that only one of several can create. A writer that died leaves it; ``recover`` of a
+        caller that knows so removes it."""
+        at, began, told = self._path(f"{self.path}/_LOCK"), time.monotonic(), False
+        while True:
+            try:
+                self._fs.create(at, False).close()
+                break
+            except Exception as e:
+                if "already exists" not in str(e) and "FileAlreadyExists" not in str(e):
+                    raise
+                if on_wait and not told:
+                    told = True
+                    on_wait()
+                if time.monotonic() - began > wait_seconds:
+                    raise TimeoutError(f"{self.path} is locked") from e
+                time.sleep(0.2)
+        try:
+            yield self
+        finally:
+            self._fs.delete(at, False)
+
     def append(self, rows: DataFrame, **facts) -> dict:
         return self.commit(self.read().unionByName(rows, allowMissingColumns=True) if self.current else rows, **facts)
 
@@ -143,3 +167,33 @@ class Snapshots:
                     self._fs.delete(status.getPath(), True)
                     gone.append(name)
         return sorted(gone)
+
+
+def unique_slugs(files: DataFrame, taken: DataFrame, slug: str = "slug", digest: str = "md5") -> DataFrame:
+    """``files`` with slugs that name one file each: one that is taken, or that an earlier file of the same table has (by
+    digest), gets the first six letters of its file's digest."""
+    known = taken.select(F.col(slug).alias("_s")).distinct().withColumn("_taken", F.lit(True))
+    order = Window.partitionBy(slug).orderBy(digest)
+    marked = files.withColumn("_n", F.row_number().over(order)).join(known, F.col(slug) == F.col("_s"), "left")
+    clash = F.col("_taken").isNotNull() | (F.col("_n") > 1)
+    return marked.withColumn(slug, F.when(clash, F.concat(slug, F.lit("-"), F.substring(digest, 1, 6))).otherwise(F.col(slug))).select(*files.columns)
+
+
+def distinct_labels(books: DataFrame, taken: DataFrame, title: str = "title", filename: str = "filename", slug: str = "slug") -> DataFrame:
+    """``books`` with titles that are not taken: else with the file's name in brackets, else with the slug."""
+    known = taken.select(F.col(title).alias("_t")).distinct()
+    labelled = books.withColumn("_file", F.format_string("%s [%s]", title, filename))
+    for n, column in enumerate((title, "_file")):
+        labelled = labelled.join(known.withColumnRenamed("_t", f"_t{n}"), F.col(column) == F.col(f"_t{n}"), "left")
+    label = F.when(F.col("_t0").isNull(), F.col(title)).when(F.col("_t1").isNull(), F.col("_file")).otherwise(F.format_string("%s [%s]", title, slug))
+    return labelled.withColumn(title, label).select(*books.columns)
+
+
+def mark_uploads(uploads: DataFrame, known: DataFrame, pending: DataFrame, digest: str = "md5", order: str = "n") -> DataFrame:
+    """``uploads`` with outcome: new, duplicate_file (the same bytes earlier in this upload) or duplicate_content (bytes that
+    are in the index or wait for it)."""
+    rank = F.row_number().over(Window.partitionBy(digest).orderBy(order))
+    there = known.select(digest).unionByName(pending.select(digest)).distinct().withColumn("_there", F.lit(True))
+    joined = uploads.withColumn("_r", rank).join(there, digest, "left")
+    outcome = F.when(F.col("_there").isNotNull(), F.lit("duplicate_content")).when(F.col("_r") > 1, F.lit("duplicate_file")).otherwise(F.lit("new"))
+    return joined.withColumn("outcome", outcome).select(*uploads.columns, "outcome")

@@ -638,3 +638,31 @@ def removal_report(spark, d):
 @query("SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY user_id")
 def upper_median(spark, d):
     return t(spark, d, "events", "user_id", "value").groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", tx.upper_median(F.col("v")).alias("median"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN r > 1 OR source IN ('src3', 'src4') THEN source || '-' || substr(md5, 1, 6) ELSE source END AS slug "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5) AS r FROM (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS md5 FROM documents))"
+)
+def unique_slugs(spark, d):
+    files = t(spark, d, "documents", "doc_id", "source").select("doc_id", F.col("source").alias("slug"), F.md5(F.col("doc_id").cast("string")).alias("md5"))
+    return maintenance.unique_slugs(files, spark.createDataFrame([("src3",), ("src4",)], "slug string")).select("doc_id", "slug")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN title <> 'src1' THEN title WHEN filename <> '21.txt' THEN title || ' [' || filename || ']' ELSE title || ' [s' || doc_id || ']' END AS title "
+    "FROM (SELECT doc_id, source AS title, doc_id || '.txt' AS filename FROM documents)"
+)
+def distinct_labels(spark, d):
+    books = t(spark, d, "documents", "doc_id", "source").select("doc_id", F.col("source").alias("title"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slug"))
+    taken = spark.createDataFrame([("src1",), ("src1 [21.txt]",)], "title string")
+    return maintenance.distinct_labels(books, taken).select("doc_id", "title")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN md5 IN (SELECT md5(text) FROM documents WHERE doc_id % 50 = 0 OR doc_id % 51 = 0) THEN 'duplicate_content' WHEN r > 1 THEN 'duplicate_file' ELSE 'new' END AS outcome "
+    "FROM (SELECT doc_id, md5(text) AS md5, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)"
+)
+def upload_outcomes(spark, d):
+    files = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5("text").alias("md5"))
+    return maintenance.mark_uploads(files, files.where("doc_id % 50 = 0"), files.where("doc_id % 51 = 0"), order="doc_id").select("doc_id", "outcome")

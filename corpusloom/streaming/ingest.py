@@ -31,16 +31,21 @@ def named(files: DataFrame) -> DataFrame:
 def ingest_batch(files: DataFrame, chunks: maintenance.Snapshots, processed: maintenance.Snapshots) -> None:
     """Curate the files of a batch that are new and append their chunks; every file gets an entry in ``processed``."""
     found = dedup.preferred_copy(readers.candidates(named(files)))
+    found = found.withColumn("slug", tx.safe_slug(F.col("name")))
     if processed.current:
-        found = maintenance.not_processed(found, processed.read())
+        known = processed.read()
+        found = maintenance.unique_slugs(maintenance.not_processed(found, known), known)
+    else:
+        found = maintenance.unique_slugs(found, found.limit(0))
     texts = readers.extract_text(found).persist()
     try:
-        prepared = curate.prepare(texts.where("error IS NULL"), "md5", "text").join(texts.select("md5", "name"), "md5")
-        rows = curate.chunk_rows(prepared.withColumn("slug", tx.safe_slug(F.col("name"))).withColumn("book", tx.book_title(F.col("name"))), "slug", "book", "md5")
-        entries = texts.select("md5", "name", "error").join(prepared.select("md5", "discard_reason", F.size("pieces").alias("n")), "md5", "left")
-        done = entries.select("md5", tx.safe_slug(F.col("name")).alias("slug"), F.coalesce(F.when(F.col("discard_reason").isNull(), F.col("n")), F.lit(0)).alias("n_chunks"), F.coalesce("error", "discard_reason").alias("reason"))
-        chunks.append(rows)
-        processed.append(done)
+        prepared = curate.prepare(texts.where("error IS NULL"), "md5", "text").join(texts.select("md5", "name", "slug"), "md5")
+        rows = curate.chunk_rows(prepared.withColumn("book", tx.book_title(F.col("name"))), "slug", "book", "md5")
+        entries = texts.select("md5", "slug", "error").join(prepared.select("md5", "discard_reason", F.size("pieces").alias("n")), "md5", "left")
+        done = entries.select("md5", "slug", F.coalesce(F.when(F.col("discard_reason").isNull(), F.col("n")), F.lit(0)).alias("n_chunks"), F.coalesce("error", "discard_reason").alias("reason"))
+        with chunks.lock():
+            chunks.append(rows)
+            processed.append(done)
     finally:
         texts.unpersist()
 

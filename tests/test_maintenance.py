@@ -49,3 +49,14 @@ def test_processed(spark):
 def test_titles_cascade(spark):
     df = spark.createDataFrame([(None, "", "meta", "s"), ("added", "p", "m", "s"), (None, None, None, "s")], "a string, b string, c string, d string")
     assert [r[0] for r in df.select(catalog.known_title(*map(catalog.F.col, "abcd"))).collect()] == ["meta", "added", "s"]
+
+
+def test_lock(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "locked"))
+    waits = []
+    with s.lock():
+        with pytest.raises(TimeoutError), s.lock(wait_seconds=0.3, on_wait=lambda: waits.append(1)):
+            pass
+    with s.lock():
+        pass
+    assert waits == [1]
