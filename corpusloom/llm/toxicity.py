@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, prepare, table, utf8
+from ._common import map_rows, prepare, smallest_hashes, table, utf8
 from ._ngrams import codes, hashed
 
 SIZES = (5, 6)
@@ -46,21 +46,27 @@ def fit(features: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS,
     n, n1 = len(y), float(y.sum())
     if not n or n1 in (0.0, float(n)):
         return Model(np.zeros(buckets, np.float32), 6.0 if n and n1 else -6.0)
-    flat = np.concatenate(features)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
+    # A feature of each row at a time: what follows keeps one 32-bit and one 16- or 32-bit number for each.
+    flat = np.concatenate(features).astype(np.int32, copy=False)
+    row = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.uint32), [len(f) for f in features])
+    features.clear()
     df = np.bincount(flat, minlength=buckets)
-    keep = df[flat] >= min_docs
-    flat, row = flat[keep], row[keep]
-    toxic = np.bincount(flat, weights=y[row], minlength=buckets)
+    keep = df >= min_docs
+    flat, row = flat[at := keep[flat]], row[at]
+    del at
+    parts = [slice(i, i + (1 << 21)) for i in range(0, len(flat), 1 << 21)]
+    toxic = sum((np.bincount(flat[p], weights=y[row[p]], minlength=buckets) for p in parts), np.zeros(buckets))
     share = n1 / n
     ratio = np.log((toxic + smooth * share) / n1) - np.log((df - toxic + smooth * (1 - share)) / (n - n1))
-    names, flat = np.unique(flat, return_inverse=True)
-    flat = flat.astype(np.int32)
+    names = np.flatnonzero(keep)
+    place = np.zeros(buckets, np.int32)
+    place[names] = np.arange(len(names))
+    for p in parts:
+        flat[p] = place[flat[p]]
     scale = ratio[names].astype(np.float32)
     w, b = np.zeros(len(names)), np.log(share / (1 - share))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     each = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1))  # both classes weigh the same
-    parts = [slice(i, min(i + (1 << 22), len(flat))) for i in range(0, len(flat), 1 << 22)]
     for step in range(1, rounds + 1):
         scaled = (w * scale).astype(np.float32)
         z = np.full(n, b)
@@ -86,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on the labelled documents of smallest hash, ``train_rows`` at most. Their ids are of bounded number and are
     broadcast; the documents' features are made where the documents are."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+    chosen = smallest_hashes(known, "_id", train_rows)
     rows = docs.select(F.col(doc_id).alias("_id"), utf8(text)).join(F.broadcast(chosen), "_id").select("_y", text)
 
     def features(ys, texts):
@@ -107,6 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     learned = map_rows(rows, features, "y int, features array<int>").repartition(1).mapInArrow(learn, "bucket int, weight double").toArrow()
     bucket, weight = learned.column(0).to_numpy(), learned.column(1).to_numpy()
+    if not len(bucket):
+        return fit([], np.zeros(0), buckets)
     weights = np.zeros(buckets, np.float32)
     weights[bucket[bucket >= 0]] = weight[bucket >= 0]
     return Model(weights, float(weight[bucket < 0][0]))
