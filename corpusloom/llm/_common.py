@@ -27,14 +27,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     parts = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts can be long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
     return spark
 
 
+#: Tables whose rows are work: where a small file makes fewer partitions than there are cores, they are dealt out first.
+TEXTS = ("documents", "pages", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
