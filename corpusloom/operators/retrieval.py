@@ -120,7 +120,7 @@ def search(chunks: DataFrame, text: str, vector: Sequence[float], filters: Searc
     Filters hold before ranking. Whether a term is rare, and its idf, follow from the whole collection even when
     filters narrow what is ranked. The score to show is cos; the order is that of the fusion."""
     filters = filters or SearchFilters()
-    known = chunks.withColumn("_folded", folded_text())
+    known = tx.held(chunks, "_folded", folded_text())
     terms = query_terms(" ".join([text, *filters.ingredients]))
     allowed = known.where(filters.condition(F.col("_folded")))
     n = known.count() if terms else 0

@@ -33,7 +33,11 @@ def query(sql: str | None = None):
 
 def t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if name in ("documents", "pages") and {"text", "html"} & set(df.columns):
+        cores = spark.sparkContext.defaultParallelism  # a small file makes fewer partitions than there are cores: deal its rows out
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df
 
 
 def micros(column: str, name: str | None = None):
@@ -178,7 +182,7 @@ _LANG_SQL = ", ".join(f"len(regexp_extract_all(h, '\\b({w})\\b')) AS {lang}" for
     f"FROM (SELECT doc_id, {_LANG_SQL} FROM (SELECT doc_id, replace(strip_accents(lower(substr(text, 1, 20000))), 'ß', 's') AS h FROM documents))"
 )
 def detect_lang(spark, d):
-    return t(spark, d, "documents", "doc_id", "text").select("doc_id", tx.detect_language(F.col("text")).alias("detected"))
+    return tx.with_language(t(spark, d, "documents", "doc_id", "text"), "text", "detected").select("doc_id", "detected")
 
 
 _COUNTS = {"ing_headers": fx.INGREDIENT_HEADER, "met_headers": fx.METHOD_HEADER, "classic_headers": fx.CLASSIC_HEADER, "qty_lines": fx.QUANTITY_LINE, "yield_lines": fx.YIELD_LINE, "culinary_hits": fx.CULINARY_WORD, "noncul_hits": fx.NON_CULINARY}
@@ -186,7 +190,8 @@ _COUNTS_SQL = "SELECT doc_id, length(plain) AS chars, " + ", ".join(f"len(regexp
 
 
 def _plain(spark, d) -> DataFrame:
-    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.replace(tx.fold(F.col("text")), F.lit("ß"), F.lit("s")).alias("text"))
+    docs = t(spark, d, "documents", "doc_id", "text")
+    return tx.held(docs, "plain", F.replace(tx.fold(F.col("text")), F.lit("ß"), F.lit("s"))).select("doc_id", F.col("plain").alias("text"))
 
 
 @query("SELECT doc_id, " + ", ".join(_COUNTS) + f" FROM ({_COUNTS_SQL})")
@@ -441,14 +446,14 @@ def _question(spark, d) -> str:
 
 @query(f"{_SEARCH} SELECT term, df, CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM rare")
 def rare_terms(spark, d):
-    chunks = _chunks(spark, d).withColumn("_f", retrieval.folded_text())
+    chunks = tx.held(_chunks(spark, d), "_f", retrieval.folded_text())
     counts = retrieval.term_counts(chunks, "id", "_f", retrieval.query_terms(_question(spark, d)))
     return retrieval.rare_terms(counts, chunks.count()).select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 @query(f"{_SEARCH} SELECT id, round(lex, 6) AS lex FROM ({_LEX})")
 def lexical_score(spark, d):
-    chunks = _chunks(spark, d).withColumn("_f", retrieval.folded_text())
+    chunks = tx.held(_chunks(spark, d), "_f", retrieval.folded_text())
     counts = retrieval.term_counts(chunks, "id", "_f", retrieval.query_terms(_question(spark, d)))
     return retrieval.lexical_scores(counts, retrieval.rare_terms(counts, chunks.count()), "id").select("id", F.round("lex", 6).alias("lex"))
 
