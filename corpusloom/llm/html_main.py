@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements and a list of text blocks in page order. What is never article text (menus,
-page headers and footers, side bars, forms, scripts, notices, adverts, reader comments) is taken out. Each block
+page headers and footers, side bars, forms, scripts, notices, adverts, reader comments) is taken out. A name alone takes
+out neither an article nor what holds most of the text, and inside an article no section or heading by its id. Each block
 then passes points for its length and its commas to its ancestors, less with distance, and every ancestor's points are
 discounted by its share of link text. The best container is kept with those of its siblings that carry text of their own.
 
@@ -25,7 +26,7 @@ from ._common import map_rows, table
 
 # Names of HTML elements by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg object canvas audio video annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -37,6 +38,10 @@ NEGATIVE = frozenset(
     "disqus disclaimer discussion foot footer gdpr hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paging popup promo promoted promotion "
     "recommend recommended recommendations related replies reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
 )
+# Names that say reader comments wherever they stand; first parts of names that tell a state or a topic, not a part of the page.
+COMMENTS = frozenset("comment comments commentlist disqus disqus_thread respond".split())
+STATES = frozenset("no has with without category cat tag format type status".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 POSITIVE = frozenset("article articlebody body content entry hentry main post story text prose".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
@@ -46,6 +51,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -120,7 +126,7 @@ class Page:
                 continue
             rest = m.group(3) if m.group(3) is not None else m.group(6) or ""
             if name in RAW:
-                if not rest.endswith("/") or name not in ("svg", "math"):
+                if not rest.endswith("/") or name not in ("svg", "annotation", "annotation-xml"):
                     close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                     at = close.end() if close else size
                 continue
@@ -154,10 +160,19 @@ class Page:
             stack.append(len(tags) - 1)
         flush()
 
-    def marks(self, x: int) -> tuple[set[str], dict[str, str]]:
+    def marks(self, x: int) -> tuple[set[str], set[str], set[str], dict[str, str]]:
+        """Words of class and id, words of class alone, whole names, attributes."""
         found = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(self.attrs[x])} if self.attrs[x].strip() else {}
-        named = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()
-        return set(_WORDS.findall(named)), found
+        classes, names = _names(found.get("class", "")), _names(found.get("id", ""))
+        return _words(classes) | _words(names), _words(classes), {n.lower() for n in classes + names}, found
+
+
+def _names(value: str) -> list[str]:
+    return [n for n in value.split() if re.split(r"[-_]", n.lower(), maxsplit=1)[0] not in STATES or not re.search("[-_]", n)]
+
+
+def _words(names: list[str]) -> set[str]:
+    return {w for n in names for w in _WORDS.findall(_CAMEL.sub(" ", n).lower())}
 
 
 def main_text(source: str | None) -> str:
@@ -167,16 +182,18 @@ def main_text(source: str | None) -> str:
     n = len(page.tag)
     parent, tag = page.parent, page.tag
     words: list[set[str]] = [set()] * n
+    classes: list[set[str]] = [set()] * n
+    names: list[set[str]] = [set()] * n
     inside = [False] * n  # whether an article or main is above or here
     holds = [False] * n  # whether one is below
     found: list[dict[str, str]] = [{}] * n
     for x in range(n):
         if page.attrs[x]:
-            words[x], found[x] = page.marks(x)
+            words[x], classes[x], names[x], found[x] = page.marks(x)
         inside[x] = tag[x] in MAIN or found[x].get("role") == "main" or (x > 0 and inside[parent[x]])
     for x in range(n - 1, 0, -1):
         holds[parent[x]] = holds[parent[x]] or holds[x] or tag[x] in MAIN or found[x].get("role") == "main"
-    gone = [False] * n
+    never = [False] * n  # by what they are, not by name
     for x in range(n):
         a = found[x]
         bad = (
@@ -186,14 +203,35 @@ def main_text(source: str | None) -> str:
             or "hidden" in a
             or a.get("aria-hidden") == "true"
             or re.search(r"display\s*:\s*none", a.get("style", ""), re.I) is not None
-            or (bool(words[x] & NEGATIVE) and tag[x] not in ("html", "body", "main"))
-            or ("header" in words[x] and not inside[x])
         )
         keeps = holds[x] and tag[x] not in ("nav", "footer", "aside") and not words[x] & {"comments", "comment", "related", "recommended"}
-        gone[x] = (x > 0 and gone[parent[x]]) or (bad and not keeps)
-    blocks = [b for b in page.blocks if not gone[b[0]]]
+        never[x] = (x > 0 and never[parent[x]]) or (bad and not keeps)
+    weight, whole, links_in = [0] * n, 0, [0] * n
+    for x, text, links in page.blocks:
+        if not never[x]:
+            whole += len(text)
+            while x >= 0:
+                weight[x] += len(text)
+                links_in[x] += links
+                x = parent[x]
+    gone = [False] * n
+    for x in range(n):
+        comments = bool(names[x] & COMMENTS)
+        within = x > 0 and inside[parent[x]]
+        said = classes[x] if within and (tag[x] == "section" or tag[x] in HEADINGS) else words[x]
+        bad = (bool(said & NEGATIVE) and tag[x] not in ("html", "body", "main")) or ("header" in words[x] and not inside[x]) or (comments and within)
+        spared = not comments and (2 * weight[x] > whole or tag[x] in HEADINGS)
+        if tag[x] == "article":
+            spared = not (comments and within)
+        elif tag[x] in ("ul", "ol") and within:
+            spared = spared or not (names[x] & NEGATIVE and (comments or links_in[x] > 0.8 * weight[x]))
+        keeps = holds[x] and not words[x] & {"comments", "comment", "related", "recommended"}
+        gone[x] = never[x] or (x > 0 and gone[parent[x]]) or (bad and not keeps and not spared)
+    blocks = [b for b in page.blocks if not gone[b[0]]] or [b for b in page.blocks if not never[b[0]]]
     if not blocks:
         return ""
+    if all(gone[x] for x, _, _ in blocks):  # nothing is left without the names: they say nothing then
+        gone = never
     points, letters, linked = [0.0] * n, [0] * n, [0] * n
     for x, text, links in blocks:
         worth = (1 + text.count(",") + min(len(text) / 100, 30)) * (1 - links / len(text))
@@ -226,6 +264,8 @@ def main_text(source: str | None) -> str:
                 kept[x] = kept[x] or (density < 0.5 and (prose or points[x] >= max(5.0, 0.2 * points[top])))
     for x in range(n):
         listing = tag[x] in ("ul", "ol", "div", "section", "table") and letters[x] and linked[x] > 0.8 * letters[x] and x != top
+        # In an article lists of links are sources and references, unless a whole name says navigation too.
+        listing = listing and (bool(names[x] & NEGATIVE) if x > 0 and inside[parent[x]] else tag[x] != "ol")
         kept[x] = (kept[x] or (x > 0 and kept[parent[x]])) and not listing and not gone[x]
     return "\n".join(text for x, text, _ in blocks if kept[x])
 

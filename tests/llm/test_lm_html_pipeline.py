@@ -211,3 +211,20 @@ def test_pipeline_against_brute_force(spark, sf):
     for r in cp.encode_bpe(spark, kept, sf).collect():
         assert np.array(r.ids, "<u4").tobytes() == codec.encode([rows[r.doc_id].encode()])[0][0] and r.n_tokens == len(r.ids)
     assert cp.run(spark, sf).count() == len(rows)
+
+
+KEPT = {
+    '<nav><a>x</a></nav><article class="post category-social"><p>Main, text.</p></article>': "Main, text.",
+    '<div class="content no-sidebar"><p>Main, text, that is here.</p></div>': "Main, text, that is here.",
+    '<div class="related-layout"><p>Main, text, that is most of the page.</p></div><div class="share"><p>share</p></div>': "Main, text, that is most of the page.",
+    '<article><h2 id="related-work">Related</h2><p>One, two.</p><section id="discussion"><h2 id="search">Search</h2><p>Three.</p></section></article>': "Related\nOne, two.\nSearch\nThree.",
+    '<article><p>Text, with sources.</p><ol class="references"><li><a>Source one</a><li><a>Source two</a></ol><ul class="related"><li><a>x</a></ul><div class="share">tweet</div></article>': "Text, with sources.\nSource one\nSource two",
+    "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p></article>": "Let x=2 be.",
+    '<article><p>Main.</p><section id="comments"><p>first, of, all, a long reader comment, longer than the text</p></section></article>': "Main.",
+    '<div class="sidebar"><p>All there is.</p></div>': "All there is.",
+}
+
+
+@pytest.mark.parametrize("source", KEPT)
+def test_names_alone_remove_no_article_text(source):
+    assert hm.main_text(source) == KEPT[source]
