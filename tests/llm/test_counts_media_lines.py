@@ -106,3 +106,57 @@ def test_lines_odd_rows(spark):
 def test_lines_stay_in_the_jvm(spark, sf):
     plan = line_dedup.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan
+
+
+def _recompressed(picture, step=16):
+    k = np.arange(8)
+    dct = np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16) * np.where(k[:, None] == 0, 0.125**0.5, 0.5)
+    blocks = picture.reshape(picture.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    blocks = dct.T @ (np.rint(dct @ (blocks - 128) @ dct.T / step) * step) @ dct + 128
+    return blocks.swapaxes(1, 2).reshape(picture.shape)
+
+
+def _turned(picture, degrees):
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    y, x = np.mgrid[: picture.shape[0], : picture.shape[1]] - (picture.shape[0] - 1) / 2
+    v, u = c * y + s * x + (picture.shape[0] - 1) / 2, c * x - s * y + (picture.shape[0] - 1) / 2
+    v, u = np.clip(v, 0, picture.shape[0] - 1.001), np.clip(u, 0, picture.shape[0] - 1.001)
+    i, j = v.astype(int), u.astype(int)
+    v, u = v - i, u - j
+    return (picture[i, j] * (1 - u) + picture[i, j + 1] * u) * (1 - v) + (picture[i + 1, j] * (1 - u) + picture[i + 1, j + 1] * u) * v
+
+
+def test_all_corners_within_max_bits_meet(spark):
+    """Matches of noisy, recompressed, resized and turned copies, against brute force; every copy is linked."""
+    rng = np.random.default_rng(3)
+    pictures = [mc.render(rng.random(8)) for _ in range(8)]
+    images = {10 * n: p for n, p in enumerate(pictures)}
+    for n, p in enumerate(pictures):
+        images |= {10 * n + 1: p + rng.normal(0, 4, p.shape), 10 * n + 2: _recompressed(p), 10 * n + 3: mc._scaled(p, 0.95), 10 * n + 4: _turned(p, 5)}
+    df = spark.createDataFrame([(i, mc.write_pgm(p)) for i, p in images.items()], "image_id long, data binary")
+    corners = {r.image_id: np.array(r.corner, "<i4").reshape(-1, mc.PLACE + mc.WORDS)[:, mc.PLACE :].copy().view("<u8") for r in mc.features(df).collect()}
+    expected = set()
+    for a in corners:
+        for b in corners:
+            if a < b:
+                apart = np.bitwise_count(corners[a][:, None] ^ corners[b][None]).sum(2)
+                expected |= {(a, m, b, n) for m, n in zip(*map(np.ndarray.tolist, np.nonzero(apart <= 24)))}
+    found = mc.features(df)
+    for block in (mc.BLOCK, 1000):
+        got = {(r.a, r.m, r.b, r.n) for r in mc.met(found, block=block).collect()}
+        assert got == expected and len(got) > 500
+    where = {r.image_id: r.component_id for r in mc.copies(df).collect()}
+    linked = [i for i, c in where.items() if i % 10 and c == i // 10 * 10]
+    assert all(c % 10 == 0 or c == i for i, c in where.items())
+    assert len(linked) == 32
+
+
+def test_tasks_hold_few_candidates():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**32, (20, 8)).astype(np.uint32).view("<i4")
+    rows = [np.concatenate([[k, 0], b ^ (1 << int(rng.integers(31)))]).astype("<i4") for k in range(30) for b in base]
+    block = mc.Block(pa.table({"image_id": pa.array(range(30)), "corner": pa.array([np.concatenate(rows[20 * k : 20 * k + 20]).tolist() for k in range(30)], pa.list_(pa.int32()))}))
+    pairs = lambda held: {(int(a), int(b)) for band in range(9) for part in range(4) for i, j in mc.matches(block, block, band, 9, part, 4, 24, held) for a, b in zip(i, j)}
+    assert pairs(7) == pairs(mc.HELD) and len(pairs(7)) == 20 * 30 * 29 // 2
