@@ -160,3 +160,15 @@ def test_tasks_hold_few_candidates():
     block = mc.Block(pa.table({"image_id": pa.array(range(30)), "corner": pa.array([np.concatenate(rows[20 * k : 20 * k + 20]).tolist() for k in range(30)], pa.list_(pa.int32()))}))
     pairs = lambda held: {(int(a), int(b)) for band in range(9) for part in range(4) for i, j in mc.matches(block, block, band, 9, part, 4, 24, held) for a, b in zip(i, j)}
     assert pairs(7) == pairs(mc.HELD) and len(pairs(7)) == 20 * 30 * 29 // 2
+
+
+def test_corners_grow_with_the_image(spark):
+    """A sixteenth of a large picture is found, and a crop of what lies beyond 4,096 pixels."""
+    rng = np.random.default_rng(5)
+    texture = lambda h, w: 20 + 70 * mc._box(sum(np.kron(rng.random((h // c, w // c)), np.ones((c, c))) for c in (2, 4, 16)).astype(np.float32), 1)
+    large, wide = texture(640, 640), texture(96, 4800)
+    assert len(mc.corners_of(large)) > 30 * 96 / 2
+    df = spark.createDataFrame([(0, mc.write_pgm(large)), (1, mc.write_pgm(large[300:460, 200:360])), (10, mc.write_pgm(wide)), (11, mc.write_pgm(wide[8:90, 4500:4640]))], "image_id long, data binary")
+    found = mc.features(df).where("image_id = 10").first().corner
+    assert int((np.array(found, "<i4").reshape(-1, mc.PLACE + mc.WORDS)[:, : mc.PLACE].copy().view("<i8").ravel() >> 24 & 0xFFFFFF).max()) > 4600
+    assert {r.image_id: r.component_id for r in mc.copies(df).collect()} == {0: 0, 1: 0, 10: 10, 11: 10}
