@@ -172,3 +172,9 @@ def test_corners_grow_with_the_image(spark):
     found = mc.features(df).where("image_id = 10").first().corner
     assert int((np.array(found, "<i4").reshape(-1, mc.PLACE + mc.WORDS)[:, : mc.PLACE].copy().view("<i8").ravel() >> 24 & 0xFFFFFF).max()) > 4600
     assert {r.image_id: r.component_id for r in mc.copies(df).collect()} == {0: 0, 1: 0, 10: 10, 11: 10}
+
+
+def test_copies_in_another_format(spark):
+    picture = mc.render(np.arange(8.0))
+    df = spark.createDataFrame([(0, b"X" + mc.write_pgm(picture)), (1, b"X" + mc.write_pgm(picture * 0.6 + 30))], "image_id long, data binary")
+    assert {r.component_id for r in mc.copies(df, decode=lambda data: mc.read_pgm(data[1:])).collect()} == {0}
