@@ -21,7 +21,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and give the session a checkpoint folder if it has none.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; a temporary folder is used only
-    where that is unset, as in tests on one machine.
+    where that is unset and all tasks run on this machine, as in tests.
     """
     sc = spark.sparkContext
     parts = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -30,7 +30,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts can be long
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusloom-"))
     return spark
 
 
@@ -57,12 +60,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def smallest_hashes(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The rows whose distinct ``column`` values have the ``n`` smallest hashes. A first cut by the share of the hash range that
-    holds about twice as many keeps what meets in one task small at any size."""
-    named = df.where(F.col(column).isNotNull())
-    share = 2 * (n + 500) / max(named.count(), 1)
+    """The distinct ``column`` values of the ``n`` smallest hashes, null aside. A first cut by the share of the hash range that
+    holds about twice as many keeps what meets in one task small at any size and however often values repeat."""
+    named = df.where(F.col(column).isNotNull()).select(column)
+    held = named.agg(F.approx_count_distinct(column, 0.02)).first()[0]
+    share = 2 * (n + 500) / max(held, 1)
     near = named.where(F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int(min(share, 1.0) * (1 << 40)))
-    return near.dropDuplicates([column]).orderBy(F.pmod(F.xxhash64(column), F.lit(1 << 40)), column).limit(n)
+    return near.distinct().orderBy(F.pmod(F.xxhash64(column), F.lit(1 << 40)), column).limit(n)
+
+
+def hot_keys(df: DataFrame, key: str, most: int = 1000, least: int = 1000, part: int = 100_000) -> DataFrame:
+    """(key, parts): the values of ``key`` that hold a thousandth (1 / ``most``) of all rows and ``least`` rows at least, so
+    ``most`` at most: their number bounds what is broadcast of them. ``parts`` deals their rows out at ``part`` each. A sketch of
+    bounded size counts them in one pass, without a shuffle of rows."""
+    top = df.agg(F.expr(f"approx_top_k({key}, {most}, {100 * most})").alias("top"), F.count(key).alias("n")).first()
+    found = [(t["item"], -(-t["count"] // part)) for t in top.top or () if t["count"] >= max(top.n / most, least)]
+    return df.sparkSession.createDataFrame(found, f"`{key}` {df.schema[key].dataType.simpleString()}, parts long")
 
 
 def without_gc(f: Callable) -> Callable:
