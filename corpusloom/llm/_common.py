@@ -78,6 +78,11 @@ def hot_keys(df: DataFrame, key: str, most: int = 1000, least: int = 1000, part:
     return df.sparkSession.createDataFrame(found, f"`{key}` {df.schema[key].dataType.simpleString()}, parts long")
 
 
+def by_size(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, of narrow rows and written before, marked for broadcast if it has ``rows`` rows at most; a shuffle join serves beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def without_gc(f: Callable) -> Callable:
     """For functions that make many objects and no cycles: the collector would walk all of them again and again."""
 
