@@ -9,9 +9,12 @@ discounted by its share of link text. The best container is kept with those of i
 Character references are decoded once, after markup is recognised; white space inside a block, line breaks
 included, becomes one space; blocks are joined by one line feed.
 
+A form around most of the page's prose is a page, not a form. Time grows with the page, however it is nested.
+
 Defined results for odd rows: null or empty html, and pages without text of their own, give an empty text; broken
 and unfinished markup is read as far as it goes, as browsers do: a tag that never ends is dropped, an unclosed
-element ends with its parent; null urls pass through; repeated pages get equal results.
+element ends with its parent, what is nested deeper than 512 is read as part of the element at that depth; attribute
+values may have any length; an empty table gives an empty one; columns other than the three are not read; null urls pass through; repeated pages get equal results.
 """
 
 from __future__ import annotations
@@ -41,15 +44,16 @@ NEGATIVE = frozenset(
 # Names that say reader comments wherever they stand; first parts of names that tell a state or a topic, not a part of the page.
 COMMENTS = frozenset("comment comments commentlist disqus disqus_thread respond".split())
 STATES = frozenset("no has with without category cat tag format type status".split())
+PROSE = 80  # letters of a block that is more than a label
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 POSITIVE = frozenset("article articlebody body content entry hentry main post story text prose".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,20000}\"|'[^']{0,20000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
-    re.S,
-)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
+DEPTH = 512  # elements nested deeper are read as part of the one at this depth, as browsers do; their text stays
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {
@@ -63,6 +67,22 @@ _CLOSES = {
 }
 
 
+def _tag_end(source: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag whose name ends at ``at`` has its ``>``: behind quoted values of any length; -1 if it never ends. A quote that is
+    opened and never closed (``last`` says where each kind stands last) is none."""
+    i = at
+    while m := _STOP.search(source, i):
+        j, c = m.start(), m.group()
+        if c == ">":
+            return j
+        i = j + 1
+        if source[at:j].rstrip().endswith("=") if j - at < 200 else source[j - 200 : j].rstrip().endswith("="):
+            if j >= last[c]:
+                return source.find(">", at)
+            i = source.find(c, i) + 1
+    return -1
+
+
 class Page:
     """Elements in page order (parent, tag, attributes) and text blocks (element, text, letters of it in links)."""
 
@@ -71,8 +91,9 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         stack = [0]
         buffer: list[str] = []
-        linked = links = 0
+        linked = links = deeper = 0
         tags, parents, attrs = self.tag, self.parent, self.attrs
+        last = {c: source.rfind(c) for c in "\"'"}
 
         def flush() -> None:
             nonlocal linked
@@ -105,13 +126,19 @@ class Page:
             if not m:
                 break
             at = m.end()
-            name = m.group(2) or m.group(5)
-            if not name or (m.group(2) is None and not m.group().endswith(">")):
+            if not m.group(2):
                 continue
-            name, closing = name.lower(), m.group(1) or m.group(4)
+            stop = _tag_end(source, at, last)
+            if stop < 0:
+                break
+            rest, at = source[at:stop], stop + 1
+            name, closing = m.group(2).lower(), m.group(1)
             if name in BLOCK:
                 flush()
             if closing:
+                if deeper and name not in VOID and name != "br":
+                    deeper -= 1
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == name:
                         pop_to(k)
@@ -124,12 +151,14 @@ class Page:
                 continue
             if name in VOID:
                 continue
-            rest = m.group(3) if m.group(3) is not None else m.group(6) or ""
             if name in RAW:
                 if not rest.endswith("/") or name not in ("svg", "annotation", "annotation-xml"):
-                    close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+                    close = _CLOSE[name].search(source, at)
                     at = close.end() if close else size
                 continue
+            if len(stack) >= DEPTH:
+                deeper += 1
+                continue
             if name in BLOCK:
                 k = len(stack) - 1
                 while k > 0 and tags[stack[k]] not in BLOCK:
@@ -145,8 +174,9 @@ class Page:
                         pop_to(k)
                         if name != "tr":
                             break
-            if name in ("html", "body") and (name == "html" or "body" in tags):
+            if name in ("html", "body") and (name == "html" or self.has_body):
                 continue
+            self.has_body = self.has_body or name == "body"
             if name == "a":
                 if links:
                     for k in range(len(stack) - 1, 0, -1):
@@ -160,6 +190,8 @@ class Page:
             stack.append(len(tags) - 1)
         flush()
 
+    has_body = False
+
     def marks(self, x: int) -> tuple[set[str], set[str], set[str], dict[str, str]]:
         """Words of class and id, words of class alone, whole names, attributes."""
         found = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(self.attrs[x])} if self.attrs[x].strip() else {}
@@ -193,6 +225,13 @@ def main_text(source: str | None) -> str:
         inside[x] = tag[x] in MAIN or found[x].get("role") == "main" or (x > 0 and inside[parent[x]])
     for x in range(n - 1, 0, -1):
         holds[parent[x]] = holds[parent[x]] or holds[x] or tag[x] in MAIN or found[x].get("role") == "main"
+    letters_in, prose_in = [0] * n, [0] * n  # of all text, and of blocks long enough to be prose
+    for x, text, links in page.blocks:
+        letters_in[x] += len(text)
+        prose_in[x] += len(text) if len(text) >= PROSE and links < len(text) / 2 else 0
+    for x in range(n - 1, 0, -1):
+        letters_in[parent[x]] += letters_in[x]
+        prose_in[parent[x]] += prose_in[x]
     never = [False] * n  # by what they are, not by name
     for x in range(n):
         a = found[x]
@@ -204,16 +243,19 @@ def main_text(source: str | None) -> str:
             or a.get("aria-hidden") == "true"
             or re.search(r"display\s*:\s*none", a.get("style", ""), re.I) is not None
         )
+        # A form around the page's prose is how some servers send any page.
+        wraps = (tag[x] == "form" or a.get("role", "").lower() == "form") and 2 * prose_in[x] > letters_in[0] and "hidden" not in a
         keeps = holds[x] and tag[x] not in ("nav", "footer", "aside") and not words[x] & {"comments", "comment", "related", "recommended"}
-        never[x] = (x > 0 and never[parent[x]]) or (bad and not keeps)
-    weight, whole, links_in = [0] * n, 0, [0] * n
+        never[x] = (x > 0 and never[parent[x]]) or (bad and not keeps and not wraps)
+    weight, links_in = [0] * n, [0] * n
     for x, text, links in page.blocks:
         if not never[x]:
-            whole += len(text)
-            while x >= 0:
-                weight[x] += len(text)
-                links_in[x] += links
-                x = parent[x]
+            weight[x] += len(text)
+            links_in[x] += links
+    for x in range(n - 1, 0, -1):
+        weight[parent[x]] += weight[x]
+        links_in[parent[x]] += links_in[x]
+    whole = weight[0]
     gone = [False] * n
     for x in range(n):
         comments = bool(names[x] & COMMENTS)
@@ -232,18 +274,16 @@ def main_text(source: str | None) -> str:
         return ""
     if all(gone[x] for x, _, _ in blocks):  # nothing is left without the names: they say nothing then
         gone = never
-    points, letters, linked = [0.0] * n, [0] * n, [0] * n
+    own, below, letters, linked = [0.0] * n, [0.0] * n, [0] * n, [0] * n
     for x, text, links in blocks:
-        worth = (1 + text.count(",") + min(len(text) / 100, 30)) * (1 - links / len(text))
-        level, y = 0, x
-        while y >= 0:
-            letters[y] += len(text)
-            linked[y] += links
-            if level:
-                points[y] += worth / (1 if level == 1 else level)
-            elif tag[y] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-                points[y] += worth
-            level, y = level + 1, parent[y]
+        own[x] += (1 + text.count(",") + min(len(text) / 100, 30)) * (1 - links / len(text))
+        letters[x] += len(text)
+        linked[x] += links
+    for x in range(n - 1, 0, -1):  # whole to the parent, half of what comes from below
+        below[parent[x]] += own[x] + below[x] / 2
+        letters[parent[x]] += letters[x]
+        linked[parent[x]] += linked[x]
+    points = [below[x] + (own[x] if tag[x] not in HEADINGS and tag[x] not in ("p", "li") else 0.0) for x in range(n)]
     for x in range(n):
         if letters[x]:
             points[x] += (25 if tag[x] in MAIN or found[x].get("itemprop") == "articleBody" else 0) + (10 if words[x] & POSITIVE and tag[x] != "body" else 0)

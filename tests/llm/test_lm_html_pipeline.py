@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -228,3 +229,58 @@ KEPT = {
 @pytest.mark.parametrize("source", KEPT)
 def test_names_alone_remove_no_article_text(source):
     assert hm.main_text(source) == KEPT[source]
+
+
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2020 Company, all rights reserved, and so on.</p></footer>"
+TEMPLATES = {
+    "article": f"<html><body>{NAV}<div class=ad>Buy now</div><article>@</article>{FOOT}",
+    "blog": f'<body class="home has-sidebar"><div id="page">{NAV}<div id="content" class="site-content no-sidebar"><div class="post category-social">@</div><div class="comments"><p>So true, thanks, really, great, yes.</p></div></div><div class="sidebar widget"><p>Recent, posts, here.</p></div></div>{FOOT}</body>',
+    "server form": f'<body><form id="aspnetForm" method=post><input type=hidden name=v value="{"A" * 30_000}"><div id="header"><a href=/>Home</a></div><div class="content">@</div><div id="footer">Contact</div></form></body>',
+    "tables": f'<body><table width=100%><tr><td class="menu"><a href=/>Home</a><br><a href=/b>News</a></td><td>@</td></tr></table>{FOOT}',
+    "sections": f'<body><header><h2>Site name</h2>{NAV}</header><main class="share-enabled"><section>@</section></main><aside><p>Sponsored, links, are, here.</p></aside>{FOOT}',
+    "deep": "<body>" + NAV + "<div class=wrap>" * 60 + "@" + "</div>" * 60 + '<div class="cookie-notice">We use cookies</div>' + FOOT,
+    "quoted": f"<body>{NAV}<div data-json='{{\"a\": \"b > c\", \"n\": \"{'z' * 25_000}\"}}' class=entry-content>@</div><div id=newsletter><form><label>Mail</label><input></form></div>{FOOT}",
+}
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_articles_in_page_templates(template):
+    """Articles of random blocks against the blocks they were made of."""
+    rng = np.random.default_rng(len(template))
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do".split()
+    for n in range(25):
+        blocks, markup = [f"Title {n}"], [f"<h1>Title {n}</h1>"]
+        for k in range(int(rng.integers(3, 9))):
+            sentence = " ".join(words[i] for i in rng.integers(0, 10, rng.integers(18, 60))).capitalize() + ", and more."
+            kind = ["p", "p", "p", "h2", "li", "pre", "quote"][int(rng.integers(0, 7))] if k else "p"
+            if kind == "h2":
+                blocks.append(f"Part {k}")
+                markup.append(f'<h2 id="{["search", "related-work", "comments-on"][k % 3]}">Part {k}</h2>')
+            elif kind == "li":
+                blocks += [sentence, "short item"]
+                markup.append(f"<ul><li>{sentence}</li><li>short <i>item</i></li></ul>")
+            elif kind == "quote":
+                blocks.append(sentence)
+                markup.append(f"<blockquote><p>{sentence}</p></blockquote>")
+            elif kind == "pre":
+                blocks.append(sentence)
+                markup.append(f"<pre>{sentence.replace(' ', '  ', 3)}</pre>")
+            else:
+                blocks.append(f"{sentence} See this & that.")
+                markup.append(f"<p>{sentence} See <a href='/x?a=1&b=2'>this</a> &amp; that.")
+        assert hm.main_text(TEMPLATES[template].replace("@", "\n".join(markup))) == "\n".join(blocks)
+
+
+def test_forms_that_are_forms():
+    prose = "A paragraph of the article, long enough to be one, with some commas, and an end that comes later than that."
+    assert hm.main_text(f"<div><p>{prose}</p></div><form><label>Your name</label><input><p>We never share your name.</p></form>") == prose
+    assert hm.main_text("<form><label>Name</label><input><button>Send</button></form>") == ""
+
+
+def test_long_and_deep_pages_take_seconds():
+    began = time.perf_counter()
+    for source in ("<div>x" * 40_000, "<b>x" * 40_000, "<p>" * 40_000 + "x", "<ul><li>x" * 20_000, "<a b=' " * 20_000, "<a b='\" " * 20_001 + ">x"):
+        hm.main_text(source)
+    assert hm.main_text(f'<p title="{"a" * 20_001}leak">text</p>') == "text" and hm.main_text("<p don't>text</p><p>it's</p>") == "text\nit's"
+    assert time.perf_counter() - began < 20
