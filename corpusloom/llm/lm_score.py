@@ -2,13 +2,15 @@
 
 Text is its words (A-Z lower-cased, between ASCII white space) and one end. Each word becomes subword ids of a public
 byte-level vocabulary, without loss, so the model's probability of the ids is one of the text. The ``active``
-subwords most frequent in the training sample are predicted in two steps, class and then member; all others share
+subwords most frequent in all training documents are predicted in two steps, class and then member; all others share
 one more class and are told apart by their corpus counts.
 
 The logits of both steps start from smoothed bigram counts of the whole training corpus; one causal self-attention layer
-with a small feed-forward layer adds what the context says. The attention weights are fitted by Adam on at most
-``train_docs`` documents (a documented bound; half of them give that fit its counts, the other half its targets).
-Everything counted - words, bigrams, subwords - is counted over all training documents.
+with a small feed-forward layer adds what the context says. It is fitted to every subword of every training document: a
+start is fitted in one task on ``start_docs`` documents, then each task goes on from there through the windows of its own
+documents, and the mean of all tasks' weights over all their steps is the model. What a target itself adds to the counts is
+left out of its bias while fitting. ``every`` takes one window in so many for that pass, for who must save time; all
+counting is over all training documents whatever it is.
 
 Scoring cuts each document into overlapping windows: each holds ``CONTEXT`` subwords of context and scores the next ones,
 so each subword is scored once, and windows of many documents go through masked attention together.
@@ -16,9 +18,10 @@ so each subword is scored once, and windows of many documents go through masked
 Word counts grow with the corpus, so only the ``hot`` most frequent words are broadcast; the rest of a document's words
 meet their counts in a shuffle join, summed by document.
 
-Defined results for odd rows: null text is the empty text, one end token; rows with null doc_id are training rows;
-rows that repeat a whole (doc_id, text) come back as often as they stand; with no training text counts are zero and the
-model is uniform over its classes.
+Defined results for odd rows: null text is the empty text, one end token; very long texts pass in windows like any other;
+rows with null doc_id are training rows; rows that repeat a whole (doc_id, text) come back as often as they stand; an empty
+table gives an empty one; columns other than the two are not read; with no training text counts are zero and the model is
+uniform over its classes.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from ._common import prepare, smallest_hashes, stored, table, utf8, without_gc
 from .token_counts import PATTERN
 from .toxicity import remainder
 
-ACTIVE, CLASSES, MEMBERS = 1024, 32, 32
+ACTIVE, CLASSES, MEMBERS = 2048, 32, 64
 REST = ACTIVE  # local id of all other subwords; as a class it is number CLASSES
 PAD = ACTIVE + 1
 DIM, WIDE = 16, 32
@@ -66,12 +69,13 @@ class Subwords:
     """Numbers for words and, by number, their subword ids; each distinct word is encoded once and remembered (bounded, for
     speed only). Number 0 is the end. ``ranks`` is the text of a vocabulary file: base64 of the bytes and the rank on each line."""
 
-    def __init__(self, ranks: str, limit: int = 700_000):
+    def __init__(self, ranks: str, limit: int = 500_000):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(str.split, ranks.splitlines())}
         self.end = max(table.values()) + 1
         self.size = self.end + 1
+        self.code = "H" if self.size <= 1 << 16 else "I"
         self.encode = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.bytes = np.zeros(self.size, np.int64)
         self.bytes[list(table.values())] = [len(b) for b in table]
@@ -83,7 +87,7 @@ class Subwords:
         self.age += 1
         self.names: list[bytes] = [END]
         self.number = _Numbers(self.names)
-        self._flat, self._starts = array("H", [self.end]), array("q", [0, 1])
+        self._flat, self._starts = array(self.code, [self.end]), array("q", [0, 1])
 
     @without_gc
     def numbers(self, docs: list[list[bytes]], before_clear=None) -> np.ndarray:
@@ -110,12 +114,12 @@ class Subwords:
                 ids = np.array([t for m in made for t in m], np.int64)
                 starts = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
             self._starts.frombytes((starts + len(self._flat)).astype(np.int64).tobytes())
-            self._flat.frombytes(ids.astype(np.uint16).tobytes())
+            self._flat.frombytes(ids.astype(self.code).tobytes())
         return found
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each word's begin (and the last one's end); copies, so that the tables may grow."""
-        return np.array(self._flat, np.uint16), np.array(self._starts, np.int64)
+        return np.array(self._flat, self.code), np.array(self._starts, np.int64)
 
 
 def spread(flat: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -161,12 +165,25 @@ class Bias:
         single = n.sum(0) + 0.1
         by_class = np.concatenate([single[:ACTIVE].reshape(CLASSES, MEMBERS).sum(1), single[ACTIVE:]])
         of_class = np.concatenate([n[:, :ACTIVE].reshape(-1, CLASSES, MEMBERS).sum(2), n[:, ACTIVE:]], 1)
-        self.classes = np.log((of_class + strength * by_class / by_class.sum()) / (of_class.sum(1, keepdims=True) + strength)).astype(np.float32)
-        inside = np.repeat(of_class[:, :CLASSES], MEMBERS, 1)
         share = single[:ACTIVE] / np.repeat(by_class[:CLASSES], MEMBERS)
-        self.members = np.log((n[:, :ACTIVE] + strength * share) / (inside + strength)).astype(np.float32)
+        self.of_class, self.strength = of_class, strength
+        self.class_floor, self.member_floor = strength * by_class / by_class.sum(), strength * share
+        self.classes = np.log((of_class + self.class_floor) / (of_class.sum(1, keepdims=True) + strength)).astype(np.float32)
+        members = n[:, :ACTIVE]
+        members += self.member_floor
+        members /= np.repeat(of_class[:, :CLASSES], MEMBERS, 1) + strength
+        self.members = np.log(members, out=members).astype(np.float32)
         self.pairs = self.members.reshape(-1, MEMBERS)  # by subword before and class
 
+    def less_class(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """How much lower the class's logit were, had this target not been counted."""
+        own, floor = self.of_class[before, cls], self.class_floor[cls]
+        return np.log((np.maximum(own - 1, 0) + floor) / (own + floor)).astype(np.float32)
+
+    def less_member(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        whole = np.exp(self.members[before, target].astype(np.float64)) * (self.of_class[before, target // MEMBERS] + self.strength)
+        return np.log(np.maximum(whole - 1, self.member_floor[target]) / whole).astype(np.float32)
+
 
 class Attention:
     """One causal self-attention layer and a feed-forward layer; logits are added to the bias's."""
@@ -246,67 +263,97 @@ class Attention:
         out[order] = found
         return out.reshape(y.shape)
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, bias: Bias) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, x: np.ndarray, y: np.ndarray, bias: Bias, own: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss and its gradient; ``own`` leaves each target's own count out of its bias."""
         w = self.w
         e, q, k, v, a, g, r, h = self.hidden(x)
         target, before = y.ravel(), x[:, CONTEXT:].ravel()
-        real = (target != PAD).astype(np.float32)
-        total = real.sum()
-        cls = np.where(target == PAD, 0, np.minimum(target // MEMBERS, CLASSES))
-        grad = {name: np.zeros_like(value) for name, value in w.items()}
-        p = h @ w["C"] + bias.classes[before]
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        loss = -float((np.log(p[np.arange(len(cls)), cls] + 1e-30) * real).sum())
-        p[np.arange(len(cls)), cls] -= 1
-        p *= (real / total)[:, None]
-        grad["C"] = h.T @ p
-        dh = p @ w["C"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        cls = target // MEMBERS
+        cls[target == PAD] = CLASSES + 1
+        order = np.argsort(cls.astype(np.int8), kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(CLASSES + 2))
+        order = order[: edges[-1]]  # PAD, which counts nothing, comes last
+        total = max(len(order), 1)
+        hs, target, before, cls = h[order], target[order], before[order], cls[order]
+        rows = np.arange(len(order))
+        grad = {}
+        p = bias.classes.take(before, 0)
+        p += hs @ w["C"]
+        if own:
+            p[rows, cls] += bias.less_class(before, cls)
+        loss = _softmax(p, cls)
+        p /= total
+        grad["C"] = hs.T @ p
+        ds = p @ w["C"].T
+        inner = edges[CLASSES]
+        m = bias.pairs.take(before[:inner] * CLASSES + cls[:inner], 0)
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            rows = rows[real[rows] > 0]
-            if len(rows):
-                own = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                m = h[rows] @ w["U"][own].T + bias.members[before[rows], own]
-                m = np.exp(m - m.max(1, keepdims=True))
-                m /= m.sum(1, keepdims=True)
-                at = target[rows] - c * MEMBERS
-                loss -= float(np.log(m[np.arange(len(at)), at] + 1e-30).sum())
-                m[np.arange(len(at)), at] -= 1
-                m /= total
-                grad["U"][own] = m.T @ h[rows]
-                dh[rows] += m @ w["U"][own]
+            at = slice(edges[c], edges[c + 1])
+            m[at] += hs[at] @ w["U"][c * MEMBERS : (c + 1) * MEMBERS].T
+        if own:
+            m[rows[:inner], target[:inner] % MEMBERS] += bias.less_member(before[:inner], target[:inner])
+        loss += _softmax(m, target[:inner] % MEMBERS)
+        m /= total
+        grad["U"] = np.zeros_like(w["U"])
+        for c in range(CLASSES):
+            at, part = slice(edges[c], edges[c + 1]), slice(c * MEMBERS, (c + 1) * MEMBERS)
+            grad["U"][part] = m[at].T @ hs[at]
+            ds[at] += m[at] @ w["U"][part]
+        dh = np.zeros_like(h)
+        dh[order] = ds
         grad["B"] = r.T @ dh
         dr = (dh @ w["B"].T) * (r > 0)
         grad["A"] = g.T @ dr
         dg = (dh + dr @ w["A"].T).reshape(len(x), SCORED, DIM)
         da = dg @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * DIM**-0.5
-        dv, dq, dk = a.transpose(0, 2, 1) @ dg, ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
+        da *= a
+        da *= DIM**-0.5
+        dv, dq, dk = a.transpose(0, 2, 1) @ dg, da @ k, da.transpose(0, 2, 1) @ q
         flat, late = e.reshape(-1, DIM), e[:, CONTEXT:].reshape(-1, DIM)
         grad["Q"], grad["K"], grad["V"] = late.T @ dq.reshape(-1, DIM), flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
         de = dk @ w["K"].T + dv @ w["V"].T
         de[:, CONTEXT:] += dg + dq @ w["Q"].T
         grad["P"] = de.sum(0)
-        np.add.at(grad["E"], x.ravel(), de.reshape(-1, DIM))
-        return loss / float(total), grad
-
-    def train(self, x: np.ndarray, y: np.ndarray, bias: Bias, steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 7) -> list[float]:
-        rng, losses = np.random.default_rng(seed), []
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        v = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for step in range(1, steps + 1):
-            rows = rng.integers(0, len(x), batch)
-            loss, grad = self.gradient(x[rows], y[rows], bias)
-            losses.append(loss)
-            now = rate * min(1, step / 50) * (1 - step / (steps + 1))
-            for k, g in grad.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                self.w[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-        return losses
+        at = x.ravel()
+        by = np.argsort(at.astype(np.int16 if REST < 1 << 15 else np.int32), kind="stable")
+        first = np.flatnonzero(np.diff(at[by], prepend=-1))
+        grad["E"] = np.zeros_like(w["E"])
+        grad["E"][at[by[first]]] = np.add.reduceat(de.reshape(-1, DIM)[by], first, axis=0)
+        return loss / total, grad
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray) -> float:
+    """Turn logits into their softmax less one at the target, in place; the sum of the targets' losses."""
+    rows = np.arange(len(at))
+    if len(logits) and logits.max() > 60:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= 1 / (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    loss = -float(np.log(logits[rows, at] + 1e-30).sum())
+    logits[rows, at] -= 1
+    return loss
+
+
+class Trainer:
+    """Adam; ``mean`` is the mean of the weights after each of ``steps`` steps."""
+
+    def __init__(self, model: Attention, bias: Bias, rate: float):
+        self.model, self.bias, self.rate, self.steps = model, bias, rate, 0
+        self.m, self.v, self.mean = ({k: np.zeros_like(w) for k, w in model.w.items()} for _ in range(3))
+        self.losses: list[float] = []
+
+    def step(self, x: np.ndarray, y: np.ndarray, share: float = 1.0) -> None:
+        loss, grad = self.model.gradient(x, y, self.bias)
+        self.losses.append(loss)
+        self.steps += 1
+        now = self.rate * share * min(1, self.steps / 50)
+        for k, g in grad.items():
+            m, v, w = self.m[k], self.v[k], self.model.w[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= now * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)
+            self.mean[k] += (w - self.mean[k]) / self.steps
 
 
 def local_sequences(subwords: Subwords, local: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
@@ -317,11 +364,12 @@ def local_sequences(subwords: Subwords, local: np.ndarray, words: np.ndarray) ->
 
 
 class Counts:
-    """Words, bigrams and subwords counted: pairs between words as they come, pairs within words once for each distinct word."""
+    """Words and subwords counted, or, given the map to local ids, bigrams: pairs between words as they come, pairs within words
+    once for each distinct word."""
 
-    def __init__(self, subwords: Subwords, local: np.ndarray):
+    def __init__(self, subwords: Subwords, local: np.ndarray | None = None):
         self.subwords, self.local = subwords, local
-        self.bigrams = np.zeros((REST + 1) ** 2, np.int64)
+        self.bigrams = np.zeros((REST + 1) ** 2 if local is not None else 0, np.int64)
         self.singles = np.zeros(subwords.size, np.int64)
         self.words: list[tuple[list[bytes], np.ndarray]] = []
         self.n = np.zeros(0, np.int64)
@@ -331,6 +379,8 @@ class Counts:
         n = np.bincount(words, minlength=max(len(self.n), len(self.subwords.names)))
         n[: len(self.n)] += self.n
         self.n = n
+        if self.local is None:
+            return
         flat, starts = self.subwords.tables()
         first, last = self.local[flat[starts[:-1]]], self.local[flat[starts[1:] - 1]]
         self.bigrams += np.bincount(last[np.concatenate([[0], words[:-1]])] * (REST + 1) + first[words], minlength=len(self.bigrams))
@@ -343,35 +393,86 @@ class Counts:
             sizes = (starts[1:] - starts[:-1])[seen]
             ids = spread(flat, starts, seen)
             times = np.repeat(self.n[seen], sizes)
-            self.singles += np.bincount(ids, weights=times, minlength=len(self.singles)).astype(np.int64)
-            inner = np.ones(len(ids), bool)
-            inner[np.cumsum(sizes) - 1] = False
-            at = np.flatnonzero(inner)
-            pairs = self.local[ids[at]] * (REST + 1) + self.local[ids[at + 1]]
-            self.bigrams += np.bincount(pairs, weights=times[at], minlength=len(self.bigrams)).astype(np.int64)
-            self.words.append(([self.subwords.names[k] for k in seen], self.n[seen]))
+            if self.local is None:
+                self.singles += np.bincount(ids, weights=times, minlength=len(self.singles)).astype(np.int64)
+                self.words.append(([self.subwords.names[k] for k in seen], self.n[seen]))
+            else:
+                inner = np.ones(len(ids), bool)
+                inner[np.cumsum(sizes) - 1] = False
+                at = np.flatnonzero(inner)
+                pairs = self.local[ids[at]] * (REST + 1) + self.local[ids[at + 1]]
+                self.bigrams += np.bincount(pairs, weights=times[at], minlength=len(self.bigrams)).astype(np.int64)
         self.n = np.zeros(0, np.int64)
 
 
-def fit(texts: list[bytes | None], subwords: Subwords, steps: int = 500) -> tuple[np.ndarray, Attention]:
-    """The map from vocabulary ids to local ids, and attention trained on these texts."""
-    docs = [words_of(t) for t in texts]
-    words = subwords.numbers(docs)
-    counts = np.bincount(spread(*subwords.tables(), words), minlength=subwords.size)
-    counts[subwords.end] = max(counts.max(), 1) + 1  # the end is always active
-    local = np.full(subwords.size, REST, np.int32)
+def active(singles: np.ndarray, end: int) -> np.ndarray:
+    """The map from vocabulary ids to local ids: the most frequent ones by rank, the end always among them, REST for all others."""
+    counts = singles.copy()
+    counts[end] = max(counts.max(), 1) + 1
+    local = np.full(len(counts), REST, np.int32)
     local[np.argsort(-counts, kind="stable")[:ACTIVE]] = np.arange(ACTIVE)
-    model = Attention()
-    if len(docs) > 1:
-        half = Counts(subwords, local)
-        half.add(docs[0::2])
-        half.settle()
-        x, y, _ = windows(local_sequences(subwords, local, subwords.numbers(docs[1::2])))
-        model.train(x, y, Bias(half.bigrams.reshape(REST + 1, -1)), steps)
-    else:
+    return local
+
+
+def start(docs: list[list[bytes]], subwords: Subwords, local: np.ndarray, bias: Bias, steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Attention:
+    """Attention fitted to random windows of these documents; without documents it adds nothing to the bias."""
+    model, rng = Attention(), np.random.default_rng(seed)
+    if not docs:
         model.w["C"][:] = 0
         model.w["U"][:] = 0
-    return local, model
+        return model
+    x, y, _ = windows(local_sequences(subwords, local, subwords.numbers(docs)))
+    trainer = Trainer(model, bias, rate)
+    for step in range(1, steps + 1):
+        rows = rng.integers(0, len(x), batch)
+        trainer.step(x[rows], y[rows], 1 - step / (steps + 1))
+    return model
+
+
+def go_on(trainer: Trainer, docs, subwords: Subwords, local: np.ndarray, every: int = 1, batch: int = BLOCK) -> None:
+    """Fit to the windows (one in ``every``) of documents as they come, each once, ``batch`` at a time."""
+    held, at = [], 0
+    for part in docs:
+        x, y, _ = windows(local_sequences(subwords, local, subwords.numbers(part)))
+        took = slice(-at % every, None, every)
+        at += len(x)
+        held.append((x[took], y[took]))
+        if sum(len(x) for x, _ in held) >= batch:
+            x, y = (np.concatenate(c) for c in zip(*held))
+            whole = len(x) // batch * batch
+            for k in range(0, whole, batch):
+                trainer.step(x[k : k + batch], y[k : k + batch])
+            held = [(x[whole:], y[whole:])]
+    if held and sum(len(x) for x, _ in held):
+        trainer.step(*(np.concatenate(c) for c in zip(*held)))
+
+
+def _flat(w: dict[str, np.ndarray]) -> bytes:
+    return b"".join(w[k].astype(np.float32).tobytes() for k in Attention.SHAPES)
+
+
+def _weights(flat: bytes) -> dict[str, np.ndarray]:
+    sizes = [a * b for a, b in Attention.SHAPES.values()]
+    return {k: v.reshape(Attention.SHAPES[k]).copy() for k, v in zip(Attention.SHAPES, np.split(np.frombuffer(flat, np.float32), np.cumsum(sizes)[:-1]))}
+
+
+def _mean(rows: DataFrame, fan: int = 64) -> bytes | None:
+    """The mean of models (steps, value) by steps. Each round adds up ``fan`` of them in a task; the last few meet in the driver."""
+
+    def add(batches):
+        total, steps = 0.0, 0
+        for batch in batches:
+            for n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total, steps = total + np.frombuffer(value, np.float32) * float(n), steps + n
+        if steps:
+            yield pa.RecordBatch.from_arrays([pa.array([steps]), pa.array([(total / steps).astype(np.float32).tobytes()], pa.binary())], names=["steps", "value"])
+
+    n = rows.count()
+    while n > fan:
+        n = -(-n // fan)
+        rows = stored(rows.repartition(n).mapInArrow(add, "steps long, value binary"), "models")
+    made = list(add([rows.toArrow().combine_chunks().to_batches()[0]] if n else []))
+    return made[0].column(1)[0].as_py() if made else None
 
 
 _subwords: dict[str, Subwords] = {}
@@ -392,7 +493,7 @@ class Scorer:
     def __init__(self, ranks: str, local: np.ndarray, weights: dict[str, np.ndarray], bigrams: np.ndarray, rest: np.ndarray, common: dict[bytes, float]):
         self.subwords, self.local, self.model, self.bias, self.common = _known_subwords(ranks), local, Attention(weights), Bias(bigrams), common
         alone = np.where(local == REST, rest + 0.1, 0)
-        self.alone = np.log(np.where(alone > 0, alone / max(alone.sum(), 1e-9), 1)).astype(np.float64)
+        self.alone = np.log(np.where(alone > 0, alone / max(alone.sum(), 1e-9), 1))
         self.age, self.value = 0, array("d")
 
     def score(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -418,7 +519,7 @@ class Scorer:
         return total / np.log(10), base, owner[rare], words[rare]
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def _blocks(batch: pa.RecordBatch, rows: int = 500):
@@ -426,64 +527,86 @@ def _blocks(batch: pa.RecordBatch, rows: int = 500):
         yield batch.slice(at, rows)
 
 
-def score(docs: DataFrame, path: str, training, doc_id: str = "doc_id", text: str = "text", train_docs: int = 1500, steps: int = 500, hot: int = 400_000) -> DataFrame:
+def _pairs(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=names)
+
+
+def score(docs: DataFrame, path: str, training, doc_id: str = "doc_id", text: str = "text", start_docs: int = 1500, steps: int = 500, every: int = 1, rate: float = 0.002, hot: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all rows; ``training`` is the condition on rows of
     ``docs`` that may be learned from."""
     spark = prepare(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: of fixed size
     own = docs.where(training)
-    chosen = smallest_hashes(own.select(F.col(doc_id).alias("_id")), "_id", train_docs)
-    sample = docs.select(F.col(doc_id).alias("_id"), utf8(text)).join(F.broadcast(chosen), "_id").select(text).repartition(1)
-
-    def learned_from(texts: list[bytes]) -> dict[str, np.ndarray]:
-        local, model = fit(texts, Subwords(spec.value), steps)
-        return {"local": local, **model.w}
-
-    def learn(batches):
-        texts = sorted(t or b"" for b in batches for t in b.column(0).to_pylist())
-        np.random.default_rng(1).shuffle(texts)
-        values = learned_from(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(list(values)), pa.array([v.tobytes() for v in values.values()], pa.binary())], names=["name", "value"])
-
-    learned = {r.name: bytes(r.value) for r in sample.mapInArrow(learn, "name string, value binary").collect()}
-    learned = learned or {k: v.tobytes() for k, v in learned_from([]).items()}
-    local = np.frombuffer(learned.pop("local"), np.int32)
-    weights = {k: np.frombuffer(v, np.float32).reshape(Attention.SHAPES[k]) for k, v in learned.items()}
-    shared_local = spark.sparkContext.broadcast(local)
 
     def count(batches):
-        counts = Counts(_known_subwords(spec.value), shared_local.value)
+        counts = Counts(_known_subwords(spec.value))
 
-        def out(keys, values):
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.int64())], names=["word", "n"])
+        def settled():
+            while counts.words:
+                keys, values = counts.words.pop()
+                yield _pairs(["word", "n"], pa.array(keys, pa.binary()), pa.array(values, pa.int64()))
 
         for batch in batches:
             for part in _blocks(batch):
                 counts.add([words_of(t) for t in part.column(0).to_pylist()])
-                while counts.words:
-                    yield out(*counts.words.pop())
+                yield from settled()
         counts.settle()
-        while counts.words:
-            yield out(*counts.words.pop())
-        for mark, table in ((b" 2", counts.bigrams), (b" 1", counts.singles)):
-            at = np.flatnonzero(table)
-            yield out([mark + k.to_bytes(4, "little") for k in at.tolist()], table[at])
+        yield from settled()
+        at = np.flatnonzero(counts.singles)
+        yield _pairs(["word", "n"], pa.array([b" 1" + k.to_bytes(4, "little") for k in at.tolist()], pa.binary()), pa.array(counts.singles[at]))
 
     counted = own.select(utf8(text)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = stored(counted, "counts")
     is_word = ~F.coalesce(F.hex("word").startswith("20"), F.lit(False))
+    # One row for each subword of the vocabulary at most, which is a file of fixed size.
+    table = counted.where(~is_word).toArrow()
+    end = max(int(line.split()[1]) for line in spec.value.splitlines()) + 1
+    rest = np.zeros(end + 1, np.int64)
+    rest[[int.from_bytes(k[2:], "little") for k in table.column(0).to_pylist()]] = table.column(1).to_numpy()
+    local = active(rest, end)
+    shared_local = spark.sparkContext.broadcast(local)
+
+    def count_pairs(batches):
+        counts = Counts(_known_subwords(spec.value), shared_local.value)
+        for batch in batches:
+            for part in _blocks(batch):
+                counts.add([words_of(t) for t in part.column(0).to_pylist()])
+        counts.settle()
+        at = np.flatnonzero(counts.bigrams)
+        yield _pairs(["pair", "n"], pa.array(at, pa.int32()), pa.array(counts.bigrams[at]))
+
+    # At most (active + 1) squared rows: bounded by the model, not the data.
+    table = own.select(utf8(text)).mapInArrow(count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    bigrams = np.zeros((REST + 1) ** 2, np.float32)
+    bigrams[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    bigrams = bigrams.reshape(REST + 1, REST + 1)
+    shared_bigrams = spark.sparkContext.broadcast(bigrams)
+    chosen = smallest_hashes(own.select(F.col(doc_id).alias("_id")), "_id", start_docs)
+    sample = docs.select(F.col(doc_id).alias("_id"), utf8(text)).join(F.broadcast(chosen), "_id").select(text).repartition(1)
+
+    def learn(batches):
+        texts = sorted(t or b"" for b in batches for t in b.column(0).to_pylist())
+        model = start([words_of(t) for t in texts], _known_subwords(spec.value), shared_local.value, Bias(shared_bigrams.value), steps)
+        yield _pairs(["steps", "value"], pa.array([1]), pa.array([_flat(model.w)], pa.binary()))
+
+    model = "steps long, value binary"
+    begun = _mean(sample.mapInArrow(learn, model)) or _flat(start([], None, local, None).w)
+    shared_start = spark.sparkContext.broadcast(begun)
+
+    def train(batches):
+        trainer = Trainer(Attention(_weights(shared_start.value)), Bias(shared_bigrams.value), rate)
+        parts = ([words_of(t) for t in part.column(0).to_pylist()] for batch in batches for part in _blocks(batch))
+        go_on(trainer, parts, _known_subwords(spec.value), shared_local.value, every)
+        if trainer.steps:
+            yield _pairs(["steps", "value"], pa.array([trainer.steps]), pa.array([_flat(trainer.mean)], pa.binary()))
+
+    fitted = _mean(stored(own.select(utf8(text)).mapInArrow(train, model), "models")) or begun
+    weights = _weights(fitted)
     words = counted.where(is_word)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     space = 0.1 * (distinct + 1)
     scale = float(np.log10(total + space))
-    # At most (active + 1) squared bigrams and the vocabulary's size of subwords: bounded by the model, not the data.
-    tables = counted.where(~is_word).toArrow()
-    keys, values = tables.column(0).to_pylist(), tables.column(1).to_numpy()
-    bigrams, rest = np.zeros((REST + 1) ** 2, np.int64), np.zeros(len(local), np.int64)
-    for kind, into in ((b" 2", bigrams), (b" 1", rest)):
-        at = [i for i, k in enumerate(keys) if k[:2] == kind]
-        into[[int.from_bytes(keys[i][2:], "little") for i in at]] = values[at]
     # The hot words are those counted at least so often that ``hot`` of them at most are.
     sizes = {r.k: r["count"] for r in words.groupBy(F.least("n", F.lit(4096)).alias("k")).count().collect()}
     least, held = 4096, sizes.get(4096, 0)
@@ -491,16 +614,17 @@ def score(docs: DataFrame, path: str, training, doc_id: str = "doc_id", text: st
         least -= 1
         held += sizes.get(least, 0)
     frequent = words.where(F.col("n") >= least).toArrow() if held <= hot else words.orderBy(F.desc("n"), "word").limit(hot).toArrow()
-    parts = spark.sparkContext.broadcast((local, weights, bigrams.reshape(REST + 1, REST + 1), rest))
+    parts = spark.sparkContext.broadcast((local, weights, bigrams, rest))
     common = spark.sparkContext.broadcast(dict(zip(frequent.column(0).to_pylist(), (np.log10(frequent.column(1).to_numpy() + 0.1) - scale).tolist())))
+    mark = hashlib.md5(b"".join(v.tobytes() for v in (local, bigrams, rest)) + fitted + repr((total, distinct, least)).encode()).hexdigest()
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, text_key long, word binary, tf long, main int, n_tokens long, n_known long, base double, score double"
 
     def measure(batches):
-        if id(parts.value) not in _scorers:
+        if mark not in _scorers:
             _scorers.clear()
-            _scorers[id(parts.value)] = Scorer(spec.value, *parts.value, common.value)
-        scorer = _scorers[id(parts.value)]
+            _scorers[mark] = Scorer(spec.value, *parts.value, common.value)
+        scorer = _scorers[mark]
         names = ["doc_id", "text_key", "word", "tf", "main", "n_tokens", "n_known", "base", "score"]
 
         def rows(ids, keys, words, tf, main, n, known, base, score):

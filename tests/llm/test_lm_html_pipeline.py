@@ -19,46 +19,129 @@ RANKS = open(lm.default_path(), encoding="utf-8").read()
 @pytest.fixture(scope="module")
 def small():
     texts = [f"the cat {n % 7} sat on the mat and the dog {n % 5} ran off".encode() for n in range(80)]
-    subwords = lm.Subwords(RANKS)
-    local, model = lm.fit(texts, subwords, steps=30)
+    subwords, docs = lm.Subwords(RANKS), [lm.words_of(t) for t in texts]
+    words = lm.Counts(subwords)
+    words.add(docs)
+    words.settle()
+    local = lm.active(words.singles, subwords.end)
     counts = lm.Counts(subwords, local)
-    counts.add([lm.words_of(t) for t in texts])
+    counts.add(docs)
     counts.settle()
-    return texts, subwords, local, model, counts
+    model = lm.start(docs, subwords, local, lm.Bias(counts.bigrams.reshape(lm.REST + 1, -1)), steps=30)
+    return texts, subwords, local, model, counts, words
 
 
 def test_counts_against_brute_force(small):
-    texts, subwords, local, _, counts = small
+    texts, subwords, local, _, counts, found = small
     words = Counter(w for t in texts for w in [*lm.words_of(t), lm.END])
-    assert {w: int(n) for names, ns in counts.words for w, n in zip(names, ns)} == words
-    pairs = Counter()
+    assert {w: int(n) for names, ns in found.words for w, n in zip(names, ns)} == words
+    pairs, singles = Counter(), Counter()
     for t in texts:
         ids = [*(i for w in lm.words_of(t) for i in subwords.encode(" " + w.decode())), subwords.end]
+        singles.update(ids)
         pairs.update(zip(local[[subwords.end, *ids]].tolist(), local[ids].tolist()))
     table = counts.bigrams.reshape(lm.REST + 1, -1)
     assert {(int(a), int(b)): int(table[a, b]) for a, b in zip(*np.nonzero(table))} == pairs
+    assert {int(i): int(found.singles[i]) for i in np.flatnonzero(found.singles)} == singles
+
+
+def test_own_counts_are_left_out(small):
+    table = small[4].bigrams.reshape(lm.REST + 1, -1)
+    bias = lm.Bias(table)
+    for a, b in np.argwhere(table)[:40]:
+        if b < lm.ACTIVE:
+            less = table.copy()
+            less[a, b] -= 1
+            c = b // lm.MEMBERS
+            of, inside = (t[a, c * lm.MEMBERS : (c + 1) * lm.MEMBERS].sum() for t in (table, less))
+            assert abs(bias.less_class(np.array([a]), np.array([c]))[0] - math.log((inside + bias.class_floor[c]) / (of + bias.class_floor[c]))) < 1e-4
+            assert abs(bias.less_member(np.array([a]), np.array([b]))[0] - math.log((less[a, b] + bias.member_floor[b]) / (table[a, b] + bias.member_floor[b]))) < 1e-3
+
+
+def test_every_window_is_fitted_once(small):
+    texts, subwords, local, model, counts, _ = small
+    seen = []
+
+    class Seen:
+        def step(self, x, y):
+            seen.append(y)
+
+    docs = [[lm.words_of(t) for t in texts[k : k + 7]] for k in range(0, 80, 7)]
+    whole = np.concatenate([lm.windows(lm.local_sequences(subwords, local, subwords.numbers(d)))[1] for d in docs])
+    for every in (1, 3):
+        seen.clear()
+        lm.go_on(Seen(), docs, subwords, local, every, batch=16)
+        assert (np.concatenate(seen) == whole[::every]).all() and all(len(y) == 16 for y in seen[:-1])
+
+
+def _scored_one_by_one(model, bias, local, alone, ids):
+    """ln of the probability of a text's subwords, one target at a time, with a context of its own and nothing batched or looked up."""
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    total, known = 0.0, [int(local[i]) for i in ids]
+    for at in range(len(ids)):
+        window = at // lm.SCORED * lm.SCORED - lm.CONTEXT
+        x = [known[-1] if k <= 0 else known[k - 1] for k in range(window, at + 1)]
+        e = [w["E"][t] + w["P"][n] for n, t in enumerate(x)]
+        q = e[-1] @ w["Q"]
+        weights = [math.exp(float(q @ (v @ w["K"])) / lm.DIM**0.5) for v in e]
+        g = e[-1] + sum(a * (v @ w["V"]) for a, v in zip(weights, e)) / sum(weights)
+        h = g + np.maximum(g @ w["A"], 0) @ w["B"]
+        y, before = known[at], x[-1]
+        c = lm.CLASSES if y == lm.REST else y // lm.MEMBERS
+        logits = bias.classes[before].astype(np.float64) + h @ w["C"]
+        total += logits[c] - math.log(sum(map(math.exp, logits)))
+        if y == lm.REST:
+            total += alone[ids[at]]
+        else:
+            part = slice(c * lm.MEMBERS, (c + 1) * lm.MEMBERS)
+            logits = bias.members[before, part].astype(np.float64) + w["U"][part] @ h
+            total += logits[y % lm.MEMBERS] - math.log(sum(map(math.exp, logits)))
+    return total
+
+
+def test_scores_against_one_by_one(small):
+    _, subwords, local, model, counts, words = small
+    table = counts.bigrams.reshape(lm.REST + 1, -1)
+    scorer = lm.Scorer(RANKS, local, model.w, table, words.singles, {})
+    texts = [b"the cat 3 sat on the mat", b"", b"unheard of words \xc3\xa9t\xc3\xa9 ran off the dog " * 9, b"off"]
+    found = scorer.score([lm.words_of(t) for t in texts])[0]
+    for t, got in zip(texts, found):
+        ids = [*(i for word in lm.words_of(t) for i in subwords.encode(" " + word.decode())), subwords.end]
+        assert abs(_scored_one_by_one(model, lm.Bias(table), local, scorer.alone, ids) / math.log(10) - got) < 1e-3 * max(1, abs(got))
+
+
+def test_models_meet_in_rounds(spark):
+    rng = np.random.default_rng(1)
+    models = [(int(n), {k: rng.standard_normal(s).astype(np.float32) for k, s in lm.Attention.SHAPES.items()}) for n in rng.integers(1, 9, 11)]
+    rows = spark.createDataFrame([(n, lm._flat(w)) for n, w in models], "steps long, value binary").repartition(4)
+    for fan in (3, 64):
+        got = lm._weights(lm._mean(rows, fan))
+        for k in lm.Attention.SHAPES:
+            assert np.allclose(got[k], sum(n * w[k] for n, w in models) / sum(n for n, _ in models), atol=1e-4)
+    assert lm._mean(rows.where("false")) is None
 
 
 def test_gradient(small):
-    texts, subwords, local, model, counts = small
+    texts, subwords, local, model, counts, _ = small
     x, y, _ = lm.windows(lm.local_sequences(subwords, local, subwords.numbers([lm.words_of(t) for t in texts[:5]])))
     bias = lm.Bias(counts.bigrams.reshape(lm.REST + 1, -1))
+    bias.classes, bias.pairs = bias.classes.astype(np.float64), bias.pairs.astype(np.float64)
     m = lm.Attention({k: v.astype(np.float64) for k, v in model.w.items()})
-    loss, grad = m.gradient(x, y, bias)
+    loss, grad = m.gradient(x, y, bias, own=False)
     assert abs(loss + model.log_probabilities(x, y, bias).sum() / (y != lm.PAD).sum()) < 1e-4
     for k in m.w:
         at = np.unravel_index(np.argmax(np.abs(grad[k])), grad[k].shape)
         was = m.w[k][at]
         m.w[k][at] = was + 1e-4
-        up = m.gradient(x, y, bias)[0]
+        up = m.gradient(x, y, bias, own=False)[0]
         m.w[k][at] = was - 1e-4
-        down = m.gradient(x, y, bias)[0]
+        down = m.gradient(x, y, bias, own=False)[0]
         m.w[k][at] = was
         assert abs((up - down) / 2e-4 - grad[k][at]) < 1e-4 + 0.02 * abs(grad[k][at])
 
 
 def test_probabilities_sum_to_one_and_look_back_only(small):
-    _, _, _, model, counts = small
+    _, _, _, model, counts, _ = small
     bias = lm.Bias(counts.bigrams.reshape(lm.REST + 1, -1))
     x = np.zeros((1, lm.WINDOW), np.int32)
     total = 0.0
@@ -83,8 +166,8 @@ def test_every_subword_is_scored_once():
 
 
 def test_memory_limit_changes_nothing(small):
-    texts, _, local, model, _ = small
-    tight = lm.Counts(lm.Subwords(RANKS, limit=10), local)
+    texts, _, local, model, _, _ = small
+    tight = lm.Counts(lm.Subwords(RANKS, limit=10))
     for t in texts:
         tight.add([lm.words_of(t)])
     tight.settle()
