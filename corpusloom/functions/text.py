@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -11,28 +12,37 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
-def _fold_tables() -> tuple[str, str]:
-    """Letters that NFKD turns into one plain letter, and marks that folding drops (they stand last, with no counterpart)."""
-    source, target = [], []
-    for at in (*range(0xAA, 0x250), *range(0x1E00, 0x1F00)):
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """By rule over the basic plane (Hangul, whose syllables folding takes apart, aside): letters that unfold to one, with marks that
+    folding drops last, for they have no counterpart; and letters that unfold to several or to none."""
+    single, several, marks = {}, {}, []
+    for at in range(0xA0, 0x10000):
         c = chr(at)
-        if c != c.lower():
+        if 0xAC00 <= at < 0xE000 or c != c.lower():
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and len(plain) == 1:
-            source.append(c)
-            target.append(plain)
-    marks = [chr(at) for at in range(0x300, 0x370) if unicodedata.combining(chr(at))]
-    return "".join(source + marks), "".join(target)
+        plain = fold_py(c)
+        if not plain:
+            marks.append(c)
+        elif plain != c:
+            (single if len(plain) == 1 else several)[c] = plain
+    return "".join([*single, *marks]), "".join(single.values()), several
 
 
-FOLD_FROM, FOLD_TO = _fold_tables()
+def fold_py(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_tables()
+_SEVERAL = "[" + "".join(FOLD_SEVERAL) + "]"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents. Compatibility letters that unfold to several (ligatures, fractions) stay as they are.
-    Text that is all ASCII takes the short way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), FOLD_FROM, FOLD_TO))
+    """Lower case without accents, compatibility letters (ligatures, fractions, full-width letters) unfolded. Text that is all
+    ASCII takes the short way; letters that unfold to several are looked up only where there are any."""
+    plain = F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    table = F.create_map(*(F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair))
+    unfolded = F.aggregate(F.array_distinct(F.regexp_extract_all(plain, F.lit(_SEVERAL), 0)), plain, lambda t, c: F.replace(t, c, table[c]))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(plain.rlike(_SEVERAL), unfolded).otherwise(plain)
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -40,10 +50,6 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def fold_py(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-
-
 def letters(text: Column) -> Column:
     return F.char_length(F.regexp_replace(text, r"\P{L}", ""))
 
@@ -196,6 +202,11 @@ def truncate_answer(answer: Column, limit: int = fixed.MAX_ANSWER_CHARS) -> Colu
     return F.when(F.char_length(plain) > limit, F.concat(at_space, F.lit(" …"))).otherwise(plain)
 
 
+def truncate_answer_py(answer: str, limit: int = fixed.MAX_ANSWER_CHARS) -> str:
+    plain = re.sub(fixed.CITATION, "", answer).strip()
+    return plain if len(plain) <= limit else re.sub(r"(?s)^(.*) .*$", r"\1", plain[:limit]) + " …"
+
+
 def embed_text(title: Column, text: Column) -> Column:
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws("\n", title, text)).otherwise(text)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from ..functions import text as tx
 
 
 def preferred_copy(files: DataFrame, digest: str = "md5", name: str = "name") -> DataFrame:
-    """One file of each content: not a "Copy of" if there is another, then the shortest name, then the first."""
-    order = Window.partitionBy(digest).orderBy(F.startswith(F.col(name), F.lit("Copy of ")), F.char_length(name), name)
-    return files.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """One file of each content: not a "Copy of" if there is another, then the shortest name, then the first. The best so far is all
+    that is kept of a content, before the shuffle and after."""
+    order = F.struct(F.startswith(F.col(name), F.lit("Copy of ")), F.char_length(name), F.col(name))
+    return files.groupBy(F.col(digest).alias("_d")).agg(F.min_by(F.struct(*files.columns), order).alias("_f")).select("_f.*")
 
 
 def shingle_words(text: Column) -> Column:
@@ -29,6 +31,19 @@ def shingles(df: DataFrame, key: str, text: str, size: int = fx.SHINGLE_WORDS) -
     return split.select(key, F.explode(F.array_distinct(grams)).alias("shingle"))
 
 
+def shingles_across(chunks: DataFrame, group: str, key: str, text: str, size: int = fx.SHINGLE_WORDS) -> DataFrame:
+    """(group, shingle): the distinct word n-grams of each group's chunks in order of key, those across borders included. Each chunk
+    is given the first words of the chunks behind it, so no group's text is ever one row."""
+    w = Window.partitionBy(group).orderBy(key)
+    none = F.array().cast("array<string>")
+    split = chunks.select(group, key, shingle_words(F.col(text)).alias("_w"))
+    behind = F.concat(*(F.coalesce(F.lead(F.slice("_w", 1, size - 1), n).over(w), none) for n in range(1, size)))
+    both = split.withColumn("_b", F.slice(behind, 1, size - 1)).select(group, F.explode(F.array(F.struct(F.concat("_w", "_b").alias("all"), F.size("_w").alias("n")))).alias("_s"))
+    begins = F.least(F.col("_s.n"), F.size("_s.all") - size + 1)
+    grams = F.transform(F.sequence(F.lit(1), begins), lambda i: F.array_join(F.slice("_s.all", i, size), " "))
+    return both.where(begins >= 1).select(group, F.explode(F.array_distinct(grams)).alias("shingle")).distinct()
+
+
 def containment(new: DataFrame, known: DataFrame, new_key: str, known_key: str) -> DataFrame:
     """(new_key, known_key, n_new, n_shared, containment) of tables (key, shingle) of distinct shingles that share any."""
     sizes = new.groupBy(new_key).agg(F.count("*").alias("n_new"))
@@ -55,12 +70,14 @@ def nearest(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
+                batch = batch.take(pc.sort_indices(batch.column(0)))
                 values = np.array(batch.column(1).to_pylist(), np.float64)
                 scores = q @ values.T
                 keep = min(k, batch.num_rows)
-                # all that tie with the k-th stay, so that ties are settled by key below
-                limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                row, at = np.nonzero(scores >= limit[:, None])
+                limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+                # of those that tie with the k-th the smallest keys stay, as many as there is room for
+                above, tied = scores > limit, scores == limit
+                row, at = np.nonzero(above | (tied & (tied.cumsum(1) <= keep - above.sum(1, keepdims=True))))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), batch.column(0).take(pa.array(at)), pa.array(scores[row, at])], names=[query_key, base_key, "cos"])
 
         return source.mapInArrow(run, f"`{query_key}` {kinds[0]}, `{base_key}` {kinds[1]}, cos double")
@@ -89,19 +106,18 @@ def neighbour_candidates(neighbours: DataFrame, group: str, book: str, min_share
     return ranked.where((F.col("rank") <= most) & (F.col("share") >= min_share)).select(group, book, "n", "share", "rank")
 
 
-def find_duplicates(new_chunks: DataFrame, store: DataFrame, group: str = "new_book", book: str = "book", key: str = "id", text: str = "text", vector: str = "embedding", min_containment: float = fx.MIN_CONTAINMENT) -> DataFrame:
+def find_duplicates(new_chunks: DataFrame, store: DataFrame, group: str = "new_book", book: str = "book", key: str = "id", text: str = "text", vector: str = "embedding", min_containment: float = fx.MIN_CONTAINMENT, within: bool = False) -> DataFrame:
     """(group, book, containment): for each new book the first candidate, by neighbours, that contains enough of its text.
-    Shingles run over a book's chunks in order of key, joined."""
-    near = nearest(new_chunks.withColumnRenamed(key, "_new"), store.withColumnRenamed(key, "_old"), "_new", "_old", vector)
+    Shingles run over a book's chunks in order of key, across their borders. ``within``: the new chunks are in the store too, under
+    the same keys, and are no neighbours of themselves."""
+    near = nearest(new_chunks.withColumnRenamed(key, "_new"), store.withColumnRenamed(key, "_old"), "_new", "_old", vector, k=1 + within)
+    if within:
+        near = near.where("_new <> _old").groupBy("_new").agg(F.min_by("_old", "rank").alias("_old"))
     owned = near.join(new_chunks.select(F.col(key).alias("_new"), group), "_new").join(store.select(F.col(key).alias("_old"), book), "_old")
     candidates = neighbour_candidates(owned, group, book)
 
-    def whole(df: DataFrame, by: str) -> DataFrame:
-        ordered = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(key, text))).alias("_t"))
-        return ordered.select(by, F.array_join(F.transform("_t", lambda c: c[text]), " ").alias("_text"))
-
     wanted = store.join(candidates.select(book).distinct(), book, "left_semi")
-    inside = containment(shingles(whole(new_chunks, group), group, "_text"), shingles(whole(wanted, book), book, "_text"), group, book)
+    inside = containment(shingles_across(new_chunks, group, key, text), shingles_across(wanted, book, key, text), group, book)
     passed = candidates.join(inside, [group, book]).where(F.col("containment") >= min_containment)
     first = passed.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("rank")))
     return first.where("_r = 1").select(group, book, "containment")

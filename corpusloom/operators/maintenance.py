@@ -1,7 +1,7 @@
 """Index maintenance: anti-joins against what is known, upserts, removal of books, and versioned snapshots.
 
-A snapshot is a folder of its own, written whole, and a pointer file renamed into place: readers see the old version or the
-new one, an interrupted commit leaves the old one, and a rollback is the pointer's old value. All paths go through
+A commit writes folders of its own and then one numbered pointer file that names them: readers see the old version or the
+new one of all tables, an interrupted commit leaves the old one, and a rollback is the version before. All paths go through
 Hadoop's file system, so a snapshot lives wherever the cluster's tables do.
 """
 
@@ -78,49 +78,89 @@ def mark_removed(processed: DataFrame, slugs: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """Versions of a table under one folder."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    """Versions of a set of tables under one folder. A version is a numbered pointer file that lists the folders of each table; it
+    is written aside and renamed to a number that nobody has, so one rename makes all tables of a commit seen at once, on any file
+    system, and no reader ever finds no version. Appending writes the new rows only."""
+
+    def __init__(self, spark: SparkSession, path: str, table: str = "rows"):
+        self.spark, self.path, self.table = spark, path.rstrip("/"), table
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _text(self, name: str) -> str | None:
-        at = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(at):
-            return None
-        return "\n".join(r.value for r in self.spark.read.text(str(at)).collect())
+    def _names(self, prefix: str) -> list[str]:
+        at = self._path(self.path)
+        found = self._fs.listStatus(at) if self._fs.exists(at) else ()
+        return sorted(n for n in (status.getPath().getName() for status in found) if n.startswith(prefix))
 
-    def _replace(self, name: str, text: str) -> None:
-        temporary, final = self._path(f"{self.path}/_{name}.{uuid.uuid4().hex}"), self._path(f"{self.path}/{name}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(text.encode()))
-        out.hsync()
-        out.close()
-        if not self._fs.rename(temporary, final):  # stores that do not rename onto a file
-            self._fs.delete(final, False)
-            self._fs.rename(temporary, final)
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     @property
     def current(self) -> dict | None:
-        text = self._text("CURRENT")
-        return json.loads(text) if text else None
+        names = self._names("CURRENT-")
+        return self._load(names[-1]) if names else None
+
+    def read(self, table: str | None = None) -> DataFrame:
+        """A table as its last commit left it. Folders whose columns differ are read as one: what a folder lacks is null."""
+        now, table = self.current, table or self.table
+        if now is None or table not in now["parts"]:
+            raise FileNotFoundError(f"no {table} in {self.path}")
+        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/{p}" for p in now["parts"][table]))
+
+    def has(self, table: str) -> bool:
+        return table in (self.current or {"parts": {}})["parts"]
+
+    def _point(self, made: dict) -> dict:
+        number = int((self._names("CURRENT-") or ["CURRENT-0"])[-1].rpartition("-")[2]) + 1
+        aside, final = self._path(f"{self.path}/_CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT-{number:020d}")
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps(made).encode()))
+        out.hsync()
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(aside, final):
+            self._fs.delete(aside, False)
+            raise RuntimeError(f"another writer committed to {self.path}: hold the lock")
+        return made
+
+    def _commit(self, tables: DataFrame | dict[str, DataFrame], keep: bool, facts: dict) -> dict:
+        tables = tables if isinstance(tables, dict) else {self.table: tables}
+        before = self.current or {"parts": {}, "rows": {}}
+        parts, rows = dict(before["parts"]), dict(before["rows"])
+        for table, df in tables.items():
+            part = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{table}"
+            df.write.parquet(f"{self.path}/{part}")
+            parts[table] = [*(parts.get(table, ()) if keep else ()), part]
+            rows[table] = (rows.get(table, 0) if keep else 0) + self.spark.read.parquet(f"{self.path}/{part}").count()
+        return self._point({"parts": parts, "rows": rows, "n_rows": rows.get(self.table), "previous": {k: before[k] for k in ("parts", "rows")} if before["parts"] else None, **facts})
+
+    def commit(self, tables: DataFrame | dict[str, DataFrame], **facts) -> dict:
+        """Write tables anew (those not named stay) and point to them. Until the pointer is there nothing has changed."""
+        return self._commit(tables, False, facts)
 
-    def read(self) -> DataFrame:
+    def append(self, tables: DataFrame | dict[str, DataFrame], **facts) -> dict:
+        return self._commit(tables, True, facts)
+
+    def rollback(self) -> dict:
         now = self.current
-        if now is None:
-            raise FileNotFoundError(f"no snapshot in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{now['version']}")
-
-    def commit(self, df: DataFrame, **facts) -> dict:
-        """Write ``df`` as the new version and point to it. Until the pointer moves nothing has changed."""
-        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{version}")
-        before = self.current
-        made = {"version": version, "previous": before["version"] if before else None, "n_rows": self.spark.read.parquet(f"{self.path}/{version}").count(), **facts}
-        self._replace("CURRENT", json.dumps(made))
-        return made
+        if not now or not now["previous"]:
+            raise ValueError("no earlier snapshot")
+        return self._point({**now["previous"], "n_rows": now["previous"]["rows"].get(self.table), "previous": None})
+
+    def recover(self) -> list[str]:
+        """Drop folders that neither the last version nor the one before it names (what an interrupted commit left), and older
+        pointers. Safe to repeat."""
+        now = self.current or {"parts": {}, "previous": None}
+        versions = [now["parts"], (now["previous"] or {"parts": {}})["parts"]]
+        keep = {p for parts in versions for folders in parts.values() for p in folders} | set(self._names("CURRENT-")[-1:])
+        gone = [n for prefix in ("v-", "_CURRENT.", "CURRENT-") for n in self._names(prefix) if n not in keep]
+        for name in gone:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        return sorted(n for n in gone if not n.startswith("CURRENT-"))
 
     @contextmanager
     def lock(self, wait_seconds: float = 600, on_wait: Callable[[], None] | None = None):
@@ -145,37 +185,14 @@ class Snapshots:
         finally:
             self._fs.delete(at, False)
 
-    def append(self, rows: DataFrame, **facts) -> dict:
-        return self.commit(self.read().unionByName(rows, allowMissingColumns=True) if self.current else rows, **facts)
-
-    def rollback(self) -> dict:
-        now = self.current
-        if not now or not now["previous"]:
-            raise ValueError("no earlier snapshot")
-        made = {"version": now["previous"], "previous": None, "n_rows": self.spark.read.parquet(f"{self.path}/{now['previous']}").count()}
-        self._replace("CURRENT", json.dumps(made))
-        return made
-
-    def recover(self) -> list[str]:
-        """Drop versions that no pointer names (what an interrupted commit left). Safe to repeat."""
-        now = self.current or {}
-        keep, gone = {now.get("version"), now.get("previous")}, []
-        if self._fs.exists(self._path(self.path)):
-            for status in self._fs.listStatus(self._path(self.path)):
-                name = status.getPath().getName()
-                if name.startswith(("v-", "_CURRENT.")) and name not in keep:
-                    self._fs.delete(status.getPath(), True)
-                    gone.append(name)
-        return sorted(gone)
-
 
 def unique_slugs(files: DataFrame, taken: DataFrame, slug: str = "slug", digest: str = "md5") -> DataFrame:
     """``files`` with slugs that name one file each: one that is taken, or that an earlier file of the same table has (by
     digest), gets the first six letters of its file's digest."""
     known = taken.select(F.col(slug).alias("_s")).distinct().withColumn("_taken", F.lit(True))
-    order = Window.partitionBy(slug).orderBy(digest)
-    marked = files.withColumn("_n", F.row_number().over(order)).join(known, F.col(slug) == F.col("_s"), "left")
-    clash = F.col("_taken").isNotNull() | (F.col("_n") > 1)
+    first = files.groupBy(F.col(slug).alias("_f")).agg(F.min(digest).alias("_first"))
+    marked = files.join(first, F.col(slug) == F.col("_f"), "left").join(known, F.col(slug) == F.col("_s"), "left")
+    clash = F.col("_taken").isNotNull() | (F.col(digest) > F.col("_first"))
     return marked.withColumn(slug, F.when(clash, F.concat(slug, F.lit("-"), F.substring(digest, 1, 6))).otherwise(F.col(slug))).select(*files.columns)
 
 
@@ -190,10 +207,10 @@ def distinct_labels(books: DataFrame, taken: DataFrame, title: str = "title", fi
 
 
 def mark_uploads(uploads: DataFrame, known: DataFrame, pending: DataFrame, digest: str = "md5", order: str = "n") -> DataFrame:
-    """``uploads`` with outcome: new, duplicate_file (the same bytes earlier in this upload) or duplicate_content (bytes that
-    are in the index or wait for it)."""
-    rank = F.row_number().over(Window.partitionBy(digest).orderBy(order))
+    """``uploads`` with outcome: new, or duplicate_file for bytes that are in the index, wait for it, or stand earlier in this
+    upload. (Near copies are known only once a book is read: ``streaming.ingest`` calls them duplicate_content.)"""
+    first = uploads.groupBy(F.col(digest).alias("_d")).agg(F.min(order).alias("_first"))
     there = known.select(digest).unionByName(pending.select(digest)).distinct().withColumn("_there", F.lit(True))
-    joined = uploads.withColumn("_r", rank).join(there, digest, "left")
-    outcome = F.when(F.col("_there").isNotNull(), F.lit("duplicate_content")).when(F.col("_r") > 1, F.lit("duplicate_file")).otherwise(F.lit("new"))
-    return joined.withColumn("outcome", outcome).select(*uploads.columns, "outcome")
+    joined = uploads.join(first, F.col(digest) == F.col("_d"), "left").join(there, digest, "left")
+    new = F.col("_there").isNull() & (F.col(order) == F.col("_first"))
+    return joined.withColumn("outcome", F.when(F.coalesce(new, F.lit(True)), F.lit("new")).otherwise(F.lit("duplicate_file"))).select(*uploads.columns, "outcome")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import OrderedDict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,33 +27,16 @@ def sessions(events: DataFrame, key: str, ts: str, idle_seconds: int = fx.TTL_SE
     return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
 
-class ConversationMemory:
-    """Memory of one process: the least recently extended conversation goes first, by age or by number."""
-
-    def __init__(self, turns: int = fx.MAX_TURNS, ttl: float = fx.TTL_SECONDS, conversations: int = fx.MAX_CONVERSATIONS):
-        self.turns, self.ttl, self.conversations = turns, ttl, conversations
-        self.held: OrderedDict[str, tuple[float, list[tuple[str, str]]]] = OrderedDict()
-
-    def _expire(self, now: float) -> None:
-        for name in list(self.held):
-            if now - self.held[name][0] <= self.ttl and len(self.held) <= self.conversations:
-                return
-            del self.held[name]
-
-    def history(self, conversation: str | None, now: float) -> list[tuple[str, str]]:
-        self._expire(now)
-        return list(self.held[conversation][1]) if conversation in self.held else []
-
-    def add(self, conversation: str | None, question: str, answer: str, now: float) -> None:
-        if not conversation or not answer.strip():
-            return
-        plain = re.sub(fx.CITATION, "", answer).strip()
-        if len(plain) > fx.MAX_ANSWER_CHARS:
-            plain = plain[: fx.MAX_ANSWER_CHARS].rpartition(" ")[0] or plain[: fx.MAX_ANSWER_CHARS]
-            plain += " …"
-        kept = self.held.pop(conversation, (now, []))[1]
-        self.held[conversation] = (now, [*kept, (question, plain)][-self.turns :])
-        self._expire(now)
-
-    def forget(self, conversation: str) -> None:
-        self.held.pop(conversation, None)
+def memory_of(turns: DataFrame, now, conversation: str = "conversation", question: str = "question", answer: str = "answer", at: str = "at", most: int = fx.MAX_TURNS, ttl_seconds: int = fx.TTL_SECONDS, conversations: int = fx.MAX_CONVERSATIONS) -> DataFrame:
+    """(conversation, question, answer, at, position) that is remembered at ``now``: of conversations whose last turn is not older than
+    ``ttl_seconds``, the ``conversations`` of the latest last turns (ties by name), their last ``most`` answered turns since the
+    last pause that made them forgotten. Turns without a conversation or an answer are none."""
+    now = F.lit(now)
+    told = remembered(turns.where(F.coalesce(F.col(conversation), F.lit("")) != ""), answer).where(F.col(at) <= now)
+    w = Window.partitionBy(conversation).orderBy(at)
+    pause = F.coalesce(F.timestamp_diff("MICROSECOND", F.lag(at).over(w), F.col(at)) > ttl_seconds * 1_000_000, F.lit(False))
+    since = told.withColumn("_s", F.sum(pause.cast("int")).over(w))
+    last = since.groupBy(conversation).agg(F.max(at).alias("_last"), F.max("_s").alias("_s"))
+    live = last.where(F.timestamp_diff("MICROSECOND", F.col("_last"), now) <= ttl_seconds * 1_000_000).orderBy(F.desc("_last"), conversation).limit(conversations)
+    kept = last_turns(since.join(F.broadcast(live.drop("_last")), [conversation, "_s"]), conversation, at, most)
+    return kept.select(conversation, question, answer, at, (F.row_number().over(w) - 1).alias("position"))

@@ -364,8 +364,10 @@ _CHUNKS = "SELECT doc_id AS id, source AS book, CASE WHEN label < 5 THEN 'receit
 
 @query()
 def near_dup(spark, d):
-    chunks = _chunks(spark, d)
-    return dedup.find_duplicates(chunks.where("id % 20 = 0").withColumnRenamed("book", "new_book"), chunks.where("id % 20 <> 0"))
+    """Every twentieth document against all others, by its text's hashed vector and shingles."""
+    docs = vectors.with_hashed_embedding(t(spark, d, "documents", "doc_id", "text"), "text").withColumn("known_id", F.col("doc_id"))
+    found = dedup.find_duplicates(docs.where("doc_id % 20 = 0").withColumnRenamed("known_id", "new_id"), docs, "new_id", "known_id", "doc_id", within=True)
+    return found.withColumn("containment", F.round("containment", 6))
 
 
 # ------------------------------------------------------------------ vectors
@@ -642,7 +644,7 @@ def removal_report(spark, d):
 
 @query("SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY user_id")
 def upper_median(spark, d):
-    return t(spark, d, "events", "user_id", "value").groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", tx.upper_median(F.col("v")).alias("median"))
+    return t(spark, d, "events", "user_id", "value").groupBy("user_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").alias("median"))
 
 
 @query(
@@ -665,7 +667,7 @@ def distinct_labels(spark, d):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN md5 IN (SELECT md5(text) FROM documents WHERE doc_id % 50 = 0 OR doc_id % 51 = 0) THEN 'duplicate_content' WHEN r > 1 THEN 'duplicate_file' ELSE 'new' END AS outcome "
+    "SELECT doc_id, CASE WHEN md5 IN (SELECT md5(text) FROM documents WHERE doc_id % 50 = 0 OR doc_id % 51 = 0) OR r > 1 THEN 'duplicate_file' ELSE 'new' END AS outcome "
     "FROM (SELECT doc_id, md5(text) AS md5, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)"
 )
 def upload_outcomes(spark, d):

@@ -4,11 +4,13 @@ registered by whoever has them."""
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 from . import formats
@@ -209,18 +211,17 @@ def read_epub(content: bytes) -> Extraction:
         hrefs = {i.get("id"): i.get("href", "") for i in package.iter(f"{_OPF}item")}
         parts = []
         for ref in package.iter(f"{_OPF}itemref"):
-            href = hrefs.get(ref.get("idref"))
-            from urllib.parse import unquote
-
-            member = "/".join(filter(None, (folder, unquote(href or ""))))
-            if href and member in names:
+            href = unquote((hrefs.get(ref.get("idref")) or "").partition("#")[0])
+            member = posixpath.normpath(posixpath.join(folder, href)).lstrip("/") if href else ""
+            if member in names:
                 parts.append(html_to_text(decode(z.read(member))))
         return Extraction("\n\n".join(filter(None, parts)))
 
 
 @register("docx")
 def read_docx(content: bytes) -> Extraction:
-    """Paragraphs and tables in order; a table row is its filled cells, parted by spaces."""
+    """Paragraphs and tables in order; a table row is its filled cells, parted by spaces, a cell its
+    paragraphs on lines of their own."""
     if content[:4] == formats.OLE:
         raise ExtractionError("protected")
     with _archive(content) as z:
@@ -235,7 +236,8 @@ def read_docx(content: bytes) -> Extraction:
         if node.tag == f"{_WORD}p":
             parts.append(words(node))
         elif node.tag == f"{_WORD}tbl":
-            rows = (" ".join(filter(None, map(words, row.findall(f"{_WORD}tc")))) for row in node.findall(f"{_WORD}tr"))
+            cells = lambda row: ("\n".join(filter(None, map(words, cell.iter(f"{_WORD}p")))) for cell in row.findall(f"{_WORD}tc"))
+            rows = (" ".join(filter(None, cells(row))) for row in node.findall(f"{_WORD}tr"))
             parts.append("\n".join(filter(None, rows)))
     return Extraction("\n\n".join(filter(None, parts)))
 

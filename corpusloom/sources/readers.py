@@ -26,17 +26,22 @@ def candidates(files: DataFrame) -> DataFrame:
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """``files`` without content, with text and error (a code; the row fails alone, not the job)."""
+    """``files`` without content, with text, error (a code; the row fails alone, not the job) and, of formats that have pages,
+    pages_total and pages_without_text."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts, errors = [], []
+            texts, errors, pages, empty = [], [], [], []
             for ext, content in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist()):
+                pages.append(None)
+                empty.append(None)
                 try:
-                    texts.append(ex.extract(content or b"", ext).text)
+                    found = ex.extract(content or b"", ext)
+                    texts.append(found.text)
                     errors.append(None)
+                    pages[-1], empty[-1] = found.pages_total, found.pages_without_text
                 except ex.ExtractionError as e:
                     texts.append(None)
                     errors.append(e.code)
@@ -44,16 +49,16 @@ def extract_text(files: DataFrame) -> DataFrame:
                     texts.append(None)
                     errors.append(f"internal: {type(e).__name__}")
             kept = [c for c in batch.schema.names if c != "content"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*kept, "text", "error"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array(pages, pa.int32()), pa.array(empty, pa.int32())], names=[*kept, "text", "error", "pages_total", "pages_without_text"])
 
     kept = [f for f in files.schema.fields if f.name != "content"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, error string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, error string, pages_total int, pages_without_text int"
     return files.mapInArrow(run, schema)
 
 
 def through_cache(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all texts, new ones): files whose md5 the cache (md5, text) lacks are extracted, the others are looked up."""
-    known = files.drop("content").join(cache, "md5").withColumn("error", F.lit(None).cast("string"))
+    known = files.drop("content").join(cache, "md5").withColumns({"error": F.lit(None).cast("string"), "pages_total": F.lit(None).cast("int"), "pages_without_text": F.lit(None).cast("int")})
     new = extract_text(files.join(cache.select("md5"), "md5", "left_anti"))
     return known.unionByName(new), new.where("error IS NULL").select("md5", "text")
 

@@ -1,7 +1,8 @@
-"""Ingestion as a stream: files arrive in a folder, each micro-batch is curated and appended as one snapshot.
+"""Ingestion as a stream: files arrive in a folder, each micro-batch is curated and committed as one version of the index.
 
-A batch is idempotent: what is already processed (by content digest) is left out by an anti-join against the
-snapshot's own table of processed files, so that a batch replayed after a failure adds nothing twice.
+A batch is idempotent: what is already processed (by content digest) is left out by an anti-join against the index's own
+table of processed files, which one pointer commits together with the chunks, the books and the outcomes of jobs. A batch that
+fails at any step before that pointer has added nothing, and one replayed after it adds nothing twice.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import curate, dedup, maintenance
+from ..functions import vectors
+from ..operators import catalog, curate, dedup, maintenance
 from ..sources import readers
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -28,34 +30,53 @@ def named(files: DataFrame) -> DataFrame:
     return kept.select("name", tx.extension(F.col("name")).alias("ext"), "size", F.md5("content").alias("md5"), "content")
 
 
-def ingest_batch(files: DataFrame, chunks: maintenance.Snapshots, processed: maintenance.Snapshots) -> None:
-    """Curate the files of a batch that are new and append their chunks; every file gets an entry in ``processed``."""
-    found = dedup.preferred_copy(readers.candidates(named(files)))
-    found = found.withColumn("slug", tx.safe_slug(F.col("name")))
-    if processed.current:
-        known = processed.read()
-        found = maintenance.unique_slugs(maintenance.not_processed(found, known), known)
-    else:
-        found = maintenance.unique_slugs(found, found.limit(0))
-    texts = readers.extract_text(found).persist()
+def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame] = vectors.with_hashed_embedding) -> None:
+    """Take in the files of a batch that are new: text, coverage, cleaning and tier, chunks, vectors (``embed`` adds ``embedding``),
+    near copies of indexed books, metadata and labels that are not taken. One commit appends ``chunks``, ``books``,
+    ``processed`` and ``jobs``, the outcome of each file:
+
+    added; error (unreadable, with its code); no_text (too many pages without text); discarded (with the curation's reason);
+    duplicate (duplicate_content: by neighbours and shared text the book duplicate_of). Errors and files without text are not
+    marked processed, so they may come again. Near copies that arrive in one batch are not compared with each other."""
+    found = readers.candidates(named(files))
+    if index.has("processed"):
+        found = maintenance.not_processed(found, index.read("processed"))
+    found = dedup.preferred_copy(found)
+    texts = readers.extract_text(found).withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))).persist()
+    known = index.has("chunks")
     try:
-        prepared = curate.prepare(texts.where("error IS NULL"), "md5", "text").join(texts.select("md5", "name", "slug"), "md5")
-        rows = curate.chunk_rows(prepared.withColumn("book", tx.book_title(F.col("name"))), "slug", "book", "md5")
-        entries = texts.select("md5", "slug", "error").join(prepared.select("md5", "discard_reason", F.size("pieces").alias("n")), "md5", "left")
-        done = entries.select("md5", "slug", F.coalesce(F.when(F.col("discard_reason").isNull(), F.col("n")), F.lit(0)).alias("n_chunks"), F.coalesce("error", "discard_reason").alias("reason"))
-        with chunks.lock():
-            chunks.append(rows)
-            processed.append(done)
+        taken = index.read("processed").select("slug").where("slug IS NOT NULL") if known else texts.select(F.lit("").alias("slug")).limit(0)
+        slugged = maintenance.unique_slugs(texts.withColumn("slug", tx.safe_slug(F.col("name"))), taken)
+        readable = slugged.where("error IS NULL AND coverage = 'ok'")
+        prepared = curate.prepare(readable, "md5", "text").join(readable.select("md5", "name", "slug"), "md5").persist()
+        rows = embed(curate.chunk_rows(prepared.withColumn("book", F.col("slug")), "slug", "book", "md5").withColumn("_e", tx.embed_text(F.col("title"), F.col("text"))), "_e").drop("_e").persist()
+        same = dedup.find_duplicates(rows.withColumnRenamed("book", "new_book"), index.read("chunks")).select(F.col("new_book").alias("slug"), F.col("book").alias("duplicate_of")) if known else prepared.select("slug", F.lit("").alias("duplicate_of")).limit(0)
+        same = same.persist()
+        kept = prepared.where("discard_reason IS NULL").join(same, "slug", "left_anti").withColumn("n_chunks", F.size("pieces"))
+        meta = catalog.book_meta(kept.withColumnRenamed("slug", "_slug").withColumn("_id", F.col("md5")), "name", "cleaned", "lang", "tier", "_id").withColumnRenamed("n_recipes", "md5")
+        named_books = meta.join(kept.select("md5", "slug", F.col("name").alias("filename"), "n_chunks"), "md5")
+        titles = index.read("books").select("title") if known else named_books.select("title").limit(0)
+        books = maintenance.distinct_labels(named_books, titles).drop("book").persist()
+        chunks = rows.drop("book").join(books.select("md5", F.col("title").alias("book"), "region", "dish_types"), "md5")
+        of = slugged.select("md5", "name", "slug", "error", "coverage", "pages_total", "pages_without_text").join(prepared.select("md5", "discard_reason"), "md5", "left").join(same, "slug", "left").join(books.select("md5", "title", "lang", "n_chunks"), "md5", "left")
+        status = F.when(F.col("error").isNotNull(), F.lit("error")).when(F.col("coverage") != "ok", F.lit("no_text")).when(F.col("discard_reason").isNotNull(), F.lit("discarded")).when(F.col("duplicate_of").isNotNull(), F.lit("duplicate")).otherwise(F.lit("added"))
+        reason = F.coalesce("error", F.when(F.col("coverage") != "ok", F.col("coverage")), "discard_reason", F.when(F.col("duplicate_of").isNotNull(), F.lit("duplicate_content")))
+        jobs = of.select("md5", F.col("name").alias("filename"), status.alias("status"), reason.alias("reason_code"), "duplicate_of", F.col("title").alias("book_title"), F.when(status == "added", F.col("slug")).alias("book_slug"), "lang", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "pages_total", "pages_without_text")
+        done = jobs.where(F.col("status").isin("added", "discarded", "duplicate")).select("md5", F.col("book_slug").alias("slug"), "n_chunks", F.col("reason_code").alias("reason"))
+        with index.lock():
+            index.append({"chunks": chunks, "books": books, "processed": done, "jobs": jobs})
     finally:
-        texts.unpersist()
+        spark_catalog = files.sparkSession.catalog
+        spark_catalog.clearCache()
 
 
 def run(spark: SparkSession, folder: str, index: str, checkpoint: str, available_now: bool = True, on_batch: Callable[[int], None] | None = None):
-    """Start the stream; with ``available_now`` it ends when the folder's files are done."""
-    chunks, processed = maintenance.Snapshots(spark, f"{index}/chunks"), maintenance.Snapshots(spark, f"{index}/processed")
+    """Start the stream; with ``available_now`` it ends when the folder's files are done. What a broken run left is dropped first."""
+    tables = maintenance.Snapshots(spark, index, "chunks")
+    tables.recover()
 
     def each(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, chunks, processed)
+        ingest_batch(batch, tables)
         if on_batch:
             on_batch(number)
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as fx
 from ..operators import jobs as jb
-from ..operators.memory import ConversationMemory
+from ..functions.text import truncate_answer_py
 
 JOB_OUT = "id string, event string, status string, stage string, error string, at timestamp"
 
@@ -48,7 +48,7 @@ TURNS_OUT = "conversation string, question string, answer string, position int"
 def conversation_memory(turns: DataFrame, ttl_seconds: int = fx.TTL_SECONDS) -> DataFrame:
     """(conversation, question, answer, position) of what each conversation remembers after each batch of turns
     (conversation, question, answer, at). Idle conversations are forgotten by event time. The cap on the number of
-    conversations is one process's matter (``ConversationMemory``), not a key's."""
+    conversations is one over all keys: ``operators.memory.memory_of`` over the table of turns."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,14 +56,12 @@ def conversation_memory(turns: DataFrame, ttl_seconds: int = fx.TTL_SECONDS) ->
             yield pd.DataFrame({"conversation": [], "question": [], "answer": [], "position": []}).astype({"position": "int32"})
             return
         seen, kept = json.loads(state.get[0]) if state.exists else (0.0, [])
-        memory = ConversationMemory(ttl=ttl_seconds)
-        if kept:
-            memory.held[key[0]] = (seen, [tuple(x) for x in kept])
-        for row in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
-            now = row.at.timestamp()
-            memory.history(key[0], now)
-            memory.add(key[0], row.question, row.answer or "", now)
-        seen, kept = memory.held.get(key[0], (0.0, []))
+        new = pd.concat(list(frames)).sort_values("at", kind="stable")
+        new = new[new.answer.fillna("").str.strip() != ""]
+        for row in new.itertuples():
+            fresh = row.at.timestamp() - seen > ttl_seconds
+            kept = [*([] if fresh else kept), (row.question, truncate_answer_py(row.answer))][-fx.MAX_TURNS :]
+            seen = row.at.timestamp()
         state.update((json.dumps([seen, kept]),))
         state.setTimeoutTimestamp(max(int((seen + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], q, a, n) for n, (q, a) in enumerate(kept)], columns=["conversation", "question", "answer", "position"])

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import books
 
 from corpusloom.functions.vectors import hashed_embedding_py
@@ -43,3 +45,46 @@ def test_nearest_in_blocks(spark):
 def test_shingles_of_short_texts(spark):
     df = spark.createDataFrame([(1, "um dois tres quatro"), (2, None), (3, "abc def ghi jkl mno abc def ghi jkl mno")], "k long, text string")
     assert {r.k for r in dedup.shingles(df, "k", "text").collect()} == {3}
+
+
+def test_near_dup_query_against_brute_force(spark, sf):
+    import numpy as np
+
+    from corpusloom.functions import text as tx
+    from corpusloom.functions import vectors
+    from corpusloom.plans import catalogue
+
+    rows = vectors.with_hashed_embedding(spark.read.parquet(f"{sf}/documents.parquet"), "text").orderBy("doc_id").collect()
+    ids, units = [r.doc_id for r in rows], np.array([r.embedding for r in rows], np.float64)
+    grams = {}
+    for r in rows:
+        w = re.findall("[a-z]{3,}", tx.fold_py(r.text))
+        grams[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    expected = {}
+    for n, i in enumerate(ids):
+        if i % 20 == 0:
+            cos = units @ units[n]
+            cos[n] = -9
+            near = ids[int(np.argmax(cos))]
+            if grams[i] and len(grams[i] & grams[near]) / len(grams[i]) >= 0.15:
+                expected[i] = (near, round(len(grams[i] & grams[near]) / len(grams[i]), 6))
+    found = {r.new_id: (r.known_id, r.containment) for r in catalogue.QUERIES["near_dup"](spark, sf).collect()}
+    assert found == expected
+
+
+def test_shingles_across_chunks(spark):
+    texts = ["um dois tres quatro cinco seis", "sete", "", "oito nove dez", "onze doze treze catorze quinze dezesseis"]
+    from corpusloom.operators import dedup
+
+    chunks = spark.createDataFrame([("b", n, t) for n, t in enumerate(texts)] + [("c", 0, "so tres palavras")], "book string, id int, text string")
+    words = re.findall("[a-z]{3,}", " ".join(texts))
+    expected = {("b", " ".join(words[i : i + 5])) for i in range(len(words) - 4)}
+    assert {tuple(r) for r in dedup.shingles_across(chunks, "book", "id", "text").collect()} == expected
+
+
+def test_ties_keep_the_smallest_keys(spark):
+    from corpusloom.operators import dedup
+
+    base = spark.createDataFrame([(n, [1.0, 0.0]) for n in range(50, 0, -1)] + [(99, [0.5, 0.0])], "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "q long, embedding array<double>")
+    assert sorted((r.q, r.vec_id) for r in dedup.nearest(asked, base, "q", "vec_id", k=3).collect()) == [(q, v) for q in (1, 2) for v in (1, 2, 3)]

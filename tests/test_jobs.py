@@ -6,7 +6,7 @@ import pytest
 
 from corpusloom.functions import fixed as fx
 from corpusloom.operators import jobs as jb
-from corpusloom.operators.memory import ConversationMemory
+from corpusloom.operators.memory import memory_of
 
 NOW = datetime.datetime(2024, 1, 1)
 
@@ -78,17 +78,14 @@ def test_pages(spark):
     assert seen == [6, 5, 4, 3, 2, 1, 0] and cursor is None
 
 
-def test_memory():
-    m = ConversationMemory(turns=2, ttl=10, conversations=2)
-    for n in range(3):
-        m.add("a", f"q{n}", f"resposta [1] {n} [23]", 0)
-    assert m.history("a", 1) == [("q1", "resposta 1"), ("q2", "resposta 2")]
-    m.add("b", "q", "x", 1)
-    m.add("c", "q", "x", 2)
-    assert m.history("a", 2) == [] and m.history("b", 11) != [] and m.history("b", 12) == []
-    m.add("c", "q", "palavra " * 400, 12)
-    assert m.history("c", 12)[-1][1].endswith("palavra …") and len(m.history("c", 12)[-1][1]) <= 1502
-    m.add("d", "q", "  ", 12)
-    assert m.history("d", 12) == m.history(None, 12) == []
-    m.forget("c")
-    assert m.history("c", 12) == []
+def test_conversation_memory(spark):
+    at = lambda s: NOW + datetime.timedelta(seconds=s)
+    rows = [("a", f"q{n}", f"resposta [1] {n} [23]", at(n)) for n in range(3)] + [("b", "q", "x", at(20)), ("c", "old", "y", at(3)), ("c", "q", "palavra " * 400, at(22)), ("d", "q", "  ", at(22)), (None, "q", "x", at(22)), ("", "q", "x", at(22))]
+    turns = spark.createDataFrame(rows, "conversation string, question string, answer string, at timestamp")
+    held = lambda s, **k: {(r.conversation, r.position): (r.question, r.answer) for r in memory_of(turns, at(s), ttl_seconds=10, **k).collect()}
+    assert held(2, most=2) == {("a", 0): ("q1", "resposta 1"), ("a", 1): ("q2", "resposta 2")}
+    assert set(held(12)) == {("a", 0), ("a", 1), ("a", 2), ("c", 0)} and set(held(13)) == {("c", 0)}
+    late = held(22)
+    assert set(late) == {("b", 0), ("c", 0)} and late["c", 0][0] == "q"  # what stood before the pause is forgotten
+    assert late["c", 0][1].endswith("palavra …") and len(late["c", 0][1]) <= 1502
+    assert set(held(22, conversations=1)) == {("c", 0)} and held(40) == {}

@@ -21,12 +21,32 @@ def test_snapshots(spark, tmp_path):
     frame(spark, [("x", "X")]).write.parquet(f"{s.path}/v-left-behind")  # a commit that was interrupted before its pointer
     assert s.read().count() == 2
     assert s.recover() == ["v-left-behind"] and s.recover() == []
+    names = lambda: {n for n in __import__("os").listdir(s.path) if n.startswith("v-")}
+    assert len(names()) == 2  # an append writes its own rows only
     s.rollback()
     assert [r.book for r in s.read().collect()] == ["A"]
     with pytest.raises(ValueError):
         s.rollback()
 
 
+def test_tables_of_one_commit(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "index"), "chunks")
+    s.append({"chunks": frame(spark, [("a", "A")]), "done": frame(spark, [("m", "A")])})
+    s.append({"chunks": frame(spark, [("b", "B")]).withColumn("more", maintenance.F.lit(1))})
+    assert sorted((r.id, r.more) for r in s.read().collect()) == [("a", None), ("b", 1)] and s.read("done").count() == 1
+    s.commit({"done": frame(spark, [("x", "X"), ("y", "Y")])})
+    assert s.read().count() == 2 and s.read("done").count() == 2 and s.current["rows"] == {"chunks": 2, "done": 2}
+    s.recover()
+    assert s.read().count() == 2 and s.rollback()["rows"] == {"chunks": 2, "done": 1} and s.read("done").count() == 1
+
+
+def test_uploads(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d")], "n long, md5 string")
+    known, pending = (spark.createDataFrame([(x,)], "md5 string") for x in "bc")
+    got = {r.n: r.outcome for r in maintenance.mark_uploads(files, known, pending).collect()}
+    assert got == {1: "new", 2: "duplicate_file", 3: "duplicate_file", 4: "duplicate_file", 5: "new"}
+
+
 def test_remove_books(spark):
     chunks = frame(spark, [("a::0000", "T"), ("b::0000", "T [livro.pdf]"), ("c::0000", "T [zebra.pdf]"), ("d::0000", "U"), ("e::0000", "T2 [x]")])
     kept = {r.id: r.book for r in maintenance.remove_books(chunks, ["T"]).collect()}

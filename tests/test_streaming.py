@@ -4,6 +4,7 @@ import json
 import os
 
 import books
+import pytest
 
 from corpusloom.operators.maintenance import Snapshots
 from corpusloom.streaming import ingest, state
@@ -29,13 +30,75 @@ def test_ingest_is_idempotent(spark, tmp_path):
     (folder / "receitas.md").write_text(books.recipe_text(1))
     (folder / "Copy of receitas.md").write_text(books.recipe_text(1))
     (folder / "manual.txt").write_text(books.manual())
-    ingest.run(spark, str(folder), str(tmp_path / "index"), str(tmp_path / "c1")).awaitTermination(120)
-    chunks, processed = Snapshots(spark, str(tmp_path / "index/chunks")), Snapshots(spark, str(tmp_path / "index/processed"))
-    n = chunks.read().count()
-    assert n >= 6 and {r.id.split("::")[0] for r in chunks.read().collect()} == {"receitas"}
-    assert {r.reason for r in processed.read().collect()} == {None, "non_culinary"}
-    ingest.run(spark, str(folder), str(tmp_path / "index"), str(tmp_path / "c2")).awaitTermination(120)  # all of it again
-    assert chunks.read().count() == n and processed.read().count() == 2
+    (folder / "quebrado.epub").write_bytes(b"PK\3\4" + b"x" * 3000)
+    ingest.run(spark, str(folder), str(tmp_path / "index"), str(tmp_path / "c1")).awaitTermination(240)
+    index = Snapshots(spark, str(tmp_path / "index"), "chunks")
+    rows = index.read().collect()
+    n = len(rows)
+    assert n >= 6 and {r.id.split("::")[0] for r in rows} == {"receitas"} and {r.book for r in rows} == {"receitas"} and all(len(r.embedding) == 512 and r.region and r.dish_types for r in rows)
+    assert {r.reason for r in index.read("processed").collect()} == {None, "non_culinary"}
+    assert {(r.filename, r.status, r.reason_code) for r in index.read("jobs").collect()} == {("receitas.md", "added", None), ("manual.txt", "discarded", "non_culinary"), ("quebrado.epub", "error", "corrupt")}
+    assert {(r.title, r.n_chunks) for r in index.read("books").collect()} == {("receitas", n)}
+    ingest.run(spark, str(folder), str(tmp_path / "index"), str(tmp_path / "c2")).awaitTermination(240)  # all of it again
+    assert index.read().count() == n and index.read("processed").count() == 2
+    # the same book in other bytes is a near copy; another book of the same name gets a label and a slug of its own
+    (folder / "outro.md").write_text(books.recipe_text(1) + "\n\nFim do livro.\n")
+    (folder / "receitas.txt").write_text(books.recipe_text(9))
+    ingest.run(spark, str(folder), str(tmp_path / "index"), str(tmp_path / "c1")).awaitTermination(240)
+    jobs = {r.filename: r for r in index.read("jobs").collect()}
+    assert (jobs["outro.md"].status, jobs["outro.md"].reason_code, jobs["outro.md"].duplicate_of, jobs["outro.md"].n_chunks) == ("duplicate", "duplicate_content", "receitas", 0)
+    assert jobs["receitas.txt"].status == "added" and jobs["receitas.txt"].book_title == "receitas [receitas.txt]" and jobs["receitas.txt"].book_slug.startswith("receitas-")
+    assert len({r.id for r in index.read().collect()}) == index.read().count()
+
+
+def test_ingest_survives_a_failure_at_each_step(spark, tmp_path, monkeypatch):
+    """A batch that breaks before or after any write of its commit, and is replayed, adds each file once."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "receitas.md").write_text(books.recipe_text(1))
+    files = spark.read.format("binaryFile").load(str(folder))
+    index = Snapshots(spark, str(tmp_path / "index"), "chunks")
+    whole = Snapshots._point
+    steps = {"write": 0}
+
+    class Broken(RuntimeError):
+        pass
+
+    from pyspark.sql import DataFrameWriter
+
+    plain = DataFrameWriter.parquet
+
+    def failing(self, path, *a, **k):
+        if "/v-" in path:
+            steps["write"] += 1
+            if steps["write"] == steps["at"]:
+                raise Broken
+        return plain(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    for at in (1, 2, 3, 4):
+        steps.update(write=0, at=at)
+        with pytest.raises(Broken):
+            ingest.ingest_batch(files, index)
+        assert index.current is None
+    assert len(index.recover()) == 6 and index.current is None
+    steps["at"] = 0
+
+    def before(self, made):
+        raise Broken
+
+    def after(self, made):
+        whole(self, made)
+        raise Broken
+
+    for broken in (before, after):
+        monkeypatch.setattr(Snapshots, "_point", broken)
+        with pytest.raises(Broken):
+            ingest.ingest_batch(files, index)
+    monkeypatch.setattr(Snapshots, "_point", whole)
+    ingest.ingest_batch(files, index)
+    index.recover()
+    assert index.read().count() == index.read().select("id").distinct().count() > 5 and index.read("processed").count() == 1
 
 
 def test_job_states(spark, tmp_path):
