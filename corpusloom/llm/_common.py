@@ -78,6 +78,24 @@ def hot_keys(df: DataFrame, key: str, most: int = 1000, least: int = 1000, part:
     return df.sparkSession.createDataFrame(found, f"`{key}` {df.schema[key].dataType.simpleString()}, parts long")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key``. Rows of hot keys stay where they are: what the table says of
+    those keys, a thousand at most, is broadcast to them; the rest meets by a shuffle."""
+    hot = hot_keys(rows, key, least=200).select(key)
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)
+    few = rows.join(hot, key, "left_anti").join(table, key, how)
+    return few.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, how))
+
+
+def tag_of(df: DataFrame, tag: str = "_op_") -> str:
+    """A beginning that no column of ``df`` has, for columns of an operator's own."""
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag = "_" + tag
+    return tag
+
+
 def by_size(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df``, of narrow rows and written before, marked for broadcast if it has ``rows`` rows at most; a shuffle join serves beyond."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -257,12 +257,12 @@ class Codec:
         return b" ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def _codec(shared, cache_pieces: int) -> Codec:
+def _codec(shared, mark: str, cache_pieces: int) -> Codec:
     """The worker's codec; it outlives a task, so that later tasks find the pieces of earlier ones."""
-    key = (id(shared.value), cache_pieces)
+    key = (mark, cache_pieces)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(shared.value, cache_pieces)
@@ -277,6 +277,8 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     decoded_sha256)."""
     spark: SparkSession = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(Vocabulary(path))
+    with open(path, "rb") as f:
+        mark = hashlib.md5(f.read()).hexdigest()
     source = docs.select(F.col(doc_id).alias("doc_id"), *keep, utf8(text).alias("_text"))
     names = [*source.columns[:-1], "n_tokens", *outputs]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long", *(f"{x} {_OUTPUTS[x]}" for x in outputs)])
@@ -290,7 +292,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         return pa.array([hashlib.sha256(x).hexdigest() for x in (ids if name == "ids_sha256" else decoded)], pa.string())
 
     def run(batches):
-        codec = _codec(shared, cache_pieces)
+        codec = _codec(shared, mark, cache_pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)

@@ -7,7 +7,8 @@ item of fewer; a document word inside any occurrence of a window is hit.
 
 The automaton grows with the benchmark, so the benchmark's words are counted first and items are dealt into
 shards of at most ``shard_words`` words; what is broadcast is one shard, of that bounded size. Documents pass
-each shard in turn and what the shards find is merged by document.
+each shard in turn, one shard being held at a time, and what the shards find is merged by document. Items pass the driver one
+by one while a shard is built.
 
 Defined results for odd rows: null text, or text without a word, has no words and no hits; null item ids are
 items named ``null``; items that are null or without words are none; items of equal id are separate
@@ -19,11 +20,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, prepare, stored, table, utf8
+from ._common import map_rows, prepare, stored, table, tag_of, utf8
 
+SHARD = 200_000  # item words of a shard: about 220 MB in a worker
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` on bytes: A-Z lower-cased first, then all ASCII but digits and a-z is space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -167,16 +170,15 @@ def automata(items: DataFrame, item_id: str, text: str, window: int, shard_words
 _HITS = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 1_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD) -> DataFrame:
     """(doc_id, text_key, n_words, spans, items): spans are word positions [a, b) inside windows, merged."""
     spark = prepare(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), utf8(text))
     kind = source.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for auto in automata(items, item_id, item_text, window, shard_words):
-        shard = spark.sparkContext.broadcast(auto)
+    shards = automata(items, item_id, item_text, window, shard_words)
 
-        def rows(ids, keys, texts, shard=shard):
+    def passed(shard):
+        def rows(ids, keys, texts):
             n, spans, found = [], [], []
             for t in texts:
                 words = words_of(t)
@@ -186,14 +188,22 @@ def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
                 found.append(sorted(i))
             return ids, keys, n, spans, found
 
-        passes.append(map_rows(source, rows, f"doc_id {kind}, text_key long, {_HITS}"))
-    if len(passes) == 1:
-        return passes[0]
-    base = stored(passes[0], "hits-0")
-    more = None
-    for k, found in enumerate(passes[1:], 1):
-        part = stored(found.where(F.size("spans") > 0).select("doc_id", "text_key", "spans", "items").distinct(), f"hits-{k}")
-        more = part if more is None else more.unionByName(part)
+        return map_rows(source, rows, f"doc_id {kind}, text_key long, {_HITS}")
+
+    auto, following = next(shards), next(shards, None)
+    if following is None:
+        return passed(spark.sparkContext.broadcast(auto))
+    base = more = None
+    while auto is not None:
+        shard = spark.sparkContext.broadcast(auto)
+        found = passed(shard)
+        if base is None:
+            base = stored(found, "hits")
+        else:
+            part = stored(found.where(F.size("spans") > 0).select("doc_id", "text_key", "spans", "items").distinct(), "hits")
+            more = part if more is None else more.unionByName(part)
+        shard.destroy()
+        auto, following = following, next(shards, None)
     more = more.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("_s"), F.flatten(F.collect_list("items")).alias("_i"))
     more = more.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "_s", "_i")
     none = F.array()
@@ -223,40 +233,68 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:].lstrip(b" ")])
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.8, shard_words: int = 1_000_000) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.8, shard_words: int = SHARD) -> DataFrame:
     """``docs`` without the spans of benchmark windows, and without documents of which more than ``max_coverage``
     of the words lie in such spans. Cutting goes on until no window is left, also none that a cut brought together.
     Documents without a hit come back as they were, null text included; other columns pass through."""
     spark = prepare(docs.sparkSession)
-    shards = [spark.sparkContext.broadcast(a) for a in automata(items, item_id, item_text, window, shard_words)]
     names, out = docs.columns, docs.schema
     place = names.index(text)
+    shards = automata(items, item_id, item_text, window, shard_words)
+    auto, following = next(shards), next(shards, None)
+    if following is None:
+        shard = spark.sparkContext.broadcast(auto)
 
-    def run(batches):
-        import pyarrow as pa
-
+        def run(batches):
+            for batch in batches:
+                texts, keep = [], []
+                for whole in batch.column(place).to_pylist():
+                    t, total = (whole.encode() if whole is not None else None), None
+                    drop = False
+                    while t:
+                        words = words_of(t)
+                        spans = shard.value.hits(words)[0]
+                        if not spans:
+                            break
+                        total = total or len(words)
+                        if sum(b - a for a, b in spans) > max_coverage * total:
+                            drop = True
+                            break
+                        t = _cut(t, spans)
+                    texts.append(t.decode() if total and not drop else whole)
+                    keep.append(not drop)
+                columns = [pa.array(texts, type=batch.schema.field(place).type) if i == place else batch.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+        return docs.mapInArrow(run, out)
+
+    # More shards than one: hits of all of them are merged and joined to the texts, until a round finds none.
+    my = tag_of(docs)
+    left = docs.withColumns({my + "total": F.lit(None).cast("long"), my + "key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+
+    def cut(batches):
         for batch in batches:
-            texts, keep = [], []
-            for whole in batch.column(place).to_pylist():
-                t, total = (whole.encode() if whole is not None else None), None
-                drop = False
-                while t:
-                    words = words_of(t)
-                    spans = merge([x for s in shards for x in s.value.hits(words)[0]])
-                    if not spans:
-                        break
-                    total = total or len(words)
-                    hit = sum(b - a for a, b in spans)
-                    if hit > max_coverage * total:
-                        drop = True
-                        break
-                    t = _cut(t, spans)
-                texts.append(t.decode() if total and not drop else whole)
-                keep.append(not drop)
-            columns = [pa.array(texts, type=batch.schema.field(place).type) if i == place else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, out)
+            texts, totals, keep = [], [], []
+            for whole, total, n, spans in zip(*(batch.column(name).to_pylist() for name in (text, my + "total", my + "n", my + "spans"))):
+                spans = [(s["a"], s["b"]) for s in spans or ()]
+                total = total or (n if spans else None)
+                keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * total)
+                texts.append(_cut(whole.encode(), spans).decode() if spans and keep[-1] else whole)
+                totals.append(total)
+            columns = {text: pa.array(texts, pa.string()), my + "total": pa.array(totals, pa.int64()), my + "cut": pa.array([bool(s) for s in batch.column(my + "spans").to_pylist()], pa.bool_())}
+            made = [columns.get(name, batch.column(name) if name in batch.schema.names else None) for name in kept]
+            yield pa.RecordBatch.from_arrays(made, names=kept).filter(pa.array(keep))
+
+    kept = [*names, my + "total", my + "cut"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), f"`{my}total` long, `{my}cut` boolean"])
+    while True:
+        hits = find_hits(left, items, doc_id, text, item_id, item_text, window, shard_words).where(F.size("spans") > 0)
+        hits = stored(hits.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias(my + "doc"), F.col("text_key").alias(my + "of"), F.col("n_words").alias(my + "n"), F.col("spans").alias(my + "spans")), "found")
+        joined = left.join(hits, F.col(doc_id).eqNullSafe(F.col(my + "doc")) & (F.col(my + "key") == F.col(my + "of")), "left")
+        done = stored(joined.select(*names, my + "total", my + "n", my + "spans").mapInArrow(cut, schema), "cut")
+        if done.where(F.col(my + "cut")).isEmpty():
+            return done.select(*names)
+        left = done.drop(my + "cut").withColumn(my + "key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

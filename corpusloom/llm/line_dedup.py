@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import tag_of
+
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -79,28 +81,30 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     )
 
 
-def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` reduced to its kept lines, and n_lines and n_dropped (replacing columns of those
-    names). Null text without a dropped line becomes empty. The join is by a shuffle: bitmaps grow with the data."""
+def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with ``text`` reduced to its kept lines, and, unless ``counts`` is None, lines and dropped lines counted under
+    those names (replacing columns that have them); all other columns pass through whatever their names. Null text without a dropped line becomes empty. The join is by a shuffle: bitmaps grow with the data."""
+    my = tag_of(docs)
     by_word = F.map_from_entries("drop_words")
     dense = bitmaps.select(
-        F.col("_doc").alias("_bd"),
-        F.col("_text_key").alias("_bk"),
-        F.col("n_dropped").alias("_bn"),
-        F.transform(F.sequence(F.lit(0), F.element_at("drop_words", -1)["word"]), lambda w: F.coalesce(by_word[w], F.lit(0).cast("long"))).alias("_bits"),
+        F.col("_doc").alias(my + "bd"),
+        F.col("_text_key").alias(my + "bk"),
+        F.col("n_dropped").alias(my + "bn"),
+        F.transform(F.sequence(F.lit(0), F.element_at("drop_words", -1)["word"]), lambda w: F.coalesce(by_word[w], F.lit(0).cast("long"))).alias(my + "bits"),
     )
-    keyed = docs.withColumn("_tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(dense.hint("shuffle_hash"), (F.col(doc_id) == F.col("_bd")) & (F.col("_tk") == F.col("_bk")), "left")
-    kept_line = lambda line, at: F.getbit(F.coalesce(F.get(F.col("_bits"), F.shiftright(at, 6)), F.lit(0).cast("long")), at % 64) == 0
+    keyed = docs.withColumn(my + "tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(dense.hint("shuffle_hash"), (F.col(doc_id) == F.col(my + "bd")) & (F.col(my + "tk") == F.col(my + "bk")), "left")
+    kept_line = lambda line, at: F.getbit(F.coalesce(F.get(F.col(my + "bits"), F.shiftright(at, 6)), F.lit(0).cast("long")), at % 64) == 0
     whole = F.coalesce(F.col(text), F.lit(""))
-    kept = F.when(F.col("_bits").isNull(), whole).otherwise(F.array_join(F.filter(lines_of(F.col(text)), kept_line), "\n"))
+    kept = F.when(F.col(my + "bits").isNull(), whole).otherwise(F.array_join(F.filter(lines_of(F.col(text)), kept_line), "\n"))
     n_lines = (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    added = joined.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.col("_bn"), F.lit(0)).cast("long"), "_kept": kept})
-    return added.withColumn(text, F.col("_kept")).drop("_kept", "_tk", "_bd", "_bk", "_bn", "_bits")
+    numbers = zip(counts or (), (n_lines, F.coalesce(F.col(my + "bn"), F.lit(0)).cast("long")))
+    added = joined.withColumns({**dict(numbers), my + "kept": kept})
+    return added.withColumn(text, F.col(my + "kept")).drop(my + "kept", my + "tk", my + "bd", my + "bk", my + "bn", my + "bits")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, salts: int = 64) -> DataFrame:
-    return apply_keep_bitmaps(docs, keep_bitmaps(docs, doc_id, text, min_chars, salts), doc_id, text)
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, salts: int = 64, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    return apply_keep_bitmaps(docs, keep_bitmaps(docs, doc_id, text, min_chars, salts), doc_id, text, counts)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

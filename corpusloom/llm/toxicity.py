@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on the labelled documents of smallest hash, ``train_rows`` at most. Their ids are of bounded number and are
     broadcast; the documents' features are made where the documents are."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
-    chosen = smallest_hashes(known, "_id", train_rows)
+    chosen = known.join(F.broadcast(smallest_hashes(known, "_id", train_rows)), "_id")
     rows = docs.select(F.col(doc_id).alias("_id"), utf8(text)).join(F.broadcast(chosen), "_id").select("_y", text)
 
     def features(ys, texts):

@@ -101,6 +101,9 @@ def test_lines_odd_rows(spark):
     text8 = rows[9][1]
     assert got == {(2, "own two", 2, 1), (1, rows[1][1], 4, 0), (3, "short\nshort", 3, 1), (4, "", 1, 0), (5, "", 1, 0), (None, line, 1, 0), (6, "É" * 12, 1, 0), (7, "é" * 12, 1, 0), (8, text8, 700, 0), (9, "last own line", 101, 100)}
     assert line_dedup.dedup_lines(df).count() == len(rows)
+    clash = df.withColumnsRenamed({"n_dropped": "_op_bits"}).selectExpr("*", "'k' AS n_lines")
+    kept = line_dedup.dedup_lines(clash, counts=None)
+    assert kept.columns == clash.columns and {(r._op_bits, r.n_lines) for r in kept.collect()} == {("k", "k")}
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 

@@ -64,3 +64,14 @@ def test_spans_are_removed(spark):
     items2 = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
     twice = spark.createDataFrame([(1, "x a c d b y z z z z z")], "doc_id long, text string")
     assert [r.text for r in dc.remove_spans(twice, items2).collect()] == ["x\ny z z z z z"]
+
+
+def test_spans_by_shards_as_by_one(spark):
+    """Passages of several items, one brought together by a cut, a document that is all passages, repeats and odd rows."""
+    items = spark.createDataFrame([(1, " ".join(f"a{n}" for n in range(14))), (2, " ".join(f"b{n}" for n in range(12))), (3, "short item"), (4, None)], "item_id long, text string")
+    a, b = (" ".join(f"{c}{n}" for n in range(11)) for c in "ab")
+    rows = [(1, f"one two {a} three {b} four five six seven eight nine ten eleven twelve"), (2, f"{a} {b}"), (3, None), (4, ""), (5, "clean text"), (5, "clean text"), (None, f"x y z short {a} item w " * 3), (6, "A short, item. And more of its own text here"), (7, f"{' '.join(f'c{n}' for n in range(30))} b0 b1 b2 b3 b4 {a} b5 b6 b7 b8 b9 b10 end")]
+    docs = spark.createDataFrame([(i, t, "k", 5) for i, t in rows], "doc_id long, text string, _op_total string, n int")
+    whole = sorted(map(str, dc.remove_spans(docs, items).collect()))
+    assert sorted(map(str, dc.remove_spans(docs, items, shard_words=13).collect())) == whole and len(whole) == 8
+    assert dc.remove_spans(docs.where("false"), items, shard_words=13).count() == 0

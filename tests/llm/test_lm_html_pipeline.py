@@ -266,12 +266,12 @@ def test_pipeline_against_brute_force(spark, sf):
     rows = kept.collect()
     assert {r.doc_id: r.text for r in rows} == expected and all(r.n_chars == len(r.text) for r in rows) and kept.columns == names
 
-    prints = {i: simhash.fingerprint(t.encode()) for i, t in expected.items()}
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in expected.items()}
     parent = {i: i for i in prints}
     root = lambda i: i if parent[i] == i else root(parent[i])
     for a in sorted(prints):
         for b in prints:
-            if b > a and (prints[a] ^ prints[b]).bit_count() <= 4 and root(a) != root(b):
+            if b > a and (prints[a] ^ prints[b]).bit_count() <= 8 and root(a) != root(b):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     expected = {i: t for i, t in expected.items() if root(i) == i}
     kept = stored(cp.dedup_near(spark, kept, sf), "t3")
@@ -367,3 +367,22 @@ def test_long_and_deep_pages_take_seconds():
         hm.main_text(source)
     assert hm.main_text(f'<p title="{"a" * 20_001}leak">text</p>') == "text" and hm.main_text("<p don't>text</p><p>it's</p>") == "text\nit's"
     assert time.perf_counter() - began < 20
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf):
+    """Null ids, texts and labels, empty, repeated and very long texts, columns named like the operators' own, and no rows at all."""
+    import corpus_pipeline as cp
+
+    long = "a line of words that goes on " * 30_000
+    rows = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (None, "a text without an id, kept as it is"), (None, None), (4, long), (5, "x\n" * 2000 + "a line of words, and one more"), (6, "one two three four five six")]
+    docs = spark.createDataFrame([(i, t, None, f"s{n}", 0, "mine", "own", 1.5) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, n_dropped string, _op_bits string, score double")
+    for at, (name, stage) in enumerate(cp.STAGES):
+        kept = stage(spark, docs, sf)
+        found = kept.collect()
+        if at < len(cp.STAGES) - 1:
+            assert kept.columns == docs.columns, name
+            assert {(r.n_dropped, r._op_bits, r.score) for r in found} == {("mine", "own", 1.5)}, name
+        assert {r.doc_id for r in found} >= {1, 3, 4, 5, None}, name
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+    kept = {r.source for r in cp.dedup_near(spark, docs, sf).collect()}
+    assert kept >= {"s2", "s3", "s4", "s5"} and "s8" not in kept and ("s1" in kept) is False  # 2 is empty like 1, 6 equals 3

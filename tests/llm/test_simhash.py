@@ -96,3 +96,30 @@ def test_components_shapes(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 160), 100), 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_wide_thresholds_and_hot_centres(spark):
+    """Links of up to 8 bits against all pairs; a star whose centre is a hot key; columns with names like the operator's own."""
+    import random
+
+    from corpusloom.llm import components as cc
+
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    points = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(8)})
+    df = spark.createDataFrame([(sh.signed(p),) for p in points], "fp long")
+    found = {(r.node, r.component) for r in cc.components(sh.links(df, threshold=8)).collect()}
+    parent = {p: p for p in points}
+    root = lambda p: p if parent[p] == p else root(parent[p])
+    for i, a in enumerate(points):
+        for b in points[:i]:
+            if (a ^ b).bit_count() <= 8 and root(a) != root(b):
+                parent[root(a)] = root(b)
+    groups = {}
+    for p in points:
+        groups.setdefault(root(p), []).append(sh.signed(p))
+    assert found == {(p, min(g)) for g in groups.values() if len(g) > 1 for p in g}
+    star = spark.range(1, 3000).selectExpr("0L as a", "id as b").union(spark.range(5000, 5100).selectExpr("id as a", "id + 1 as b"))
+    assert {(r.component, r.n) for r in cc.components(star).groupBy("component").agg(sh.F.count("*").alias("n")).collect()} == {(0, 3000), (5000, 101)}
+    docs = spark.createDataFrame([(1, "a b c d e", "x"), (2, "a b c d e", "y"), (3, "other words that stand here", "z")], "doc_id long, text string, _op_gone string")
+    assert sorted((r.doc_id, r._op_gone) for r in sh.keep_one(docs).collect()) == [(1, "x"), (3, "z")]
