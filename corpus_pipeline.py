@@ -46,7 +46,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256): what training reads, and the digest of the decoded text."""
-    return bpe.encode_decode(docs, bpe.default_path(), outputs=("ids", "decoded_sha256"), keep=("lang", "source"))
+    return bpe.encode_decode(docs, bpe.default_path(), outputs=("ids", "decoded_sha256"), keep=("lang", "source"), cache_pieces=200_000)
 
 
 STAGES = [
