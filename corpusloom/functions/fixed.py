@@ -153,3 +153,8 @@ NON_CULINARY = (
     r"regression analysis|p\s*<\s*0[.,]05|hplc|sds-page|plano de neg[oó]cios|gest[ãa]o financeira|precificaç[ãa]o)\b"
 )
 CITATION = r"\s?\[\d+\]"
+
+# Layout of a page's lines; what a source shows of a book.
+PARAGRAPH_PITCH = 1.4
+SHOWN_DISH_TYPES = 2
+SHOWN_INGREDIENTS = 15

@@ -57,3 +57,9 @@ def events(sources: list[dict], answer: Iterable[str], web: Iterable[dict] | Non
         yield out("error", str(e))
         return
     yield out("done", None)
+
+
+def shown(dish_types: Column, ingredients: Column) -> dict[str, Column]:
+    """What a source's card shows of its lists: the first two dish types and the first fifteen ingredients, null for an empty list."""
+    text = lambda c, n: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, n), ", "))
+    return {"dishes": text(dish_types, fx.SHOWN_DISH_TYPES), "ingredients": text(ingredients, fx.SHOWN_INGREDIENTS)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
@@ -58,6 +58,27 @@ def book_meta(books: DataFrame, name: str, text: str, lang: str, tier: str, n_re
     )
 
 
+def page_text(lines: DataFrame, doc: str = "doc_id", page: str = "page", n: str = "n", top: str = "top", left: str = "left", height: str = "height", text: str = "text") -> DataFrame:
+    """(doc, page, text): the lines of each page in order of ``n``, a blank line where a paragraph begins: at a gap well over the page's
+    usual one, at a line that stands higher (a new column), at a first line set in. Heights grow upwards. Lines without letters or
+    signs do not count. All three windows and the grouping are by page, so rows are shuffled once."""
+    whole = Window.partitionBy(doc, page)
+    middle = lambda of: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {of} DESC) OVER (PARTITION BY `{doc}`, `{page}`)")
+    stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    own = lines.select(doc, page, F.col(n).alias("_n"), F.col(top).alias("_top"), F.col(left).alias("_left"), F.col(height).alias("_height"), stripped.alias("_text")).where("_text <> ''")
+    ordered = whole.orderBy("_n")
+    own = own.withColumns({"_above": F.lag("_top").over(ordered), "_before": F.lag("_left").over(ordered)})
+    own = own.withColumn("_gap", F.when(F.col("_above") > F.col("_top"), F.col("_above") - F.col("_top")))
+    own = own.withColumns({"_pitch": F.coalesce(F.nullif(middle("_gap"), F.lit(0)), F.lit(1.0)), "_margin": middle("_left"), "_em": F.coalesce(F.nullif(middle("_height"), F.lit(0)), F.lit(1.0))})
+    column = F.col("_top") > F.col("_above") + F.col("_em")
+    spaced = F.col("_above") - F.col("_top") > F.col("_pitch") * fx.PARAGRAPH_PITCH
+    indented = (F.col("_left") > F.col("_margin") + F.col("_em")) & (F.col("_before") <= F.col("_margin") + F.col("_em") / 2)
+    begins = F.coalesce(column | spaced | indented, F.lit(False))
+    rows = own.withColumn("_text", F.when(begins, F.concat(F.lit("\n"), "_text")).otherwise(F.col("_text")))
+    joined = rows.groupBy(doc, page).agg(F.sort_array(F.collect_list(F.struct("_n", "_text"))).alias("_p"))
+    return joined.select(doc, page, F.array_join(F.transform("_p", lambda p: p["_text"]), "\n").alias("text"))
+
+
 def page_coverage(pages: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, pages_total, pages_without_text, coverage)."""
     counted = pages.groupBy(doc).agg(F.count("*").alias("pages_total"), F.count_if(~F.coalesce(tx.page_has_text(F.col(text)), F.lit(False))).alias("pages_without_text"))

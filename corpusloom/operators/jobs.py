@@ -52,6 +52,48 @@ def illegal(changes: DataFrame, from_status: str = "from_status", to_status: str
     return changes.join(legal, (F.col(from_status) == F.col("_f")) & (F.col(to_status) == F.col("_t")), "left_anti")
 
 
+def is_active() -> Column:
+    """Jobs that wait or run; all others, those without a status too, are history."""
+    return F.coalesce(F.col("status").isin(*fx.ACTIVE_STATUSES), F.lit(False))
+
+
+def joined_pages(recent: DataFrame, older: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of a newer page and those of older pages that it does not hold: a job that has moved up is shown once, as it is now."""
+    return recent.unionByName(older.join(recent.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def retitled(jobs: DataFrame, labels: DataFrame, title: str = "book_title") -> DataFrame:
+    """Jobs that name a book by an old title name it by the new one; ``labels`` are (old, new), as ``maintenance.relabels`` gives them."""
+    renamed = labels.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    return jobs.join(renamed, F.col(title) == F.col("_old"), "left").withColumn(title, F.coalesce("_new", title)).select(*jobs.columns)
+
+
+def recovered(jobs: DataFrame, processed: DataFrame, meta: DataFrame, now: datetime | Column) -> DataFrame:
+    """The queue after a restart. A running job whose file is in the index (``processed``: md5, slug, n_chunks, one row for each md5) was
+    only not told so: it is added, named by ``meta`` (slug, title, lang) or else by its slug. Any other running job is cancelled if
+    that was asked for, and else an error that may be retried. A second restart changes nothing."""
+    now = now if isinstance(now, Column) else F.lit(now)
+    titles = meta.select(F.col("slug").alias("_slug"), F.col("title").alias("_title"), F.col("lang").alias("_lang"))
+    there = processed.where("n_chunks > 0").select(F.col("md5").alias("_md5"), F.col("slug").alias("_slug"), F.col("n_chunks").alias("_n")).join(titles, "_slug", "left")
+    both = jobs.join(there, (F.col("file_md5") == F.col("_md5")) & (F.col("status") == "processing"), "left")
+    running = F.coalesce(F.col("status") == "processing", F.lit(False))
+    added = running & F.col("_md5").isNotNull()
+    stopped = running & F.col("_md5").isNull()
+    asked = stopped & F.coalesce("cancel_requested", F.lit(False))
+    failed = stopped & ~asked
+    titled = F.coalesce(F.when(F.col("_title") != "", F.col("_title")), "_slug")
+    changed = {
+        "status": F.when(added, F.lit("added")).when(asked, F.lit("cancelled")).when(failed, F.lit("error")).otherwise(F.col("status")),
+        "reason_code": F.when(failed, F.lit("interrupted")).otherwise(F.col("reason_code")),
+        "retryable": F.when(added | failed, failed).otherwise(F.col("retryable")),
+        "updated_at": F.when(running, now).otherwise(F.col("updated_at")),
+        "finished_at": F.when(added | asked, now).otherwise(F.col("finished_at")),
+        **{c: F.when(~running, F.col(c)) for c in ("stage", "progress_current", "progress_total")},
+        **{c: F.when(added, v).otherwise(F.col(c)) for c, v in (("book_title", titled), ("book_slug", F.col("_slug")), ("lang", F.col("_lang")), ("n_chunks", F.col("_n")))},
+    }
+    return both.withColumns(changed).select(*jobs.columns)
+
+
 def actions(ocr_available: bool = True) -> Column:
     """What may be asked for a job."""
     status = F.col("status")

@@ -32,6 +32,56 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.select(*shared).join(table.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def _as_known(column: str, to: str, kind: str) -> Column:
+    """A value of an older table as the type the present one has: flags stand as numbers there, times as ISO text, in UTC if it names no
+    zone."""
+    if to == "boolean" and kind != "boolean":
+        return F.coalesce(F.col(column).cast("double") != 0, F.lit(False))
+    if to == "timestamp" and kind == "string":
+        zoned = F.when(F.col(column).rlike(r"(Z|[+-]\d\d(:?\d\d)?)$") & (F.char_length(column) > 10), F.col(column)).otherwise(F.concat(column, F.lit("Z")))
+        return F.when(F.col(column) != "", F.when(F.char_length(column) > 10, zoned).otherwise(F.concat(column, F.lit("T00:00:00Z")))).cast("timestamp")
+    return F.col(column).cast(to)
+
+
+def migrated(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` with the rows of an older table whose key it lacks, of the columns both know, in the types of ``table``. An empty
+    time is null; text that is no time stops it."""
+    kinds = dict(rows.dtypes)
+    return insert_absent(table, rows.select(*(_as_known(c, to, kinds[c]).alias(c) for c, to in table.dtypes if c in kinds)), key)
+
+
+def check_migrated(table: DataFrame, rows: DataFrame, key: str) -> int:
+    """How many rows of the older table there are; stops if one of them has no row in ``table`` as it was written."""
+    n = rows.count()
+    present = rows.select(F.col(key).cast(table.schema[key].dataType)).join(table.select(key), key, "left_semi").count()
+    if present != n:
+        raise RuntimeError(f"migration is incomplete: {present} of {n} rows")
+    return n
+
+
+def set_aside(spark: SparkSession, path: str) -> str:
+    """Rename what has been migrated, so that it is not taken again; the new path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    done = at.suffix(".migrated")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, done):
+        raise RuntimeError(f"cannot rename {path}")
+    return done.toString()
+
+
+def original_names(files: DataFrame, stored: DataFrame, name: str = "name", digest: str = "md5") -> DataFrame:
+    """``files`` with stored_name, under which the original is kept, and move, whether it has to be put there. A name that other bytes
+    have, among ``stored`` or earlier (by digest) in the same table, gets the first six letters of the digest before its ending; bytes
+    that are there already are not moved again."""
+    kept = stored.groupBy(F.col(name).alias("_n")).agg(F.min(digest).alias("_d"))
+    first = files.groupBy(F.col(name).alias("_f")).agg(F.min(digest).alias("_first"))
+    both = files.join(first, F.col(name) == F.col("_f"), "left").join(kept, F.col(name) == F.col("_n"), "left")
+    clash = F.coalesce(F.col("_d"), F.col("_first")) != F.col(digest)
+    marked = F.concat(F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+$", ""), F.lit(" ("), F.substring(digest, 1, 6), F.lit(")"), F.regexp_extract(name, r"(?s)(?<=.)\.[^.]+$", 0))
+    put = both.withColumn("stored_name", F.when(clash, marked).otherwise(F.col(name)))
+    there = stored.select(F.col(name).alias("stored_name")).distinct().withColumn("_there", F.lit(True))
+    return put.join(there, "stored_name", "left").withColumn("move", F.col("_there").isNull()).select(*files.columns, "stored_name", "move")
+
+
 def relabels(books: DataFrame, removed: DataFrame, book: str = "book") -> DataFrame:
     """(old, new): remaining titles of the form "T [file]" whose T is removed become T; each T serves its first by order."""
     left = books.select(F.col(book).alias("old")).distinct().join(removed.select(F.col(book).alias("old")), "old", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import catalog, curate, dedup, jobs, maintenance, memory, retrieval
+from ..operators import answers, catalog, curate, dedup, jobs, maintenance, memory, retrieval
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,28 @@ def page_merge(spark, d):
     return catalog.merge_pages(own, turns.where("turn % 2 = 1"), "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("merged"))
 
 
+_LINES = (
+    "SELECT doc_id, (n - 1) // 40 AS page, n, 700.0 - 12 * ((n - 1) % 20) - 9 * ((n - 1) % 20 // 7) AS top, CASE WHEN (n - 1) % 11 = 0 THEN 70.0 ELSE 50.0 END AS \"left\", 10.0 AS height, trim(line) AS line "
+    "FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS n FROM documents)"
+)
+
+
+@query(
+    f"WITH l AS (SELECT * FROM ({_LINES}) WHERE line <> ''), g AS (SELECT *, lag(top) OVER w AS above, lag(\"left\") OVER w AS before FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)), "
+    "m AS (SELECT doc_id, page, coalesce(list_sort(list(above - top) FILTER (WHERE above > top))[count(*) FILTER (WHERE above > top) // 2 + 1], 1) AS pitch, list_sort(list(\"left\"))[count(*) // 2 + 1] AS margin FROM g GROUP BY ALL) "
+    "SELECT doc_id, page, string_agg(CASE WHEN top > above + 10 OR above - top > pitch * 1.4 OR (\"left\" > margin + 10 AND before <= margin + 5) THEN chr(10) ELSE '' END || line, chr(10) ORDER BY n) AS text "
+    "FROM g JOIN m USING (doc_id, page) GROUP BY doc_id, page"
+)
+def page_layout(spark, d):
+    """Documents set in two columns of twenty lines, with wider gaps after each seventh line and every eleventh line set in."""
+    lines = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_p", "text"))
+    row = F.col("_p") % 20
+    placed = lines.select(
+        "doc_id", F.floor(F.col("_p") / 40).alias("page"), (F.col("_p") + 1).alias("n"), (700.0 - 12 * row - 9 * F.floor(row / 7)).alias("top"), F.when(F.col("_p") % 11 == 0, 70.0).otherwise(50.0).alias("left"), F.lit(10.0).alias("height"), "text"
+    )
+    return catalog.page_text(placed)
+
+
 def _keyword_case(table: dict, default: str) -> str:
     tests = (" OR ".join(f"contains(hay, {sql_text(tx.fold_py(k))})" for k in terms) for terms in table.values())
     return "CASE " + " ".join(f"WHEN {test} THEN {sql_text(name)}" for name, test in zip(table, tests)) + f" ELSE {default} END"
@@ -537,6 +559,12 @@ def truncate_answer(spark, d):
     return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(tx.truncate_answer(F.col("text"))).alias("kept"))
 
 
+@query("SELECT doc_id, source AS dishes, array_to_string(string_split(text, ' ')[1:15], ', ') AS ingredients FROM documents")
+def source_card(spark, d):
+    card = answers.shown(F.array("source"), F.split("text", " ", -1))
+    return t(spark, d, "documents", "doc_id", "source", "text").select("doc_id", *(v.alias(k) for k, v in card.items()))
+
+
 @query(
     "WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
     "y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM x) "
@@ -586,6 +614,39 @@ def job_actions(spark, d):
     return _queue(spark, d).select("id", F.array_join(jobs.actions(), ",").alias("actions"))
 
 
+@query("SELECT o_orderkey AS id, o_orderstatus IN ('O', 'P') AS active FROM orders")
+def active_history(spark, d):
+    return _queue(spark, d).select("id", jobs.is_active().alias("active"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderdate >= TIMESTAMP '1996-06-01' THEN 'recent' ELSE 'older' END AS page FROM orders")
+def page_union(spark, d):
+    queue = _queue(spark, d)
+    recent = queue.where("created_at >= timestamp_ntz'1996-06-01'").withColumn("page", F.lit("recent"))
+    older = queue.where("created_at < timestamp_ntz'1997-01-01'").withColumn("page", F.lit("older"))
+    return jobs.joined_pages(recent, older).select("id", "page")
+
+
+@query("SELECT doc_id, CASE source WHEN 'src1' THEN 'src1 (bare)' WHEN 'src2' THEN 'src2 (bare)' ELSE source END AS book_title FROM documents")
+def job_titles(spark, d):
+    labels = spark.createDataFrame([("src1", "src1 (bare)"), ("src2", "src2 (bare)")], "old string, new string")
+    return jobs.retitled(t(spark, d, "documents", "doc_id", "source").withColumnRenamed("source", "book_title"), labels)
+
+
+@query(
+    "SELECT id, CASE WHEN NOT running THEN old WHEN added THEN 'added' WHEN asked THEN 'cancelled' ELSE 'error' END AS status, CASE WHEN running AND NOT added AND NOT asked THEN 'interrupted' END AS reason_code, "
+    "CASE WHEN running AND (added OR NOT asked) THEN NOT added ELSE urgent END AS retryable, CASE WHEN running AND added THEN CASE WHEN k % 2 = 0 THEN 'Livro ' || k ELSE 'slug' || k END END AS book_title, CASE WHEN running AND added THEN k END AS n_chunks "
+    "FROM (SELECT o_orderkey AS id, o_orderkey % 100 AS k, o_orderkey % 100 BETWEEN 1 AND 59 AS added, o_orderstatus = 'P' AS running, o_orderpriority = '2-HIGH' AS asked, o_orderpriority = '1-URGENT' AS urgent, "
+    "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'processing' ELSE 'error' END AS old FROM orders)"
+)
+def startup_recovery(spark, d):
+    none = {c: F.lit(None).cast(k) for c, k in (("progress_current", "int"), ("progress_total", "int"), ("book_title", "string"), ("book_slug", "string"), ("lang", "string"), ("n_chunks", "bigint"), ("updated_at", "timestamp"), ("finished_at", "timestamp"))}
+    known = spark.range(60).select(F.md5(F.col("id").cast("string")).alias("md5"), F.concat(F.lit("slug"), "id").alias("slug"), F.col("id").alias("n_chunks"))
+    meta = known.where("n_chunks % 2 = 0").select("slug", F.concat(F.lit("Livro "), "n_chunks").alias("title"), F.lit("pt").alias("lang"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    return jobs.recovered(_queue(spark, d).withColumns(none), known, meta, now).select("id", "status", "reason_code", "retryable", "book_title", "n_chunks")
+
+
 _EVENT_STATUS = {"signup": "queued", "view": "processing", "click": "added", "error": "error", "purchase": "cancelled"}
 _STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT_STATUS.items()) + " END"
 
@@ -673,3 +734,24 @@ def distinct_labels(spark, d):
 def upload_outcomes(spark, d):
     files = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5("text").alias("md5"))
     return maintenance.mark_uploads(files, files.where("doc_id % 50 = 0"), files.where("doc_id % 51 = 0"), order="doc_id").select("doc_id", "outcome")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 = 1 AS retryable, epoch_us(o_orderdate) AS created FROM orders")
+def migrated_rows(spark, d):
+    """Half of the orders in the present table, all of them in an older one with flags as numbers and times as text."""
+    orders = t(spark, d, "orders", "o_orderkey", "o_orderdate")
+    flag = F.col("o_orderkey") % 3 == 1
+    table = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), flag.alias("retryable"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("Z")).cast("timestamp").alias("created"))
+    older = orders.select(F.col("o_orderkey").alias("id"), flag.cast("int").alias("retryable"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"), F.lit(1).alias("gone"))
+    return maintenance.migrated(table, older, "id").select("id", "retryable", F.unix_micros("created").alias("created"))
+
+
+@query(
+    "WITH f AS (SELECT doc_id, source || '.tar.gz' AS name, md5(CAST(doc_id AS VARCHAR)) AS md5 FROM documents), k AS (SELECT name, min(md5) AS kept FROM f WHERE name IN ('src1.tar.gz', 'src2.tar.gz') AND doc_id % 2 = 0 GROUP BY name), "
+    "g AS (SELECT f.*, kept, md5 <> coalesce(kept, min(md5) OVER (PARTITION BY f.name)) AS clash FROM f LEFT JOIN k ON f.name = k.name) "
+    "SELECT doc_id, CASE WHEN clash THEN substr(name, 1, length(name) - 3) || ' (' || substr(md5, 1, 6) || ').gz' ELSE name END AS stored_name, clash OR kept IS NULL AS move FROM g"
+)
+def original_names(spark, d):
+    files = t(spark, d, "documents", "doc_id", "source").select("doc_id", F.concat("source", F.lit(".tar.gz")).alias("name"), F.md5(F.col("doc_id").cast("string")).alias("md5"))
+    stored = files.where("name IN ('src1.tar.gz', 'src2.tar.gz') AND doc_id % 2 = 0").groupBy("name").agg(F.min("md5").alias("md5"))
+    return maintenance.original_names(files, stored).select("doc_id", "stored_name", "move")
