@@ -139,8 +139,14 @@ def search(chunks: DataFrame, text: str, vector: Sequence[float], filters: Searc
 
 def pack_context(hits: DataFrame, partition: Sequence[str], order: Sequence, size: Column, limit: int = fx.CONTEXT_CHARS) -> DataFrame:
     """Hits in order up to the first that would pass ``limit`` letters; sizes are not negative, so a running sum says it."""
+    for parts in (None, 512) if partition else ():
+        # A sum over some of the rows is no larger than over all: what follows a row that passes the limit among its own part of the
+        # rows is out. Parts are the rows' tasks, then few of them, so of a group of any size only heads meet in one task.
+        dealt = hits.withColumn("_part", F.spark_partition_id() if parts is None else F.pmod(F.col("_part"), F.lit(parts)))
+        before = F.sum(size).over(Window.partitionBy(*partition, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        hits = dealt.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= limit).drop("_before")
     w = Window.partitionBy(*partition).orderBy(*order) if partition else Window.orderBy(*order)
-    return hits.withColumn("packed_chars", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("packed_chars") <= limit)
+    return hits.withColumn("packed_chars", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("packed_chars") <= limit).drop("_part")
 
 
 def citation_line(number: Column, book: Column, title: Column, kind: Column) -> Column:

@@ -125,14 +125,14 @@ def page_merge(spark, d):
     return catalog.merge_pages(own, turns.where("turn % 2 = 1"), "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("merged"))
 
 
-_LINES = (
+_PLACED = (
     "SELECT doc_id, (n - 1) // 40 AS page, n, 700.0 - 12 * ((n - 1) % 20) - 9 * ((n - 1) % 20 // 7) AS top, CASE WHEN (n - 1) % 11 = 0 THEN 70.0 ELSE 50.0 END AS \"left\", 10.0 AS height, trim(line) AS line "
     "FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS n FROM documents)"
 )
 
 
 @query(
-    f"WITH l AS (SELECT * FROM ({_LINES}) WHERE line <> ''), g AS (SELECT *, lag(top) OVER w AS above, lag(\"left\") OVER w AS before FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)), "
+    f"WITH l AS (SELECT * FROM ({_PLACED}) WHERE line <> ''), g AS (SELECT *, lag(top) OVER w AS above, lag(\"left\") OVER w AS before FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)), "
     "m AS (SELECT doc_id, page, coalesce(list_sort(list(above - top) FILTER (WHERE above > top))[count(*) FILTER (WHERE above > top) // 2 + 1], 1) AS pitch, list_sort(list(\"left\"))[count(*) // 2 + 1] AS margin FROM g GROUP BY ALL) "
     "SELECT doc_id, page, string_agg(CASE WHEN top > above + 10 OR above - top > pitch * 1.4 OR (\"left\" > margin + 10 AND before <= margin + 5) THEN chr(10) ELSE '' END || line, chr(10) ORDER BY n) AS text "
     "FROM g JOIN m USING (doc_id, page) GROUP BY doc_id, page"

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import hashed_embedding_py
 from corpusloom.operators import retrieval
@@ -77,3 +78,15 @@ def test_batches():
 
 def test_query_terms():
     assert retrieval.query_terms("Receita de ENTREMÉT com what entremet abc") == ["entremet"]
+
+
+def test_packing_of_a_large_group_moves_heads_only(spark):
+    rows = spark.range(0, 20_000, numPartitions=40).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), "id", F.when(F.col("id") % 5000 == 41, 1000).otherwise(F.col("id") % 4).cast("int").alias("n"))
+    packed = retrieval.pack_context(rows, ["g"], ["id"], F.col("n"), limit=300)
+    expected, sums = set(), {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        sums[r.g] = sums.get(r.g, 0) + r.n
+        if sums[r.g] <= 300:
+            expected.add((r.g, r.id, sums[r.g]))
+    assert packed.columns == ["g", "id", "n", "packed_chars"]
+    assert {(r.g, r.id, r.packed_chars) for r in packed.collect()} == expected
