@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .jobs import retitled
+
 
 def not_processed(files: DataFrame, processed: DataFrame, key: str = "md5") -> DataFrame:
     return files.join(processed.select(key), key, "left_anti")
@@ -122,8 +124,9 @@ def removal_report(chunks: DataFrame, titles: DataFrame, book: str = "book", key
 def mark_removed(processed: DataFrame, slugs: DataFrame) -> DataFrame:
     """Entries of removed books stay, with no chunks, so that their files are not taken in again."""
     gone = slugs.select("slug").distinct().withColumn("_gone", F.lit(True))
+    before = F.coalesce("removed", F.lit(False)) if "removed" in processed.columns else F.lit(False)
     both = processed.join(gone, "slug", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-    changed: dict[str, Column] = {"n_chunks": F.when(F.col("_gone"), F.lit(0)).otherwise(F.col("n_chunks")), "removed": F.col("_gone") | F.coalesce("removed", F.lit(False))}
+    changed: dict[str, Column] = {"n_chunks": F.when(F.col("_gone"), F.lit(0)).otherwise(F.col("n_chunks")), "removed": F.col("_gone") | before}
     return both.withColumns(changed).drop("_gone").select(*dict.fromkeys([*processed.columns, "removed"]))
 
 
@@ -236,6 +239,33 @@ class Snapshots:
             self._fs.delete(at, False)
 
 
+def remove_from_index(index: Snapshots, titles: Sequence[str], dry_run: bool = False) -> dict:
+    """Take the books of these titles out of an index and say what that changes; with ``dry_run`` only say it. Unknown titles stop it.
+
+    One commit rewrites the tables that know the books: their chunks (with their vectors) and their rows of ``books`` go, their files
+    stay ``processed`` with no chunks, and labels set back are set back in ``books`` and ``jobs`` too. The report's lists are as
+    long as ``titles`` at most, but for the slugs of the removed books."""
+    chunks = index.read("chunks")
+    wanted = index.spark.createDataFrame([(t,) for t in dict.fromkeys(titles)], "book string")
+    kept = remove_books(chunks, titles)
+    labels = relabels(chunks, wanted).collect()
+    gone = chunks.join(wanted, "book", "left_semi").select(F.substring_index("id", "::", 1).alias("slug")).distinct()
+    report = removal_report(chunks, wanted).first().asDict()
+    report |= {"titles": sorted(set(titles)), "slugs": sorted(r.slug for r in gone.collect()), "relabelled": {r.old: r.new for r in labels}}
+    if dry_run:
+        return report
+    renamed = index.spark.createDataFrame([(r.old, r.new) for r in labels], "old string, new string")
+    tables = {"chunks": kept}
+    if index.has("books"):
+        tables["books"] = retitled(index.read("books").join(wanted.withColumnRenamed("book", "title"), "title", "left_anti"), renamed, "title")
+    if index.has("processed"):
+        tables["processed"] = mark_removed(index.read("processed"), gone)
+    if index.has("jobs") and labels:
+        tables["jobs"] = retitled(index.read("jobs"), renamed)
+    index.commit(tables)
+    return report
+
+
 def unique_slugs(files: DataFrame, taken: DataFrame, slug: str = "slug", digest: str = "md5") -> DataFrame:
     """``files`` with slugs that name one file each: one that is taken, or that an earlier file of the same table has (by
     digest), gets the first six letters of its file's digest."""

@@ -165,14 +165,14 @@ def pack_batches(sizes: Sequence[int], max_items: int = fx.BATCH_ITEMS, max_toke
     return out
 
 
-def batched(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
+def batched(df: DataFrame, group: str, order: str, text: str, max_items: int = fx.BATCH_ITEMS, max_tokens: int = fx.BATCH_TOKENS) -> DataFrame:
     """(group, order, batch): texts of each group packed in order. The accumulator starts anew with each batch, which no window
     says, so each group's lengths (not its texts) pass one fold."""
     lengths = df.select(group, order, F.char_length(text).alias("n"))
 
     def run(pdf):
         pdf = pdf.sort_values(order)
-        return pdf.assign(batch=pack_batches(pdf.n.tolist()))[[group, order, "batch"]]
+        return pdf.assign(batch=pack_batches(pdf.n.tolist(), max_items, max_tokens))[[group, order, "batch"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in lengths.schema}
     return lengths.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, batch int")

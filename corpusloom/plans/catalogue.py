@@ -208,11 +208,16 @@ def detect_lang(spark, d):
 
 
 _COUNTS = {"ing_headers": fx.INGREDIENT_HEADER, "met_headers": fx.METHOD_HEADER, "classic_headers": fx.CLASSIC_HEADER, "qty_lines": fx.QUANTITY_LINE, "yield_lines": fx.YIELD_LINE, "culinary_hits": fx.CULINARY_WORD, "noncul_hits": fx.NON_CULINARY}
-_COUNTS_SQL = "SELECT doc_id, length(plain) AS chars, " + ", ".join(f"len(regexp_extract_all(plain, {sql_text(p)})) AS {c}" for c, p in _COUNTS.items()) + f", plain FROM (SELECT doc_id, {PLAIN} AS plain FROM documents)"
+#: Documents, some of which become recipes, cookery or unreadable; said in SQL that both engines read.
+_COOKED = (
+    "CASE doc_id % 5 WHEN 0 THEN text || repeat(chr(10) || 'Ingredientes' || chr(10) || '2 xícaras de açúcar' || chr(10) || 'Modo de preparo' || chr(10) || 'Rende 4 porções' || chr(10), 6) "
+    "WHEN 1 THEN text || repeat(' leve ao forno a massa com manteiga e farinha', 40) WHEN 2 THEN text || repeat(' a b c d e f', 400) ELSE text END"
+)
+_COUNTS_SQL = "SELECT doc_id, length(plain) AS chars, " + ", ".join(f"len(regexp_extract_all(plain, {sql_text(p)})) AS {c}" for c, p in _COUNTS.items()) + f", plain FROM (SELECT doc_id, {PLAIN} AS plain FROM (SELECT doc_id, {_COOKED} AS text FROM documents))"
 
 
 def _plain(spark, d) -> DataFrame:
-    docs = t(spark, d, "documents", "doc_id", "text")
+    docs = t(spark, d, "documents", "doc_id", "text").withColumn("text", F.expr(_COOKED))
     return tx.held(docs, "plain", F.replace(tx.fold(F.col("text")), F.lit("ß"), F.lit("s"))).select("doc_id", F.col("plain").alias("text"))
 
 
@@ -249,13 +254,21 @@ _ALONE = (fx.PAGE_NUMBER, fx.ROMAN_NUMBER, fx.DOT_LEADER, fx.DIGIT_RUN, fx.URL_O
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents"
 
 
+#: Lines of documents among lines of every noisy kind; said in SQL that both engines read.
+_NOISY = (
+    "CASE (doc_id + pos) % 9 WHEN 0 THEN '— ' || pos || ' —' WHEN 1 THEN 'xiv' WHEN 2 THEN '. . . . . . .' WHEN 3 THEN pos || ' / 2020 - 12' WHEN 4 THEN 'www.example.org/' || pos "
+    "WHEN 5 THEN 'isbn 85-' || pos WHEN 6 THEN 'Clique aqui: ' || line WHEN 7 THEN line || ' 12' ELSE line END"
+)
+
+
 @query(
-    "SELECT doc_id, count(*) AS n_noise FROM (SELECT doc_id, trim(line) AS s FROM (" + _LINES + ")) WHERE s <> '' AND ("
+    f"SELECT doc_id, count(*) AS n_noise FROM (SELECT doc_id, trim({_NOISY}) AS s FROM ({_LINES})) WHERE s <> '' AND ("
     + " OR ".join(f"regexp_matches(s, {sql_text(p)})" for p in _ALONE)
     + f" OR (regexp_matches(s, {sql_text(fx.SPAM_LINE)}) AND length(s) < 200)) GROUP BY doc_id"
 )
 def noise_lines(spark, d):
-    lines = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
+    split = t(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
+    lines = split.withColumn("pos", F.col("pos") + 1).select("doc_id", F.expr(_NOISY).alias("line"))
     return lines.where(tx.is_noise_line(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_noise"))
 
 
@@ -532,9 +545,18 @@ def citation_numbers(spark, d):
     return hits.select("vec_id", retrieval.citation_line(F.col("rank") + 1, F.concat(F.lit("label "), F.col("label").cast("string")), F.lit(""), F.lit("texto")).alias("line"))
 
 
-@query()
+#: Batches small enough that the test tables' sources fill several, by either limit.
+_BATCH = {"max_items": 20, "max_tokens": 2000}
+
+
+@query(
+    f"WITH RECURSIVE l AS (SELECT source, doc_id, CAST(ceil(length(text) / {fx.CHARS_PER_TOKEN}) AS BIGINT) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), "
+    "p(source, doc_id, r, batch, items, tokens) AS (SELECT source, doc_id, r, 0, 1, t FROM l WHERE r = 1 UNION ALL SELECT l.source, l.doc_id, l.r, "
+    + ", ".join(f"CASE WHEN items >= {_BATCH['max_items']} OR tokens + t > {_BATCH['max_tokens']} THEN {new} ELSE {same} END" for new, same in (("batch + 1", "batch"), ("1", "items + 1"), ("t", "tokens + t")))
+    + " FROM p JOIN l ON l.source IS NOT DISTINCT FROM p.source AND l.r = p.r + 1) SELECT source, doc_id, CAST(batch AS INTEGER) AS batch FROM p"
+)
 def batch_packing(spark, d):
-    return retrieval.batched(t(spark, d, "documents", "source", "doc_id", "text"), "source", "doc_id", "text")
+    return retrieval.batched(t(spark, d, "documents", "source", "doc_id", "text"), "source", "doc_id", "text", **_BATCH)
 
 
 # ------------------------------------------------------------------ conversations and jobs

@@ -30,20 +30,21 @@ def named(files: DataFrame) -> DataFrame:
     return kept.select("name", tx.extension(F.col("name")).alias("ext"), "size", F.md5("content").alias("md5"), "content")
 
 
-def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame] = vectors.with_hashed_embedding) -> None:
+def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame] = vectors.with_hashed_embedding, fresh: bool = False) -> None:
     """Take in the files of a batch that are new: text, coverage, cleaning and tier, chunks, vectors (``embed`` adds ``embedding``),
     near copies of indexed books, metadata and labels that are not taken. One commit appends ``chunks``, ``books``,
     ``processed`` and ``jobs``, the outcome of each file:
 
     added; error (unreadable, with its code); no_text (too many pages without text); discarded (with the curation's reason);
     duplicate (duplicate_content: by neighbours and shared text the book duplicate_of). Errors and files without text are not
-    marked processed, so they may come again. Near copies that arrive in one batch are not compared with each other."""
+    marked processed, so they may come again. Near copies that arrive in one batch are not compared with each other. With ``fresh``
+    all files count as new and the commit puts the tables in place of those there; ``jobs`` keeps its earlier rows."""
     found = readers.candidates(named(files))
-    if index.has("processed"):
+    if index.has("processed") and not fresh:
         found = maintenance.not_processed(found, index.read("processed"))
     found = dedup.preferred_copy(found)
     texts = readers.extract_text(found).withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))).persist()
-    known = index.has("chunks")
+    known = index.has("chunks") and not fresh
     try:
         taken = index.read("processed").select("slug").where("slug IS NOT NULL") if known else texts.select(F.lit("").alias("slug")).limit(0)
         slugged = maintenance.unique_slugs(texts.withColumn("slug", tx.safe_slug(F.col("name"))), taken)
@@ -64,7 +65,9 @@ def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable
         jobs = of.select("md5", F.col("name").alias("filename"), status.alias("status"), reason.alias("reason_code"), "duplicate_of", F.col("title").alias("book_title"), F.when(status == "added", F.col("slug")).alias("book_slug"), "lang", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "pages_total", "pages_without_text")
         done = jobs.where(F.col("status").isin("added", "discarded", "duplicate")).select("md5", F.col("book_slug").alias("slug"), "n_chunks", F.col("reason_code").alias("reason"))
         with index.lock():
-            index.append({"chunks": chunks, "books": books, "processed": done, "jobs": jobs})
+            if fresh and index.has("jobs"):
+                jobs = index.read("jobs").unionByName(jobs, allowMissingColumns=True)
+            (index.commit if fresh else index.append)({"chunks": chunks, "books": books, "processed": done, "jobs": jobs})
     finally:
         spark_catalog = files.sparkSession.catalog
         spark_catalog.clearCache()
@@ -84,6 +87,29 @@ def run(spark: SparkSession, folder: str, index: str, checkpoint: str, available
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()
 
 
+class RebuildRefused(ValueError):
+    """A rebuild would lose books whose files are not in the folder."""
+
+
+def build(spark: SparkSession, folder: str, index: str, rebuild: bool = False, force: bool = False) -> dict:
+    """Take in a folder as one batch (``run`` makes a commit of every hundred files); the number of files of each outcome. Files the index
+    has are left out. With ``rebuild`` all of the index is made anew from the folder, and is as before until
+    that is done; it is refused where the folder lacks more than a tenth of the indexed books, unless ``force``."""
+    tables = maintenance.Snapshots(spark, index, "chunks")
+    tables.recover()
+    files = spark.read.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder)
+    if rebuild and not force and tables.has("processed"):
+        indexed = tables.read("processed").where("n_chunks > 0").count()
+        there = dedup.preferred_copy(readers.candidates(named(files))).count()
+        if not catalog.may_rebuild(there, indexed):
+            raise RebuildRefused(f"{folder} has {there} files for {indexed} indexed books")
+    before = tables.read("jobs").count() if tables.has("jobs") else 0
+    told = {r.status: r.n for r in catalog.outcomes(tables.read("jobs"), "status").collect()} if before else {}
+    ingest_batch(files, tables, fresh=rebuild)
+    after = {r.status: r.n for r in catalog.outcomes(tables.read("jobs"), "status").collect()}
+    return {status: n - told.get(status, 0) for status, n in sorted(after.items()) if n > told.get(status, 0)}
+
+
 def first_uploads(uploads: DataFrame, digest: str = "md5", ts: str = "ts", within: str = "1 day") -> DataFrame:
     """The first upload of each content; state is kept as long as late copies are expected."""
     return uploads.withWatermark(ts, within).dropDuplicatesWithinWatermark([digest])
