@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import spelling as sp
+from tests.conftest import assert_same
+
+SCHEMA = "doc_id long, text string"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next(row, i, x, b)
+    return row[-1]
+
+
+def _next(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def slow(rows):
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            x = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if x % 97 == 0:
+                run = run[: x % len(run)] + run[x % len(run) + 1 :]
+            counts[run] += 1
+    known = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near = {w: [v for v in known if abs(len(v) - len(w)) < 2 and distance(w, v) == 1] for w in known}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-known[v], v), default=None)
+        form[w] = best if best is not None and known[best] >= 2 * known[w] else None
+    out = []
+    for w, n in known.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, n, len(near[w]), form[w], form[w] and known[form[w]], root))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r.word, r.n, r.n_near, r.form, r.form_n, r.root) for r in df.select("word", "n", "n_near", "form", "form_n", "root").collect())
+
+
+def corpus(seed, words=120, docs=60):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcé") for _ in range(rng.randint(4, 8))) for _ in range(words)]
+    rows = []
+    for d in range(docs):
+        text = []
+        for _ in range(60):
+            w = rng.choice(base[: rng.randint(1, words)])
+            at = rng.randrange(len(w))
+            kind = rng.random()
+            w = w[:at] + rng.choice("abcÉ") + w[at + (kind < 0.05) :] if kind < 0.1 else w[:at] + w[at + 1 :] if kind < 0.13 else w
+            text.append(w.upper() if kind > 0.9 else w)
+        rows.append((d, rng.choice([" ", "-", "7", "\n"]).join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "shard", "block"), [(1, sp.SHARD, sp.BLOCK), (2, 7, 11), (3, 40, 9)])
+def test_brute_force(spark, seed, shard, block):
+    rows = corpus(seed)
+    rows += [(None, "straße straße straße"), (None, None), (None, ""), (7, "ÀÉÎÕÜ ÀÉÎÕÜ ÀÉÎÕÜ àéîõü"), (7, "x" * 50_000), (8, "x" * 50_000), (9, "x" * 49_999 + "y"), (10, "x" * 50_000)] + [(11, "agreed agreed")] * 5
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert found(sp.variants(docs, shard=shard, block=block)) == slow(rows)
+
+
+def test_crowded_halves_are_looked_up(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["".join(rng.choice("abcdefgh") for _ in range(4)) + "tion"] * rng.randint(3, 9))) for i in range(900)]
+    assert found(sp.variants(spark.createDataFrame(rows, SCHEMA))) == slow(rows)
+
+
+def test_chains_of_forms(spark):
+    words = [("aaaaa", 3), ("aaaab", 6), ("aaabb", 12), ("aabbb", 24), ("abbbb", 48), ("bbbbb", 96), ("bbbbbb", 97)]
+    rows = [(None, " ".join(" ".join([w] * n) for w, n in words))]
+    got = {r[0]: r[-1] for r in found(sp.variants(spark.createDataFrame(rows, SCHEMA), drop_one_in=1 << 40))}
+    assert got["aaaaa"] == "bbbbb" and got["bbbbb"] == "bbbbb"
+
+
+def test_empty_and_clashing_names(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert sp.variants(empty).collect() == []
+    rows = corpus(9, docs=20)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("word", "n", "size", "_s", "_b", "root")})
+    assert found(sp.variants(docs)) == slow(rows)
+
+
+def test_sql(spark, duck, sf):
+    assert_same(sp.query(spark, sf), duck, sp.SQL)
