@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_main, language_id, line_dedup, lm_score, media_copies, merkle, simhash, spelling, token_counts, toxicity
+from . import bpe, decontaminate, html_main, language_id, line_dedup, lm_score, media_copies, merkle, pii, simhash, spelling, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_score": lm_score.query,
     "op10_html_main": html_main.query,
     "op11_merkle": merkle.query,
+    "op12_pii": pii.query,
     "op13_spelling": spelling.query,
 }
 ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_line_dedup": line_dedup.SQL, "op11_merkle": merkle.SQL, "op13_spelling": spelling.SQL}
