@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """By rule over the basic plane (Hangul, whose syllables folding takes apart, aside): letters that unfold to one, with marks that
+@cache
+def fold_tables() -> tuple[str, str, dict[str, str]]:
+    """By rule over the planes that have letters which unfold (Hangul syllables, which come apart by arithmetic, aside): letters that unfold to one, with marks that
     folding drops last, for they have no counterpart; and letters that unfold to several or to none."""
     single, several, marks = {}, {}, []
-    for at in range(0xA0, 0x10000):
+    for at in range(0xA0, 0x30000):
+        if 0xAC00 <= at <= 0xD7A3 or 0xD800 <= at < 0xE000:
+            continue
         c = chr(at)
-        if 0xAC00 <= at < 0xE000 or c != c.lower():
+        if c != c.lower():
             continue
         plain = fold_py(c)
         if not plain:
@@ -32,17 +36,30 @@ def fold_py(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
-FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_tables()
-_SEVERAL = "[" + "".join(FOLD_SEVERAL) + "]"
+_JAMO = ["".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28))]
+
+
+def _syllable(c: Column) -> Column:
+    """The letters of a Hangul syllable."""
+    n = F.ascii(c) - 0xAC00
+    lead, vowel, tail = F.floor(n / 588), F.floor((n % 588) / 28), n % 28
+    letter = lambda k, at: F.substring(F.lit(_JAMO[k]), (at + 1).cast("int"), F.lit(1))
+    return F.concat(letter(0, lead), letter(1, vowel), F.when(tail > 0, letter(2, tail)).otherwise(""))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, compatibility letters (ligatures, fractions, full-width letters) unfolded. Text that is all
-    ASCII takes the short way; letters that unfold to several are looked up only where there are any."""
-    plain = F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
-    table = F.create_map(*(F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair))
-    unfolded = F.aggregate(F.array_distinct(F.regexp_extract_all(plain, F.lit(_SEVERAL), 0)), plain, lambda t, c: F.replace(t, c, table[c]))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(plain.rlike(_SEVERAL), unfolded).otherwise(plain)
+    """Lower case without accents, compatibility letters (ligatures, fractions, full-width letters) unfolded: ``fold_py`` as a column.
+    Text that is all ASCII takes the short way. What unfolds to several letters is rare: whether there is any is told by a comparison
+    of lengths without such letters, and only then are they looked up."""
+    one, to, several = fold_tables()
+    all_of = "".join(several)
+    plain = F.translate(F.lower(text), one, to)
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    rare = F.array_distinct(F.filter(F.split(plain, ""), lambda c: F.translate(c, all_of, "") == ""))
+    unfolded = F.aggregate(F.filter(rare, lambda c: c != ""), plain, lambda t, c: F.replace(t, c, table[c]))
+    whole = F.when(F.char_length(F.translate(plain, all_of, "")) < F.char_length(plain), unfolded).otherwise(plain)
+    parted = F.array_join(F.transform(F.split(whole, ""), lambda c: F.when(c.between("가", "힣"), _syllable(c)).otherwise(c)), "")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(whole.rlike("[가-힣]"), parted).otherwise(whole)
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:

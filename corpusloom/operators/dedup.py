@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import text as tx
+from .order import cut
 
 
 def preferred_copy(files: DataFrame, digest: str = "md5", name: str = "name") -> DataFrame:
@@ -51,50 +52,50 @@ def containment(new: DataFrame, known: DataFrame, new_key: str, known_key: str)
     return shared.join(sizes, new_key).select(new_key, known_key, "n_new", "n_shared", (F.col("n_shared") / F.col("n_new")).alias("containment"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, vector: str = "embedding", k: int = 1, block: int = 4096) -> DataFrame:
-    """(query_key, base_key, cos): the ``k`` rows of ``base`` with the largest inner product for each query, ties by key.
-
-    Exact: a block of queries (``block`` vectors at most, so what is broadcast has a bound) passes the base once, in
-    matrix products by Arrow batch that keep k rows for each query; the survivors meet in a top-k by query. More
-    queries than a block make more passes."""
-    spark = base.sparkSession
-    kinds = queries.schema[query_key].dataType.simpleString(), base.schema[base_key].dataType.simpleString()
-    source = base.select(F.col(base_key), F.col(vector))
-    found = None
-
-    def search(ids: list, vectors: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((pa.array(ids), np.array(vectors, np.float64)))
-
-        def run(batches):
-            names, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                batch = batch.take(pc.sort_indices(batch.column(0)))
-                values = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = q @ values.T
-                keep = min(k, batch.num_rows)
-                limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
-                # of those that tie with the k-th the smallest keys stay, as many as there is room for
-                above, tied = scores > limit, scores == limit
-                row, at = np.nonzero(above | (tied & (tied.cumsum(1) <= keep - above.sum(1, keepdims=True))))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), batch.column(0).take(pa.array(at)), pa.array(scores[row, at])], names=[query_key, base_key, "cos"])
-
-        return source.mapInArrow(run, f"`{query_key}` {kinds[0]}, `{base_key}` {kinds[1]}, cos double")
-
-    ids, vectors = [], []
-    rows = queries.select(query_key, vector).toLocalIterator()
-    for row in rows:
-        ids.append(row[0])
-        vectors.append(list(row[1]))
-        if len(ids) == block:
-            found = search(ids, vectors) if found is None else found.unionByName(search(ids, vectors))
-            ids, vectors = [], []
-    if ids or found is None:
-        dim = vectors or np.zeros((0, 1))
-        found = search(ids, dim) if found is None else found.unionByName(search(ids, dim))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as rows of a matrix, without a Python object for each."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
+
+
+def _best_of_tile(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest of each row; of those that tie with the k-th the first columns stay."""
+    keep = min(k, scores.shape[1])
+    limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+    above, tied = scores > limit, scores == limit
+    return np.nonzero(above | (tied & (tied.cumsum(1) <= keep - above.sum(1, keepdims=True))))
+
+
+def nearest(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, vector: str = "embedding", k: int = 1, block: int = 4096, base_block: int = 16_384) -> DataFrame:
+    """(query_key, base_key, cos, rank): the ``k`` rows of ``base`` with the largest inner product for each query, ties by key.
+
+    Exact, as a tiled join: both sides are dealt into blocks of bounded size by a hash of their keys, every pair of blocks meets in a
+    task of its own as one matrix product, and each query's ``k`` best of a tile are merged by a top-k. Nothing passes the driver but
+    the two counts; a side is copied once for each block of the other. Products are compared to 12 places, so that equal vectors tie whatever tile
+    they are in. Rows without a key or a vector are left out."""
+    left = queries.where(F.col(query_key).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_key).alias("_q"), F.col(vector).alias("_qv"))
+    right = base.where(F.col(base_key).isNotNull() & F.col(vector).isNotNull()).select(F.col(base_key).alias("_k"), F.col(vector).alias("_kv"))
+    rows, columns = -(-left.count() // block) or 1, -(-right.count() // base_block) or 1
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("_r", deal("_q", rows)).withColumn("_c", every(columns))
+    right = right.withColumn("_c", deal("_k", columns)).withColumn("_r", every(rows))
+    kinds = {f.name: f.dataType.simpleString() for d in (left, right) for f in d.schema}
+
+    def tile(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.take(pc.sort_indices(known.column("_k"))) if known.num_rows else known
+        if asked.num_rows and known.num_rows:
+            scores = np.round(_matrix(asked.column("_qv")) @ _matrix(known.column("_kv")).T, 12)
+            row, at = _best_of_tile(scores, k)
+            best = scores[row, at]
+        else:
+            row = at = np.zeros(0, np.int64)
+            best = np.zeros(0)
+        return pa.table([asked.column("_q").take(pa.array(row)), known.column("_k").take(pa.array(at)), pa.array(best)], names=[query_key, base_key, "cos"])
+
+    met = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(tile, f"`{query_key}` {kinds['_q']}, `{base_key}` {kinds['_k']}, cos double")
     order = Window.partitionBy(query_key).orderBy(F.desc("cos"), base_key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def neighbour_candidates(neighbours: DataFrame, group: str, book: str, min_share: float = fx.CANDIDATE_MIN_SHARE, most: int = fx.MAX_CANDIDATES) -> DataFrame:
@@ -121,3 +122,41 @@ def find_duplicates(new_chunks: DataFrame, store: DataFrame, group: str = "new_b
     passed = candidates.join(inside, [group, book]).where(F.col("containment") >= min_containment)
     first = passed.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("rank")))
     return first.where("_r = 1").select(group, book, "containment")
+
+
+def first_kept(links: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(later, earlier) for each node that goes: of ``links`` (later, earlier, weight) between nodes in an order, a node goes if it has a link to an
+    earlier one that stays, and ``earlier`` is the one of largest weight (of equals the first). Nodes of ``gone`` (later) go whatever
+    their links. This is the first independent set of the links, what taking nodes one after another leaves.
+
+    By rounds, all over distributed links: a node stays once all its earlier neighbours are gone, and goes once one of them stays;
+    decided links are dropped. Rounds are as many as the longest chain of decisions, not as nodes."""
+    links = links.where("later <> earlier").select("later", "earlier", "weight")
+    if gone is not None:
+        out = gone.select(F.col("later").alias("_gone")).distinct()
+        links = links.join(out, F.col("later") == F.col("_gone"), "left_anti").join(out, F.col("earlier") == F.col("_gone"), "left_anti")
+    all_links = links = cut(links)
+    kept = links.select("earlier").limit(0)
+    went = links.select("later").limit(0)
+    while not links.isEmpty():
+        waiting = links.select(F.col("later").alias("earlier")).distinct()
+        stays = cut(links.select("earlier").distinct().join(waiting, "earlier", "left_anti"))
+        goes = links.join(stays, "earlier", "left_semi").select("later").distinct()
+        kept, went = kept.unionByName(stays), went.unionByName(goes)
+        open_ = links.join(goes, "later", "left_anti")
+        links = cut(open_.join(goes.withColumnRenamed("later", "earlier"), "earlier", "left_anti").select("later", "earlier", "weight"))
+    free = all_links.select(F.col("later").alias("earlier")).distinct().join(went.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
+    staying = cut(kept.unionByName(free).distinct())
+    decided = all_links.join(staying, "earlier", "left_semi").join(went.distinct(), "later", "left_semi")
+    best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("earlier").alias("earlier"))).alias("_b")
+    return decided.groupBy("later").agg(best).select("later", F.col("_b.earlier").alias("earlier"))
+
+
+def copies_within(chunks: DataFrame, group: str, key: str, text: str, place: str, min_containment: float = fx.MIN_CONTAINMENT) -> DataFrame:
+    """(later, earlier, weight, ...) of groups of ``chunks`` that share text: the earlier (by ``place``, a column that is one value for each
+    group) contains enough of the later. Every pair that shares a shingle is counted; groups that share none never meet."""
+    grams = cut(shingles_across(chunks, group, key, text))
+    places = chunks.select(group, place).distinct()
+    inside = containment(grams.withColumnRenamed(group, "later"), grams.withColumnRenamed(group, "earlier"), "later", "earlier").where((F.col("later") != F.col("earlier")) & (F.col("containment") >= min_containment))
+    both = inside.join(places.select(F.col(group).alias("later"), F.col(place).alias("_lp")), "later").join(places.select(F.col(group).alias("earlier"), F.col(place).alias("_ep")), "earlier")
+    return both.where("_ep < _lp").select("later", "earlier", F.col("containment").alias("weight"), F.col("_lp").alias("later_place"), F.col("_ep").alias("earlier_place"))

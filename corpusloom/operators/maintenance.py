@@ -8,6 +8,7 @@ Hadoop's file system, so a snapshot lives wherever the cluster's tables do.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -168,8 +169,11 @@ class Snapshots:
     def has(self, table: str) -> bool:
         return table in (self.current or {"parts": {}})["parts"]
 
+    def _number(self) -> int:
+        return int((self._names("CURRENT-") or ["CURRENT-0"])[-1].rpartition("-")[2])
+
     def _point(self, made: dict) -> dict:
-        number = int((self._names("CURRENT-") or ["CURRENT-0"])[-1].rpartition("-")[2]) + 1
+        number = made.get("after", self._number()) + 1
         aside, final = self._path(f"{self.path}/_CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT-{number:020d}")
         out = self._fs.create(aside, True)
         out.write(bytearray(json.dumps(made).encode()))
@@ -182,6 +186,7 @@ class Snapshots:
 
     def _commit(self, tables: DataFrame | dict[str, DataFrame], keep: bool, facts: dict) -> dict:
         tables = tables if isinstance(tables, dict) else {self.table: tables}
+        number = self._number()  # another commit that ends before this one takes the number after it, and this one fails
         before = self.current or {"parts": {}, "rows": {}}
         parts, rows = dict(before["parts"]), dict(before["rows"])
         for table, df in tables.items():
@@ -189,7 +194,7 @@ class Snapshots:
             df.write.parquet(f"{self.path}/{part}")
             parts[table] = [*(parts.get(table, ()) if keep else ()), part]
             rows[table] = (rows.get(table, 0) if keep else 0) + self.spark.read.parquet(f"{self.path}/{part}").count()
-        return self._point({"parts": parts, "rows": rows, "n_rows": rows.get(self.table), "previous": {k: before[k] for k in ("parts", "rows")} if before["parts"] else None, **facts})
+        return self._point({"parts": parts, "rows": rows, "n_rows": rows.get(self.table), "previous": {k: before[k] for k in ("parts", "rows")} if before["parts"] else None, "after": number, **facts})
 
     def commit(self, tables: DataFrame | dict[str, DataFrame], **facts) -> dict:
         """Write tables anew (those not named stay) and point to them. Until the pointer is there nothing has changed."""
@@ -215,14 +220,35 @@ class Snapshots:
             self._fs.delete(self._path(f"{self.path}/{name}"), True)
         return sorted(n for n in gone if not n.startswith("CURRENT-"))
 
+    def _owner(self, at) -> str | None:
+        try:
+            stream = self._fs.open(at)
+        except Exception:  # gone meanwhile
+            return None
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _break_lock(self, at, owner: str | None) -> None:
+        """Remove the lock of a dead owner. Of several that try, one renames it; a lock taken meanwhile by another is put back."""
+        aside = self._path(f"{self.path}/_LOCK.{uuid.uuid4().hex}")
+        if self._fs.rename(at, aside):
+            if self._owner(aside) == owner or not self._fs.rename(aside, at):
+                self._fs.delete(aside, False)
+
     @contextmanager
-    def lock(self, wait_seconds: float = 600, on_wait: Callable[[], None] | None = None):
-        """One writer at a time: a file that only one of several can create. A writer that died leaves it; ``recover`` of a
-        caller that knows so removes it."""
+    def lock(self, wait_seconds: float = 600, on_wait: Callable[[], None] | None = None, stale_seconds: float = 120):
+        """One writer at a time: a file that only one of several can create. Its owner gives it a new time again and again; if the
+        time does not change for ``stale_seconds`` of the waiting process's own clock, the owner has died and the lock is removed. Read what
+        a commit builds on, and call ``recover``, inside it."""
         at, began, told = self._path(f"{self.path}/_LOCK"), time.monotonic(), False
+        owner, seen, since = uuid.uuid4().hex, None, time.monotonic()
         while True:
             try:
-                self._fs.create(at, False).close()
+                out = self._fs.create(at, False)
+                out.write(bytearray(owner.encode()))
+                out.close()
                 break
             except Exception as e:
                 if "already exists" not in str(e) and "FileAlreadyExists" not in str(e):
@@ -232,11 +258,31 @@ class Snapshots:
                     on_wait()
                 if time.monotonic() - began > wait_seconds:
                     raise TimeoutError(f"{self.path} is locked") from e
-                time.sleep(0.2)
+            holder = self._owner(at)
+            now = (holder, self._fs.getFileStatus(at).getModificationTime() if holder is not None and self._fs.exists(at) else None)
+            if now != seen:
+                seen, since = now, time.monotonic()
+            elif holder is not None and time.monotonic() - since > stale_seconds:
+                self._break_lock(at, holder)
+            time.sleep(0.2)
+        done = threading.Event()
+
+        def beat() -> None:
+            while not done.wait(stale_seconds / 4):
+                try:
+                    self._fs.setTimes(at, int(time.time() * 1000), -1)
+                except Exception:  # the lock is gone or the file system keeps no times: nothing to renew
+                    return
+
+        renewing = threading.Thread(target=beat, daemon=True)
+        renewing.start()
         try:
             yield self
         finally:
-            self._fs.delete(at, False)
+            done.set()
+            renewing.join()
+            if self._owner(at) == owner:
+                self._fs.delete(at, False)
 
 
 def remove_from_index(index: Snapshots, titles: Sequence[str], dry_run: bool = False) -> dict:
@@ -276,12 +322,17 @@ def unique_slugs(files: DataFrame, taken: DataFrame, slug: str = "slug", digest:
     return marked.withColumn(slug, F.when(clash, F.concat(slug, F.lit("-"), F.substring(digest, 1, 6))).otherwise(F.col(slug))).select(*files.columns)
 
 
-def distinct_labels(books: DataFrame, taken: DataFrame, title: str = "title", filename: str = "filename", slug: str = "slug") -> DataFrame:
-    """``books`` with titles that are not taken: else with the file's name in brackets, else with the slug."""
+def distinct_labels(books: DataFrame, taken: DataFrame, title: str = "title", filename: str = "filename", slug: str = "slug", among: bool = False) -> DataFrame:
+    """``books`` with titles that are not taken: else with the file's name in brackets, else with the slug. With ``among``, a title that another
+    of the books has, whose slug comes first, is taken too."""
     known = taken.select(F.col(title).alias("_t")).distinct()
     labelled = books.withColumn("_file", F.format_string("%s [%s]", title, filename))
     for n, column in enumerate((title, "_file")):
         labelled = labelled.join(known.withColumnRenamed("_t", f"_t{n}"), F.col(column) == F.col(f"_t{n}"), "left")
+        if among:
+            first = labelled.groupBy(F.col(column).alias("_w")).agg(F.min(slug).alias("_s"))
+            again = labelled.join(first, F.col(column) == F.col("_w"), "left")
+            labelled = again.withColumn(f"_t{n}", F.coalesce(f"_t{n}", F.when(F.col(slug) > F.col("_s"), F.col(column)))).drop("_w", "_s")
     label = F.when(F.col("_t0").isNull(), F.col(title)).when(F.col("_t1").isNull(), F.col("_file")).otherwise(F.format_string("%s [%s]", title, slug))
     return labelled.withColumn(title, label).select(*books.columns)
 

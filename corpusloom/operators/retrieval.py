@@ -8,12 +8,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import text as tx
 from ..functions.vectors import dot
+from .order import cut, numbered
 
 
 @dataclass(frozen=True)
@@ -165,14 +168,65 @@ def pack_batches(sizes: Sequence[int], max_items: int = fx.BATCH_ITEMS, max_toke
     return out
 
 
-def batched(df: DataFrame, group: str, order: str, text: str, max_items: int = fx.BATCH_ITEMS, max_tokens: int = fx.BATCH_TOKENS) -> DataFrame:
-    """(group, order, batch): texts of each group packed in order. The accumulator starts anew with each batch, which no window
-    says, so each group's lengths (not its texts) pass one fold."""
-    lengths = df.select(group, order, F.char_length(text).alias("n"))
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        return pdf.assign(batch=pack_batches(pdf.n.tolist(), max_items, max_tokens))[[group, order, "batch"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in lengths.schema}
-    return lengths.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, batch int")
+def _next_start(tokens: np.ndarray, max_items: int, max_tokens: int) -> np.ndarray:
+    """For each text, where the batch that begins with it ends, if it is one of these."""
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    at = np.arange(len(tokens))
+    fits = np.searchsorted(total, total[:-1] + max_tokens, side="right") - 1
+    return np.minimum(np.maximum(fits, at + 1), at + max_items)
+
+
+def batched(df: DataFrame, group: str, order: str, text: str, max_items: int = fx.BATCH_ITEMS, max_tokens: int = fx.BATCH_TOKENS, block: int = 65_536) -> DataFrame:
+    """(group, order, batch): texts of each group packed in order, as ``pack_batches`` does.
+
+    Where a batch begins follows from where the one before ends, yet no group passes one task. Rows get their places, and blocks of
+    ``block`` places are tasks. Every block says, for each place of its beginning where a batch could begin (``max_items`` at most), where the first batch
+    of the next block would, and how many batches lie between; it sees the first rows of the next block for that. Such steps are
+    composed by doubling until each block knows its real beginning and number; then blocks number their own batches."""
+    block = max(block, max_items)
+    sized = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.ceil(F.char_length(text) / fx.CHARS_PER_TOKEN).cast("long").alias("_t"))
+    placed = numbered(sized, "_g", ["_o"]).withColumn("_t", F.coalesce("_t", F.lit(0)))
+    name = F.when(F.col("_g").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("_g").cast("string")))  # joins without a rule for nulls
+    own = F.expr(f"_at div {block}")
+    blocks = F.explode(F.when((F.col("_at") % block < max_items) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own)))
+    dealt = cut(placed.select("_g", name.alias("_n"), "_o", "_at", "_t", blocks.alias("_b")))
+
+    def steps(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        at = rows.column("_at").to_numpy()
+        by = np.argsort(at)
+        first, n = int(key[1].as_py()) * block, len(at)
+        after = _next_start(rows.column("_t").to_numpy()[by], max_items, max_tokens)
+        inside = min(block, n)
+        ends, hops = np.arange(n + max_items + 1), np.zeros(n + max_items + 1, np.int64)
+        for i in range(inside - 1, -1, -1):
+            ends[i], hops[i] = ends[after[i]], hops[after[i]] + 1
+        m = inside if first and inside < max_items else 1 if not first else max_items
+        return pa.table([pa.array([key[0].as_py()] * m), pa.array(first + np.arange(m)), pa.array(first + ends[:m]), pa.array(hops[:m])], names=["_n", "_at", "_end", "_hops"])
+
+    entries = jump = cut(dealt.groupBy("_n", "_b").applyInArrow(steps, "_n string, _at bigint, _end bigint, _hops bigint"))
+    known = cut(jump.where("_at = 0").select("_n", "_at", F.lit(0).cast("long").alias("_batch")))
+    size = known.count()
+    while size:
+        further = known.join(jump, ["_n", "_at"]).select("_n", F.col("_end").alias("_at"), (F.col("_batch") + F.col("_hops")).alias("_batch"))
+        known = cut(known.unionByName(further).distinct())
+        ahead = jump.select("_n", F.col("_at").alias("_end"), F.col("_end").alias("_end2"), F.col("_hops").alias("_hops2"))
+        jump = cut(jump.join(ahead, ["_n", "_end"]).select("_n", "_at", F.col("_end2").alias("_end"), (F.col("_hops") + F.col("_hops2")).alias("_hops")))
+        size, before = known.count(), size
+        if size == before:
+            break
+    begins = known.join(entries.select("_n", "_at"), ["_n", "_at"], "left_semi").select("_n", F.expr(f"_at div {block}").alias("_b"), F.col("_at").alias("_from"), "_batch")
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+
+    def number(rows: pa.Table) -> pa.Table:
+        at, start, batch = rows.column("_at").to_numpy(), rows.column("_from")[0].as_py(), rows.column("_batch")[0].as_py()
+        by = np.argsort(at)
+        first, after = int(at[by[0]]), _next_start(rows.column("_t").to_numpy()[by], max_items, max_tokens)
+        out, i = np.full(len(at), -1, np.int32), start - first
+        while i < min(block, len(at)):
+            out[i : after[i]] = batch
+            i, batch = int(after[i]), batch + 1
+        mine = np.flatnonzero(out >= 0)
+        return pa.table([rows.column("_g").take(pa.array(by[mine])), rows.column("_o").take(pa.array(by[mine])), pa.array(out[mine])], names=[group, order, "batch"])
+
+    ready = dealt.join(begins, ["_n", "_b"])
+    return ready.groupBy("_n", "_b").applyInArrow(number, f"`{group}` {kinds['_g']}, `{order}` {kinds['_o']}, batch int")

@@ -32,51 +32,67 @@ def named(files: DataFrame) -> DataFrame:
 
 def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame] = vectors.with_hashed_embedding, fresh: bool = False) -> None:
     """Take in the files of a batch that are new: text, coverage, cleaning and tier, chunks, vectors (``embed`` adds ``embedding``),
-    near copies of indexed books, metadata and labels that are not taken. One commit appends ``chunks``, ``books``,
+    near copies of indexed books and of earlier ones of the batch, metadata and labels that are not taken. One commit appends ``chunks``, ``books``,
     ``processed`` and ``jobs``, the outcome of each file:
 
     added; error (unreadable, with its code); no_text (too many pages without text); discarded (with the curation's reason);
     duplicate (duplicate_content: by neighbours and shared text the book duplicate_of). Errors and files without text are not
-    marked processed, so they may come again. Near copies that arrive in one batch are not compared with each other. With ``fresh``
-    all files count as new and the commit puts the tables in place of those there; ``jobs`` keeps its earlier rows."""
+    marked processed, so they may come again. Files of a batch count as if they came one after another, by name: one that an earlier one
+    that is added contains enough of is its copy; inside a batch shared text alone says so. With ``fresh``
+    all files count as new and the commit puts the tables in place of those there; ``jobs`` keeps its earlier rows.
+
+    All of it happens under the index's lock, so what it reads is what its commit builds on."""
+    with index.lock():
+        held: list[DataFrame] = []
+        try:
+            _ingest(files, index, embed, fresh, held)
+        finally:
+            for df in held:
+                df.unpersist()
+
+
+def _ingest(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame], fresh: bool, held: list[DataFrame]) -> None:
+    def kept_here(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
     found = readers.candidates(named(files))
     if index.has("processed") and not fresh:
         found = maintenance.not_processed(found, index.read("processed"))
     found = dedup.preferred_copy(found)
-    texts = readers.extract_text(found).withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))).persist()
+    texts = kept_here(readers.extract_text(found).withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))))
     known = index.has("chunks") and not fresh
-    try:
-        taken = index.read("processed").select("slug").where("slug IS NOT NULL") if known else texts.select(F.lit("").alias("slug")).limit(0)
-        slugged = maintenance.unique_slugs(texts.withColumn("slug", tx.safe_slug(F.col("name"))), taken)
-        readable = slugged.where("error IS NULL AND coverage = 'ok'")
-        prepared = curate.prepare(readable, "md5", "text").join(readable.select("md5", "name", "slug"), "md5").persist()
-        rows = embed(curate.chunk_rows(prepared.withColumn("book", F.col("slug")), "slug", "book", "md5").withColumn("_e", tx.embed_text(F.col("title"), F.col("text"))), "_e").drop("_e").persist()
-        same = dedup.find_duplicates(rows.withColumnRenamed("book", "new_book"), index.read("chunks")).select(F.col("new_book").alias("slug"), F.col("book").alias("duplicate_of")) if known else prepared.select("slug", F.lit("").alias("duplicate_of")).limit(0)
-        same = same.persist()
-        kept = prepared.where("discard_reason IS NULL").join(same, "slug", "left_anti").withColumn("n_chunks", F.size("pieces"))
-        meta = catalog.book_meta(kept.withColumnRenamed("slug", "_slug").withColumn("_id", F.col("md5")), "name", "cleaned", "lang", "tier", "_id").withColumnRenamed("n_recipes", "md5")
-        named_books = meta.join(kept.select("md5", "slug", F.col("name").alias("filename"), "n_chunks"), "md5")
-        titles = index.read("books").select("title") if known else named_books.select("title").limit(0)
-        books = maintenance.distinct_labels(named_books, titles).drop("book").persist()
-        chunks = rows.drop("book").join(books.select("md5", F.col("title").alias("book"), "region", "dish_types"), "md5")
-        of = slugged.select("md5", "name", "slug", "error", "coverage", "pages_total", "pages_without_text").join(prepared.select("md5", "discard_reason"), "md5", "left").join(same, "slug", "left").join(books.select("md5", "title", "lang", "n_chunks"), "md5", "left")
-        status = F.when(F.col("error").isNotNull(), F.lit("error")).when(F.col("coverage") != "ok", F.lit("no_text")).when(F.col("discard_reason").isNotNull(), F.lit("discarded")).when(F.col("duplicate_of").isNotNull(), F.lit("duplicate")).otherwise(F.lit("added"))
-        reason = F.coalesce("error", F.when(F.col("coverage") != "ok", F.col("coverage")), "discard_reason", F.when(F.col("duplicate_of").isNotNull(), F.lit("duplicate_content")))
-        jobs = of.select("md5", F.col("name").alias("filename"), status.alias("status"), reason.alias("reason_code"), "duplicate_of", F.col("title").alias("book_title"), F.when(status == "added", F.col("slug")).alias("book_slug"), "lang", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "pages_total", "pages_without_text")
-        done = jobs.where(F.col("status").isin("added", "discarded", "duplicate")).select("md5", F.col("book_slug").alias("slug"), "n_chunks", F.col("reason_code").alias("reason"))
-        with index.lock():
-            if fresh and index.has("jobs"):
-                jobs = index.read("jobs").unionByName(jobs, allowMissingColumns=True)
-            (index.commit if fresh else index.append)({"chunks": chunks, "books": books, "processed": done, "jobs": jobs})
-    finally:
-        spark_catalog = files.sparkSession.catalog
-        spark_catalog.clearCache()
+    taken = index.read("processed").select("slug").where("slug IS NOT NULL") if known else texts.select(F.lit("").alias("slug")).limit(0)
+    slugged = maintenance.unique_slugs(texts.withColumn("slug", tx.safe_slug(F.col("name"))), taken)
+    readable = slugged.where("error IS NULL AND coverage = 'ok'")
+    prepared = kept_here(curate.prepare(readable, "md5", "text").join(readable.select("md5", "name", "slug"), "md5"))
+    rows = kept_here(embed(curate.chunk_rows(prepared.withColumn("book", F.col("slug")), "slug", "book", "md5", "name").withColumn("_e", tx.embed_text(F.col("title"), F.col("text"))), "_e").drop("_e"))
+    same = dedup.find_duplicates(rows.withColumnRenamed("book", "new_book"), index.read("chunks")).select(F.col("new_book").alias("slug"), F.col("book").alias("duplicate_of")) if known else prepared.select("slug", F.lit("").alias("duplicate_of")).limit(0)
+    same = kept_here(same)
+    links = dedup.copies_within(rows.withColumn("_place", F.struct("name", "md5")), "book", "id", "text", "_place")
+    within = kept_here(dedup.first_kept(links, same.select(F.col("slug").alias("later"))).select(F.col("later").alias("slug"), "earlier"))
+    kept = prepared.where("discard_reason IS NULL").join(same, "slug", "left_anti").join(within, "slug", "left_anti").withColumn("n_chunks", F.size("pieces"))
+    meta = catalog.book_meta(kept.withColumnRenamed("slug", "_slug").withColumn("_id", F.col("md5")), "name", "cleaned", "lang", "tier", "_id").withColumnRenamed("n_recipes", "md5")
+    named_books = meta.join(kept.select("md5", "slug", F.col("name").alias("filename"), "n_chunks"), "md5")
+    titles = index.read("books").select("title") if known else named_books.select("title").limit(0)
+    books = kept_here(maintenance.distinct_labels(named_books, titles, among=True).drop("book"))
+    chunks = rows.drop("book", "name").join(books.select("md5", F.col("title").alias("book"), "region", "dish_types"), "md5")
+    same = same.unionByName(within.join(books.select(F.col("slug").alias("earlier"), F.col("title").alias("duplicate_of")), "earlier").select("slug", "duplicate_of"))
+    of = slugged.select("md5", "name", "slug", "error", "coverage", "pages_total", "pages_without_text").join(prepared.select("md5", "discard_reason"), "md5", "left").join(same, "slug", "left").join(books.select("md5", "title", "lang", "n_chunks"), "md5", "left")
+    status = F.when(F.col("error").isNotNull(), F.lit("error")).when(F.col("coverage") != "ok", F.lit("no_text")).when(F.col("discard_reason").isNotNull(), F.lit("discarded")).when(F.col("duplicate_of").isNotNull(), F.lit("duplicate")).otherwise(F.lit("added"))
+    reason = F.coalesce("error", F.when(F.col("coverage") != "ok", F.col("coverage")), "discard_reason", F.when(F.col("duplicate_of").isNotNull(), F.lit("duplicate_content")))
+    jobs = of.select("md5", F.col("name").alias("filename"), status.alias("status"), reason.alias("reason_code"), "duplicate_of", F.col("title").alias("book_title"), F.when(status == "added", F.col("slug")).alias("book_slug"), "lang", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "pages_total", "pages_without_text")
+    done = jobs.where(F.col("status").isin("added", "discarded", "duplicate")).select("md5", F.col("book_slug").alias("slug"), "n_chunks", F.col("reason_code").alias("reason"))
+    if fresh and index.has("jobs"):
+        jobs = index.read("jobs").unionByName(jobs, allowMissingColumns=True)
+    (index.commit if fresh else index.append)({"chunks": chunks, "books": books, "processed": done, "jobs": jobs})
 
 
 def run(spark: SparkSession, folder: str, index: str, checkpoint: str, available_now: bool = True, on_batch: Callable[[int], None] | None = None):
     """Start the stream; with ``available_now`` it ends when the folder's files are done. What a broken run left is dropped first."""
     tables = maintenance.Snapshots(spark, index, "chunks")
-    tables.recover()
+    with tables.lock():
+        tables.recover()
 
     def each(batch: DataFrame, number: int) -> None:
         ingest_batch(batch, tables)
@@ -92,12 +108,13 @@ class RebuildRefused(ValueError):
 
 
 def build(spark: SparkSession, folder: str, index: str, rebuild: bool = False, force: bool = False) -> dict:
-    """Take in a folder as one batch (``run`` makes a commit of every hundred files); the number of files of each outcome. Files the index
+    """Take in the files directly in a folder as one batch (``run`` makes a commit of every hundred files); the number of files of each outcome. Files the index
     has are left out. With ``rebuild`` all of the index is made anew from the folder, and is as before until
     that is done; it is refused where the folder lacks more than a tenth of the indexed books, unless ``force``."""
     tables = maintenance.Snapshots(spark, index, "chunks")
-    tables.recover()
-    files = spark.read.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder)
+    with tables.lock():
+        tables.recover()
+    files = spark.read.format("binaryFile").schema(FILES).option("recursiveFileLookup", "false").load(folder)
     if rebuild and not force and tables.has("processed"):
         indexed = tables.read("processed").where("n_chunks > 0").count()
         there = dedup.preferred_copy(readers.candidates(named(files))).count()

@@ -21,7 +21,8 @@ def test_build_resume_remove_and_guarded_rebuild(spark, tmp_path, capsys):
     (folder / "manual.txt").write_text(books.manual())
     assert main(["build", str(folder), at], spark) == 0
     assert json.loads(capsys.readouterr().out) == {"added": 1, "discarded": 1}
-    (folder / "sub" / "receitas.txt").write_text(books.recipe_text(9))
+    (folder / "sub" / "mais.txt").write_text(books.recipe_text(7))  # folders inside are not read
+    (folder / "receitas.txt").write_text(books.recipe_text(9))
     (few / "outro.md").write_text(books.recipe_text(4))
     assert main(["build", str(folder), at], spark) == 0  # only what is new
     assert json.loads(capsys.readouterr().out) == {"added": 1}

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
 import re
 
 import books
+import numpy as np
+import pytest
 
 from corpusloom.functions.vectors import hashed_embedding_py
 from corpusloom.operators import dedup
@@ -88,3 +91,34 @@ def test_ties_keep_the_smallest_keys(spark):
     base = spark.createDataFrame([(n, [1.0, 0.0]) for n in range(50, 0, -1)] + [(99, [0.5, 0.0])], "vec_id long, embedding array<double>").repartition(3)
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "q long, embedding array<double>")
     assert sorted((r.q, r.vec_id) for r in dedup.nearest(asked, base, "q", "vec_id", k=3).collect()) == [(q, v) for q in (1, 2) for v in (1, 2, 3)]
+
+
+def test_tiles_of_both_sides(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties
+    base = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)] + [(None, [0.0] * 4), (900, None)], "b long, embedding array<double>")
+    asked = base.where("b % 3 = 0").withColumnRenamed("b", "q")
+    expected = {(q, int(b)) for q in range(0, 90, 3) for b in sorted(range(90), key=lambda b: (-float(vectors[q] @ vectors[b]), b))[:3]}
+    for block, base_block in ((4096, 16_384), (7, 9), (100, 20)):
+        found = dedup.nearest(asked, base, "q", "b", k=3, block=block, base_block=base_block)
+        assert {(r.q, r.b) for r in found.collect()} == expected
+    assert dedup.nearest(asked.where("false"), base, "q", "b").collect() == [] == dedup.nearest(asked, base.where("false"), "q", "b").collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_kept_is_what_one_after_another_leaves(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)] + [(n + 1, n) for n in range(40, 52)]
+    links = {(a, b): rng.random() for a, b in pairs if a > b}
+    gone, kept, expected = {3, 41}, set(), {}
+    for n in range(60):
+        copies = [(-w, b) for (a, b), w in links.items() if a == n and b in kept]
+        if n in gone:
+            continue
+        if copies:
+            expected[n] = min(copies)[1]
+        else:
+            kept.add(n)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "later long, earlier long, weight double")
+    found = dedup.first_kept(df, spark.createDataFrame([(g,) for g in gone], "later long"))
+    assert {r.later: r.earlier for r in found.collect()} == expected

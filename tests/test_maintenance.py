@@ -80,3 +80,48 @@ def test_lock(spark, tmp_path):
     with s.lock():
         pass
     assert waits == [1]
+
+
+def test_lock_of_a_dead_writer_is_removed_and_of_a_live_one_is_not(spark, tmp_path):
+    path = str(tmp_path / "locks")
+    s, other = Snapshots(spark, path), Snapshots(spark, path)
+    (tmp_path / "locks").mkdir()
+    (tmp_path / "locks" / "_LOCK").write_text("someone who died")
+    with s.lock(wait_seconds=20, stale_seconds=1.0):
+        with pytest.raises(TimeoutError), other.lock(wait_seconds=4, stale_seconds=1.5):  # renewed while it is held
+            pass
+    assert not (tmp_path / "locks" / "_LOCK").exists()
+
+
+def test_interleaved_writers(spark, tmp_path):
+    """Whatever one writer has done when another recovers and commits, no read fails and no rows of a finished commit are lost."""
+    path = str(tmp_path / "two")
+    a, b = Snapshots(spark, path), Snapshots(spark, path)
+    rows = lambda n: spark.range(n, n + 1)
+    a.append(rows(0))
+    whole = Snapshots._point
+
+    def other_first(self, made):
+        if self is a:
+            b.append(rows(2))
+        return whole(self, made)
+
+    Snapshots._point = other_first
+    try:
+        with pytest.raises(RuntimeError, match="another writer"):
+            a.append(rows(1))  # without the lock: told, not lost
+    finally:
+        Snapshots._point = whole
+    assert sorted(r.id for r in a.read().collect()) == [0, 2]
+    began = []
+
+    def waits():
+        began.append(1)
+
+    with a.lock():
+        with pytest.raises(TimeoutError), b.lock(wait_seconds=0.5, on_wait=waits):  # recover stands inside the lock
+            b.recover()
+        a.append(rows(1))
+    with b.lock():
+        b.recover()
+    assert began and sorted(r.id for r in b.read().collect()) == [0, 1, 2]

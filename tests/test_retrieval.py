@@ -90,3 +90,25 @@ def test_packing_of_a_large_group_moves_heads_only(spark):
             expected.add((r.g, r.id, sums[r.g]))
     assert packed.columns == ["g", "id", "n", "packed_chars"]
     assert {(r.g, r.id, r.packed_chars) for r in packed.collect()} == expected
+
+
+@pytest.mark.parametrize(("block", "items", "tokens"), [(65_536, 500, 10**6), (16, 5, 40), (7, 7, 25), (10, 3, 9)])
+def test_batches_over_blocks(spark, block, items, tokens):
+    rng = random.Random(block)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), n, rng.choice([None, "", "x", "x" * 9, "x" * 40, "x" * 200])) for n in range(300)]
+    df = spark.createDataFrame(rows, "g string, o long, t string").repartition(5)
+    found = {(r.g, r.o): r.batch for r in retrieval.batched(df, "g", "o", "t", items, tokens, block).collect()}
+    expected = {}
+    for g in ("a", "b", None):
+        mine = sorted((o, len(t or "")) for gg, o, t in rows if gg == g)
+        expected |= {(g, o): b for (o, _), b in zip(mine, retrieval.pack_batches([n for _, n in mine], items, tokens))}
+    assert found == expected
+    assert retrieval.batched(df.where("false"), "g", "o", "t").collect() == []
+
+
+def test_one_group_spreads_over_tasks(spark):
+    df = spark.range(5000).select(F.lit("all").alias("g"), F.col("id").alias("o"), F.lit("xxxx").alias("t"))
+    found = retrieval.batched(df, "g", "o", "t", 10, 1000, 500).withColumn("task", F.expr("spark_partition_id()"))
+    assert found.agg(F.count_distinct("batch"), F.max("batch")).first() == (500, 499)
+    sizes = [r["count"] for r in found.groupBy("batch").count().collect()]
+    assert set(sizes) == {10}

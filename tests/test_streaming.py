@@ -126,3 +126,34 @@ def test_first_uploads(spark, tmp_path):
     files_of(tmp_path / "u", [{"md5": "x", "ts": "2024-01-01T00:00:00.000Z"}, {"md5": "x", "ts": "2024-01-01T00:00:01.000Z"}, {"md5": "y", "ts": "2024-01-01T00:00:02.000Z"}])
     uploads = spark.readStream.schema("md5 string, ts timestamp").json(str(tmp_path / "u"))
     assert sorted(r.md5 for r in finish(ingest.first_uploads(uploads), "upload_rows")) == ["x", "y"]
+
+
+def outcomes(index):
+    return {r.filename: (r.status, r.duplicate_of, r.book_title) for r in index.read("jobs").collect()}
+
+
+def test_near_copies_of_one_batch_are_as_one_after_another(spark, tmp_path):
+    """A, its near copy B, a near copy C of B, another book D and its copy E: one batch and five give the same outcomes."""
+    a, d = books.recipe_text(1), books.recipe_text(9)
+    texts = {"a.md": a, "b.md": a + "\n\nFim do livro.\n", "c.md": a + "\n\nFim do livro.\n\nUma nota a mais do editor.\n", "d.md": d, "e.md": d + "\n\nFim.\n"}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    files = spark.read.format("binaryFile").load(str(folder))
+    whole, single = Snapshots(spark, str(tmp_path / "whole"), "chunks"), Snapshots(spark, str(tmp_path / "single"), "chunks")
+    ingest.ingest_batch(files, whole)
+    for name in texts:
+        ingest.ingest_batch(files.where(f"path LIKE '%/{name}'"), single)
+    assert outcomes(whole) == outcomes(single) == {"a.md": ("added", None, "a"), "b.md": ("duplicate", "a", None), "c.md": ("duplicate", "a", None), "d.md": ("added", None, "d"), "e.md": ("duplicate", "d", None)}
+    assert {r.id for r in whole.read().collect()} == {r.id for r in single.read().collect()}
+
+
+def test_ingest_leaves_the_callers_cache(spark, tmp_path):
+    mine = spark.range(5).persist()
+    mine.count()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text(books.recipe_text(1))
+    ingest.ingest_batch(spark.read.format("binaryFile").load(str(tmp_path / "in")), Snapshots(spark, str(tmp_path / "index"), "chunks"))
+    assert mine.storageLevel.useMemory and spark._jsparkSession.sharedState().cacheManager().lookupCachedData(mine._jdf).isDefined()
+    mine.unpersist()
