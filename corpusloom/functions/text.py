@@ -52,14 +52,21 @@ def fold(text: Column) -> Column:
     Text that is all ASCII takes the short way. What unfolds to several letters is rare: whether there is any is told by a comparison
     of lengths without such letters, and only then are they looked up."""
     one, to, several = fold_tables()
-    all_of = "".join(several)
-    plain = F.translate(F.lower(text), one, to)
-    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
-    rare = F.array_distinct(F.filter(F.split(plain, ""), lambda c: F.translate(c, all_of, "") == ""))
-    unfolded = F.aggregate(F.filter(rare, lambda c: c != ""), plain, lambda t, c: F.replace(t, c, table[c]))
-    whole = F.when(F.char_length(F.translate(plain, all_of, "")) < F.char_length(plain), unfolded).otherwise(plain)
-    parted = F.array_join(F.transform(F.split(whole, ""), lambda c: F.when(c.between("가", "힣"), _syllable(c)).otherwise(c)), "")
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(whole.rlike("[가-힣]"), parted).otherwise(whole)
+    all_of, made = "".join(several), "\x01".join(several.values())
+
+    def unfolded(plain: Column) -> Column:
+        rare = F.array_distinct(F.filter(F.split(plain, ""), lambda c: (c != "") & (F.translate(c, all_of, "") == "")))
+        of = lambda c: F.get(F.split(F.lit(made), "\x01", -1), F.instr(F.lit(all_of), c) - 1)
+        some = F.char_length(F.translate(plain, all_of, "")) < F.char_length(plain)
+        return F.when(some, F.aggregate(rare, plain, lambda t, c: F.replace(t, c, of(c)))).otherwise(plain)
+
+    def parted(whole: Column) -> Column:
+        letters = F.transform(F.split(whole, ""), lambda c: F.when(c.between("가", "힣"), _syllable(c)).otherwise(c))
+        return F.when(whole.rlike("[가-힣]"), F.array_join(letters, "")).otherwise(whole)
+
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  # the value is computed once
+    beyond = once(once(F.translate(F.lower(text), one, to), unfolded), parted)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(beyond)
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:

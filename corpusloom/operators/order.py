@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,11 @@ def cut(df: DataFrame) -> DataFrame:
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusloom-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str = "_at") -> DataFrame:

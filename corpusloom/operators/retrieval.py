@@ -88,6 +88,19 @@ def rare_terms(counts: DataFrame, n_chunks: int) -> DataFrame:
     return stats.where((F.col("df") <= cap) & (F.col("total") <= cap * fx.MAX_TF)).withColumn("idf", F.log(F.lit(float(n_chunks)) / F.col("df")))
 
 
+def rare_of(chunks: DataFrame, folded: str, terms: Sequence[str]) -> list[dict]:
+    """What ``rare_terms`` says of the terms of one query, as rows for the driver (a row for each term at most): one pass counts the
+    collection and every term in it."""
+    if not terms:
+        return []
+    each = [tx.count_substring(F.col(folded), F.lit(t)) for t in terms]
+    sums = [c for n, x in enumerate(each) for c in (F.count_if(x > 0).alias(f"df{n}"), F.sum(x).alias(f"total{n}"))]
+    row = chunks.agg(F.count("*").alias("n"), *sums).first()
+    cap = fx.RARE_TERM_MAX_DF * row.n
+    counted = [{"term": t, "df": row[f"df{n}"], "total": row[f"total{n}"]} for n, t in enumerate(terms) if row[f"df{n}"]]
+    return [c | {"idf": math.log(row.n / c["df"])} for c in counted if c["df"] <= cap and c["total"] <= cap * fx.MAX_TF]
+
+
 def lexical_scores(counts: DataFrame, rare: DataFrame, key: str) -> DataFrame:
     """(key, lex): idf times term frequency (five at most), summed. ``rare`` has a row for each query term: broadcast."""
     return counts.join(F.broadcast(rare.select("term", "idf")), "term").groupBy(key).agg(F.sum(F.col("idf") * F.least("tf", F.lit(fx.MAX_TF))).alias("lex"))
@@ -126,9 +139,7 @@ def search(chunks: DataFrame, text: str, vector: Sequence[float], filters: Searc
     known = tx.held(chunks, "_folded", folded_text())
     terms = query_terms(" ".join([text, *filters.ingredients]))
     allowed = known.where(filters.condition(F.col("_folded")))
-    n = known.count() if terms else 0
-    counts = term_counts(known, key, "_folded", terms)
-    found = [r.asDict() for r in rare_terms(counts, n).collect()] if terms else []  # a row for each query term at most
+    found = rare_of(known, "_folded", terms)
     pool = max(k, fx.FUSION_POOL) if found else k
     semantic = knn(allowed.select(key, vector_column), vector, key, vector_column, pool)
     if not found:

@@ -528,7 +528,8 @@ def filtered_search(spark, d):
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches({FOLDED}, '(^|[^\\p{{L}}\\p{{N}}])the') AND regexp_matches({FOLDED}, '(^|[^\\p{{L}}\\p{{N}}])of\\s+the')")
 def ingredient_filter(spark, d):
     filters = retrieval.SearchFilters(ingredient="The, of  the;")
-    return t(spark, d, "documents", "doc_id", "text").where(filters.condition(tx.fold(F.col("text")))).select("doc_id")
+    docs = tx.held(t(spark, d, "documents", "doc_id", "text"), "_folded", tx.fold(F.col("text")))
+    return docs.where(filters.condition(F.col("_folded"))).select("doc_id")
 
 
 @query("SELECT doc_id, CAST(packed_chars AS BIGINT) AS packed_chars FROM (SELECT doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS packed_chars FROM documents) WHERE packed_chars <= 60000")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors
 from ..operators import catalog, curate, dedup, maintenance
+from ..operators.order import cut
 from ..sources import readers
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -43,39 +44,33 @@ def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable
 
     All of it happens under the index's lock, so what it reads is what its commit builds on."""
     with index.lock():
-        held: list[DataFrame] = []
-        try:
-            _ingest(files, index, embed, fresh, held)
-        finally:
-            for df in held:
-                df.unpersist()
+        _ingest(files, index, embed, fresh)
 
 
-def _ingest(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame], fresh: bool, held: list[DataFrame]) -> None:
-    def kept_here(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return held[-1]
-
+def _ingest(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame], fresh: bool) -> None:
+    # What several tables follow from is written once: plans stay short, and a lost executor costs a re-read.
     found = readers.candidates(named(files))
     if index.has("processed") and not fresh:
         found = maintenance.not_processed(found, index.read("processed"))
     found = dedup.preferred_copy(found)
-    texts = kept_here(readers.extract_text(found).withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))))
+    texts = cut(readers.extract_text(found).drop("content").withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))))
     known = index.has("chunks") and not fresh
     taken = index.read("processed").select("slug").where("slug IS NOT NULL") if known else texts.select(F.lit("").alias("slug")).limit(0)
     slugged = maintenance.unique_slugs(texts.withColumn("slug", tx.safe_slug(F.col("name"))), taken)
     readable = slugged.where("error IS NULL AND coverage = 'ok'")
-    prepared = kept_here(curate.prepare(readable, "md5", "text").join(readable.select("md5", "name", "slug"), "md5"))
-    rows = kept_here(embed(curate.chunk_rows(prepared.withColumn("book", F.col("slug")), "slug", "book", "md5", "name").withColumn("_e", tx.embed_text(F.col("title"), F.col("text"))), "_e").drop("_e"))
+    prepared = cut(curate.prepare(readable, "md5", "text").join(readable.select("md5", "name", "slug"), "md5"))
+    rows = cut(embed(curate.chunk_rows(prepared.withColumn("book", F.col("slug")), "slug", "book", "md5", "name").withColumn("_e", tx.embed_text(F.col("title"), F.col("text"))), "_e").drop("_e"))
     same = dedup.find_duplicates(rows.withColumnRenamed("book", "new_book"), index.read("chunks")).select(F.col("new_book").alias("slug"), F.col("book").alias("duplicate_of")) if known else prepared.select("slug", F.lit("").alias("duplicate_of")).limit(0)
-    same = kept_here(same)
-    links = dedup.copies_within(rows.withColumn("_place", F.struct("name", "md5")), "book", "id", "text", "_place")
-    within = kept_here(dedup.first_kept(links, same.select(F.col("slug").alias("later"))).select(F.col("later").alias("slug"), "earlier"))
+    same = cut(same)
+    alone = prepared.where("discard_reason IS NULL").limit(2).count() < 2
+    within = None if alone else dedup.copies_within(rows.withColumn("_place", F.struct("name", "md5")), "book", "id", "text", "_place")
+    within = prepared.select("slug", F.lit("").alias("earlier")).limit(0) if alone else dedup.first_kept(within, same.select(F.col("slug").alias("later"))).select(F.col("later").alias("slug"), "earlier")
+    within = cut(within)
     kept = prepared.where("discard_reason IS NULL").join(same, "slug", "left_anti").join(within, "slug", "left_anti").withColumn("n_chunks", F.size("pieces"))
     meta = catalog.book_meta(kept.withColumnRenamed("slug", "_slug").withColumn("_id", F.col("md5")), "name", "cleaned", "lang", "tier", "_id").withColumnRenamed("n_recipes", "md5")
     named_books = meta.join(kept.select("md5", "slug", F.col("name").alias("filename"), "n_chunks"), "md5")
     titles = index.read("books").select("title") if known else named_books.select("title").limit(0)
-    books = kept_here(maintenance.distinct_labels(named_books, titles, among=True).drop("book"))
+    books = cut(maintenance.distinct_labels(named_books, titles, among=True).drop("book"))
     chunks = rows.drop("book", "name").join(books.select("md5", F.col("title").alias("book"), "region", "dish_types"), "md5")
     same = same.unionByName(within.join(books.select(F.col("slug").alias("earlier"), F.col("title").alias("duplicate_of")), "earlier").select("slug", "duplicate_of"))
     of = slugged.select("md5", "name", "slug", "error", "coverage", "pages_total", "pages_without_text").join(prepared.select("md5", "discard_reason"), "md5", "left").join(same, "slug", "left").join(books.select("md5", "title", "lang", "n_chunks"), "md5", "left")
