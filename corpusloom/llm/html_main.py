@@ -256,13 +256,24 @@ def main_text(source: str | None) -> str:
         weight[parent[x]] += weight[x]
         links_in[parent[x]] += links_in[x]
     whole = weight[0]
+    named_bad, under_bad, good = [False] * n, [False] * n, [False] * n
+    for x in range(n):
+        within = x > 0 and inside[parent[x]]
+        said = classes[x] if within and (tag[x] == "section" or tag[x] in HEADINGS) else words[x]
+        bad = bool(said & NEGATIVE) and tag[x] not in ("html", "body", "main")
+        named_bad[x] = bad or ("header" in words[x] and not inside[x]) or (bool(names[x] & COMMENTS) and within)
+        under_bad[x] = named_bad[x] or (x > 0 and under_bad[parent[x]])
+        good[x] = inside[x] or bool(words[x] & POSITIVE and tag[x] != "body" and not bad) or (x > 0 and good[parent[x]])
+    # A name says nothing of an element that holds most of the text, unless there is prose that no such name stands over.
+    prose = [(x, len(text)) for x, text, links in page.blocks if not never[x] and len(text) >= PROSE and links < len(text) / 2]
+    clean = sum(size for x, size in prose if not under_bad[x])
+    named_good = any(good[x] and not under_bad[x] for x, _ in prose)
     gone = [False] * n
     for x in range(n):
         comments = bool(names[x] & COMMENTS)
         within = x > 0 and inside[parent[x]]
-        said = classes[x] if within and (tag[x] == "section" or tag[x] in HEADINGS) else words[x]
-        bad = (bool(said & NEGATIVE) and tag[x] not in ("html", "body", "main")) or ("header" in words[x] and not inside[x]) or (comments and within)
-        spared = not comments and (2 * weight[x] > whole or tag[x] in HEADINGS)
+        bad = named_bad[x]
+        spared = not comments and ((2 * weight[x] > whole and not named_good and 8 * clean < weight[x]) or tag[x] in HEADINGS)
         if tag[x] == "article":
             spared = not (comments and within)
         elif tag[x] in ("ul", "ol") and within:

@@ -386,3 +386,25 @@ def test_pipeline_stages_with_odd_rows(spark, sf):
         assert stage(spark, docs.where("false"), sf).count() == 0, name
     kept = {r.source for r in cp.dedup_near(spark, docs, sf).collect()}
     assert kept >= {"s2", "s3", "s4", "s5"} and "s8" not in kept and ("s1" in kept) is False  # 2 is empty like 1, 6 equals 3
+
+
+@pytest.mark.parametrize("name", ["sidebar", "related-posts", "newsletter", "cookie-notice", "discussion", "sponsored", "ad-box", "menu"])
+@pytest.mark.parametrize("paragraphs", [2, 6])
+@pytest.mark.parametrize("holder", ["div class='content'", "article", "main", "div"])
+def test_surroundings_longer_than_the_article_go(name, paragraphs, holder):
+    from corpusloom.llm.html_main import main_text
+
+    own = [f"Paragraph {n} of the article has some words, with commas, and goes on for a while so that it reads as prose." for n in range(2)]
+    other = [f"Another text {n} that stands beside it, rather long too, with commas, and with nothing to do with the article at all." for n in range(paragraphs)]
+    text = lambda rows: "".join(f"<p>{p}</p>" for p in rows)
+    end = holder.split()[0]
+    for page in (f"<{holder}><h1>Title</h1>{text(own)}</{end}><div class='{name}'>{text(other)}</div>", f"<div class='{name}'>{text(other)}</div><{holder}><h1>Title</h1>{text(own)}</{end}>"):
+        assert main_text(f"<html><body>{page}</body></html>").split("\n") == ["Title", *own]
+
+
+@pytest.mark.parametrize("name", ["widget", "promo-layout", "notice", "related"])
+def test_a_bad_name_over_all_prose_says_nothing(name):
+    from corpusloom.llm.html_main import main_text
+
+    own = [f"Paragraph {n} of the article has some words, with commas, and goes on for a while so that it reads as prose." for n in range(3)]
+    assert main_text(f"<body><p>Short line.</p><div class='{name}'><h2>Title</h2>{''.join(f'<p>{p}</p>' for p in own)}</div></body>").split("\n")[-3:] == own
