@@ -14,7 +14,8 @@ Supported files: BPE with an end-of-word suffix, NFC / white space / lower case
 byte-level symbols, special tokens matched in the raw text, and no decoder (tokens joined by a space).
 
 Defined results for odd rows: null text encodes as the empty text, to no ids; a null or repeated doc_id passes
-through; ids and decoded text come back whole at any length.
+through; ids and decoded text come back whole at any length; an empty table gives no row; further columns are not read
+unless named, whatever their names.
 """
 
 from __future__ import annotations

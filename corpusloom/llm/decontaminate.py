@@ -12,7 +12,8 @@ by one while a shard is built.
 
 Defined results for odd rows: null text, or text without a word, has no words and no hits; null item ids are
 items named ``null``; items that are null or without words are none; items of equal id are separate
-sequences that count once; an empty benchmark hits nothing; repeated documents get equal results.
+sequences that count once; an empty benchmark hits nothing; repeated documents get equal results; texts of any length are searched whole; an
+empty table of documents gives no row; further columns pass through or are not read, whatever their names.
 """
 
 from __future__ import annotations

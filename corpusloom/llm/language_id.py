@@ -10,7 +10,8 @@ Only finished profiles reach the driver: ``top`` n-grams for each language, of a
 
 Defined results for odd rows: null text and text without a letter are ``und`` with score 0, as is all text if
 nothing was learned; documents with null lang or null text are not learned from; a null doc_id is learned from
-only by callers that ask for it and is not held out; repeated rows count as often as they stand.
+only by callers that ask for it and is not held out; repeated rows count as often as they stand; texts of any length are
+profiled whole; an empty table gives no row; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ salt at most) meet in a second pass over the hash alone.
 
 Defined results for odd rows: null or empty text is one empty line; rows with equal doc_id count as one
 document; a null doc_id neither claims a line nor loses one; equal (doc_id, text) rows share a bitmap;
-columns of the input that are not named in the call pass through ``apply_keep_bitmaps`` unchanged.
+columns of the input that are not named in the call pass through ``apply_keep_bitmaps`` unchanged; texts of any number of lines are read
+whole; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ tokens in a text are ordinary text.
 Defined results for odd rows: null text is the empty text, which edits may fill; positions beyond either end
 mean that end, negative lengths mean zero, null inserts mean none; edits of a document apply in the order of their
 array (or of ``seq``, then by position, length and insert); edits of unknown documents and null ids are ignored; each
-of several rows with the same doc_id gets that doc_id's edits.
+of several rows with the same doc_id gets that doc_id's edits; texts of any length are counted whole; an empty table gives no row;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -192,9 +193,10 @@ def recount_from(docs: DataFrame, edits: DataFrame, path: str, doc_id: str = "do
     document is asked to have no more of them than fit beside its text."""
     e = F.struct("seq", F.col("pos").cast("long").alias("pos"), F.col("n_delete").cast("long").alias("n_delete"), "insert")
     grouped = edits.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.sort_array(F.collect_list(e)).alias("_edits"))
-    joined = docs.join(grouped, F.col(doc_id) == F.col("_id"), "left")
+    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))  # without columns that could have the names made here
+    joined = bare.join(grouped, F.col("doc_id") == F.col("_id"), "left")
     plain = F.transform(F.coalesce("_edits", F.array()), lambda x: F.struct(x["pos"].alias("pos"), x["n_delete"].alias("n_delete"), x["insert"].alias("insert")))
-    return recount(joined.withColumn("_plain", plain), path, "_plain", doc_id, text)
+    return recount(joined.withColumn("_plain", plain), path, "_plain")
 
 
 def scripted_edits(doc_id: str = "doc_id", text: str = "text"):

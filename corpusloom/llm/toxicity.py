@@ -8,7 +8,8 @@ sees only the finished weights, of fixed number. Scoring reads every whole text
 
 Defined results for odd rows: null or empty text has no features and scores as the intercept says; a document
 with several labels is toxic if any says so; null labels and labels without a document are ignored; a null
-doc_id is not learned from and is not held out; without a labelled document of either class every score is that class's.
+doc_id is not learned from and is not held out; without a labelled document of either class every score is that class's; repeated rows are scored each;
+texts of any length are read whole; an empty table gives no row; further columns are no input, whatever their names.
 """
 
 from __future__ import annotations
