@@ -140,18 +140,41 @@ def test_recall_over_edits_against_all_pairs(spark):
     images = {100 * n: p for n, p in enumerate(pictures)} | {100 * n + k: e(p) for n, p in enumerate(pictures) for k, e in enumerate(edits, 1)}
     df = spark.createDataFrame([(i, mc.write_pgm(p)) for i, p in images.items()], "image_id long, data binary").repartition(4)
     corner = {r.image_id: np.array(r.corner, "<i4") for r in mc.features(df).collect()}
-    where = {r.image_id: r.component_id for r in mc.copies(df).collect()}
     direct = {(100 * n, 100 * n + k) for n in range(12) for k in range(1, len(edits) + 1)}
     brute = {(a, b) for a, b in direct if mc.consensus(corner[a], corner[b])}
     assert len(brute) >= 0.95 * len(direct)  # what comparing everything finds
-    for k in range(1, len(edits) + 1):  # what the tables find of it, edit by edit
-        of = [(a, b) for a, b in brute if b % 100 == k]
-        assert sum(where[a] == where[b] for a, b in of) >= 0.9 * len(of), k
-    assert all(c // 100 == i // 100 for i, c in where.items())
+    for width in (None, 23, 30, 40):  # keys as wide as some million, half a billion and tens of billions of corners have them
+        where = {r.image_id: r.component_id for r in mc.copies(df, width=width).collect()}
+        for k in range(1, len(edits) + 1):  # what the tables find of it, edit by edit
+            of = [(a, b) for a, b in brute if b % 100 == k]
+            assert sum(where[a] == where[b] for a, b in of) >= 0.9 * len(of), (width, k)
+        assert all(c // 100 == i // 100 for i, c in where.items())
     others = [(a, b) for a in corner for b in corner if a < b and a // 100 != b // 100][::23]
     assert not any(mc.consensus(corner[a], corner[b]) for a, b in others)
 
 
+def test_tables_hold_pairs_of_images_at_every_width():
+    """Original and edited copy by themselves, without a chain of other edits between them: the share of copies that become candidates
+    holds as keys widen."""
+    rng = np.random.default_rng(11)
+    pictures = [mc.render(rng.random(8), coarse=n % 2 == 1) for n in range(40)]
+    corners = lambda p: mc.corners_of(mc.read_pgm(mc.write_pgm(p)))
+    taken = lambda c: (np.array([s << 54 | t << 48 | x << 24 | y for s, t, x, y, _ in c]), np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for *_, b in c]))
+    edits = [lambda p, k: mc.edited(p, k), lambda p, k: _turned(p, 30), lambda p, k: _turned(p, 137), lambda p, k: mc._scaled(p, 0.65)]
+    originals = [taken(corners(p)) for p in pictures]
+    for edit in edits:
+        copied = [taken(corners(edit(p, k))) for k, p in enumerate(pictures)]
+        for width in (19, 23, 30, 40):
+            picks, beside = mc.table_bits(mc.tables_for(width), width)
+            hits = 0
+            for (place, bits), (to, other) in zip(originals, copied):
+                near = np.bitwise_count(mc.packed(bits, beside)[:, None] ^ mc.packed(other, beside)) <= mc.NEAR
+                met = [np.nonzero(near & (mc.packed(bits, pick)[:, None] == mc.packed(other, pick))) for pick in picks]
+                i, j = (np.concatenate([m[side] for m in met]) for side in (0, 1))
+                hits += len(i) >= 2 and mc.agreeing(place[i], to[j], 2)
+            assert hits >= 0.9 * len(pictures), (width, hits)
+
+
 def test_a_shared_patch_makes_few_pairs(spark):
     """All images hold one logo; each key of it has every image, and pairs stay in proportion to rows."""
     rng = np.random.default_rng(6)
@@ -174,8 +197,8 @@ def test_first_and_last_near_rows():
     owner = np.concatenate([np.sort(rng.integers(0, max(2, s // 2), s)) for s in sizes])
     check = rng.integers(0, 2**62, 3)[rng.integers(0, 3, sum(sizes))] ^ (1 << rng.integers(0, 40, sum(sizes)))
     first, last = mc.paired(starts, check, owner)
-    for held in (3, 50):
-        assert all((a == b).all() for a, b in zip(mc.paired(starts, check, owner, held), (first, last)))
+    for held, tile in ((3, 1024), (50, 1024), (50, 64), (3, 7)):
+        assert all((a == b).all() for a, b in zip(mc.paired(starts, check, owner, held, tile), (first, last)))
     for x in range(len(check)):
         near = [y for y in range(starts[x], x) if owner[y] != owner[x] and (int(check[x]) ^ int(check[y])).bit_count() <= mc.NEAR]
         assert (first[x], last[x]) == ((near[0], near[-1]) if near else (x, x))
