@@ -1,5 +1,5 @@
-"""Text of documents, by format. Everything here is the standard library; PDF and OCR need native libraries and are
-registered by whoever has them."""
+"""Text of documents, by format. Everything here is the standard library; PDF has its own module and path
+(``readers.extract_all``), and OCR needs native libraries: its pages are an input."""
 
 from __future__ import annotations
 

@@ -53,7 +53,7 @@ def _ingest(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[Dat
     if index.has("processed") and not fresh:
         found = maintenance.not_processed(found, index.read("processed"))
     found = dedup.preferred_copy(found)
-    texts = cut(readers.extract_text(found).drop("content").withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))))
+    texts = cut(readers.extract_all(found).drop("content").withColumn("coverage", tx.text_coverage(F.col("pages_without_text"), F.col("pages_total"))))
     known = index.has("chunks") and not fresh
     taken = index.read("processed").select("slug").where("slug IS NOT NULL") if known else texts.select(F.lit("").alias("slug")).limit(0)
     slugged = maintenance.unique_slugs(texts.withColumn("slug", tx.safe_slug(F.col("name"))), taken)
