@@ -308,6 +308,10 @@ def remove_from_index(index: Snapshots, titles: Sequence[str], dry_run: bool = F
         tables["processed"] = mark_removed(index.read("processed"), gone)
     if index.has("jobs") and labels:
         tables["jobs"] = retitled(index.read("jobs"), renamed)
+    if index.has("postings"):
+        from .postings import without  # which reads snapshots itself
+
+        tables |= without(index, kept)
     index.commit(tables)
     return report
 

@@ -130,24 +130,32 @@ def fuse(semantic: DataFrame, lexical: DataFrame, key: str, k: int) -> DataFrame
     return one.orderBy(F.desc("rrf"), F.asc_nulls_last("sem_rank"), "lex_rank").limit(k)
 
 
-def search(chunks: DataFrame, text: str, vector: Sequence[float], filters: SearchFilters | None = None, k: int = 8, key: str = "id", vector_column: str = "embedding") -> DataFrame:
+def search(chunks: DataFrame, text: str, vector: Sequence[float], filters: SearchFilters | None = None, k: int = 8, key: str = "id", vector_column: str = "embedding", postings=None) -> DataFrame:
     """Hybrid search over the chunk table: (key, cos, rrf, sem_rank, lex_rank), best first.
 
     Filters hold before ranking. Whether a term is rare, and its idf, follow from the whole collection even when
-    filters narrow what is ranked. The score to show is cos; the order is that of the fusion."""
+    filters narrow what is ranked. The score to show is cos; the order is that of the fusion. With ``postings`` (``postings.Postings`` of
+    the same chunks) terms are looked up there, and texts are read only where an ingredient is asked for."""
     filters = filters or SearchFilters()
-    known = tx.held(chunks, "_folded", folded_text())
+    known = chunks if postings and not filters.ingredients else tx.held(chunks, "_folded", folded_text())
     terms = query_terms(" ".join([text, *filters.ingredients]))
-    allowed = known.where(filters.condition(F.col("_folded")))
-    found = rare_of(known, "_folded", terms)
+    allowed = known.where(filters.condition(F.col("_folded") if known is not chunks else F.lit("")))
+    counts = cut(postings.term_counts(terms)) if postings and terms else None
+    found = rare_of(known, "_folded", terms) if not postings else [r.asDict() for r in rare_terms(counts, postings.n_chunks).collect()] if terms else []
     pool = max(k, fx.FUSION_POOL) if found else k
     semantic = knn(allowed.select(key, vector_column), vector, key, vector_column, pool)
     if not found:
         return semantic.select(key, "cos", (F.lit(1.0) / (F.lit(fx.RRF_K) + F.col("rank"))).alias("rrf"), F.col("rank").alias("sem_rank"), F.lit(None).cast("int").alias("lex_rank")).orderBy("sem_rank").limit(k)
-    score = reduce(Column.__add__, (F.least(tx.count_substring(F.col("_folded"), F.lit(r["term"])), F.lit(fx.MAX_TF)) * F.lit(r["idf"]) for r in found))
+    found.sort(key=lambda r: terms.index(r["term"]))
+    weigh = lambda tf, r: F.least(tf, F.lit(fx.MAX_TF)) * F.lit(r["idf"])
     q = F.array(*(F.lit(float(x)) for x in vector))
-    scored = allowed.withColumn("lex", score).where("lex > 0").select(key, "lex", dot(F.col(vector_column), q).alias("cos"))
-    lexical = ranked(scored, [F.desc("lex"), F.desc("cos"), F.col(key)], fx.FUSION_POOL, "rank")
+    if postings:
+        times = [F.coalesce(F.sum(F.when(F.col("term") == r["term"], F.col("tf"))), F.lit(0)) for r in found]
+        lex = counts.where(F.col("term").isin([r["term"] for r in found])).groupBy(F.col("id").alias(key)).agg(reduce(Column.__add__, map(weigh, times, found)).alias("lex"))
+        scored = allowed.select(key, vector_column).join(lex, key)
+    else:
+        scored = allowed.withColumn("lex", reduce(Column.__add__, (weigh(tx.count_substring(F.col("_folded"), F.lit(r["term"])), r) for r in found))).where("lex > 0")
+    lexical = ranked(scored.select(key, "lex", dot(F.col(vector_column), q).alias("cos")), [F.desc("lex"), F.desc("cos"), F.col(key)], fx.FUSION_POOL, "rank")
     return fuse(semantic, lexical, key, k)
 
 

@@ -15,6 +15,7 @@ from ..functions import fixed as fx
 from ..functions import text as tx
 from ..functions import vectors
 from ..operators import answers, catalog, curate, dedup, jobs, maintenance, memory, retrieval
+from ..operators.postings import Postings
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,6 +520,31 @@ def hybrid_search(spark, d):
     return _hits(retrieval.search(_chunks(spark, d), _question(spark, d), _vector(spark, d), k=8))
 
 
+@query(f"{_SEARCH} SELECT term, df, CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM rare")
+def posting_terms(spark, d):
+    index = Postings.built(_chunks(spark, d))
+    counts = index.term_counts(retrieval.query_terms(_question(spark, d)))
+    return retrieval.rare_terms(counts, index.n_chunks).select("term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+@query(_fused("kind = 'texto'", 20))
+def posting_search(spark, d):
+    chunks = _chunks(spark, d)
+    filters = retrieval.SearchFilters(kind="texto")
+    return _hits(retrieval.search(chunks, _question(spark, d), _vector(spark, d), filters, k=20, postings=Postings.built(chunks)))
+
+
+#: Words of the documents as postings keep them: runs of letters and digits of the folded text.
+@query(
+    f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all({FOLDED}, '[a-z0-9]+')) AS word FROM documents) "
+    "SELECT word, count(DISTINCT doc_id) AS df, count(*) AS total FROM w WHERE length(word) >= 3 GROUP BY word"
+)
+def lexicon(spark, d):
+    index = Postings.built(t(spark, d, "documents", "doc_id", "text"), "doc_id", tx.fold(F.col("text")))
+    first = F.min_by(F.struct("df", "total"), "gram").alias("_s")  # a word's sums stand beside each of its trigrams
+    return index.grams.groupBy("word").agg(first).select("word", "_s.df", "_s.total")
+
+
 @query(_fused("kind = 'texto' AND contains(strip_accents(lower(book)), 'src1')", 8))
 def filtered_search(spark, d):
     filters = retrieval.SearchFilters(kind="texto", book="SRC1")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import catalog, curate, dedup, maintenance
+from ..operators import catalog, curate, dedup, maintenance, postings
 from ..operators.order import cut
 from ..sources import readers
 
@@ -33,8 +33,8 @@ def named(files: DataFrame) -> DataFrame:
 
 def ingest_batch(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[DataFrame, str], DataFrame] = vectors.with_hashed_embedding, fresh: bool = False) -> None:
     """Take in the files of a batch that are new: text, coverage, cleaning and tier, chunks, vectors (``embed`` adds ``embedding``),
-    near copies of indexed books and of earlier ones of the batch, metadata and labels that are not taken. One commit appends ``chunks``, ``books``,
-    ``processed`` and ``jobs``, the outcome of each file:
+    near copies of indexed books and of earlier ones of the batch, metadata and labels that are not taken. One commit appends ``chunks``, their ``postings`` and
+    ``grams``, ``books``, ``processed`` and ``jobs``, the outcome of each file:
 
     added; error (unreadable, with its code); no_text (too many pages without text); discarded (with the curation's reason);
     duplicate (duplicate_content: by neighbours and shared text the book duplicate_of). Errors and files without text are not
@@ -80,7 +80,10 @@ def _ingest(files: DataFrame, index: maintenance.Snapshots, embed: Callable[[Dat
     done = jobs.where(F.col("status").isin("added", "discarded", "duplicate")).select("md5", F.col("book_slug").alias("slug"), "n_chunks", F.col("reason_code").alias("reason"))
     if fresh and index.has("jobs"):
         jobs = index.read("jobs").unionByName(jobs, allowMissingColumns=True)
-    (index.commit if fresh else index.append)({"chunks": chunks, "books": books, "processed": done, "jobs": jobs})
+    chunks = cut(chunks)
+    # an index made before there were postings gets those of all its chunks
+    posted = chunks.unionByName(index.read("chunks"), allowMissingColumns=True) if known and not index.has("postings") else chunks
+    (index.commit if fresh else index.append)({"chunks": chunks, "books": books, "processed": done, "jobs": jobs, **postings.made(posted)})
 
 
 def run(spark: SparkSession, folder: str, index: str, checkpoint: str, available_now: bool = True, on_batch: Callable[[int], None] | None = None):
