@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tracemalloc
 
 import numpy as np
 
+from corpusloom.functions.rows import BLOCK, per_row
 from corpusloom.operators import dedup
 
 
@@ -20,3 +22,11 @@ def test_a_tile_holds_a_strip_of_its_scores():
     tracemalloc.stop()
     assert (found[0] == row).all() and (found[1] == at).all() and np.allclose(found[2], whole[row, at])
     assert peak < whole.nbytes / 6
+
+
+def test_few_rows_are_python_objects_at_once(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 3000, 1, 1)
+    held = per_row(df, [F.col("id")], lambda i: max(map(len, sys._getframe(1).f_locals["columns"])), "n", "int").collect()
+    assert len(held) == 3000 and max(r.n for r in held) <= BLOCK
