@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import sys
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 
@@ -11,6 +13,19 @@ from corpusloom.functions.rows import BLOCK, per_row
 from corpusloom.operators import dedup
 
 
+def most_rows(df) -> int:
+    """The most rows that any step of the plan gave."""
+    df.collect()
+
+    def of(plan) -> int:
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(of, inner)])
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
 def test_a_tile_holds_a_strip_of_its_scores():
     rng = np.random.default_rng(4)
     left, right = rng.normal(size=(1500, 8)), rng.normal(size=(3000, 8))
@@ -30,3 +45,20 @@ def test_few_rows_are_python_objects_at_once(spark):
     df = spark.range(0, 3000, 1, 1)
     held = per_row(df, [F.col("id")], lambda i: max(map(len, sys._getframe(1).f_locals["columns"])), "n", "int").collect()
     assert len(held) == 3000 and max(r.n for r in held) <= BLOCK
+
+
+def test_common_phrases_make_no_pairs(spark):
+    rng = random.Random(6)
+    texts = {n: {f"p{i}" for i in range(3)} | {f"w{rng.randrange(4000)}" for _ in range(rng.choice([4, 30, 60]))} for n in range(200)}
+    for n in range(0, 200, 10):  # what passes
+        texts[n] |= set(sorted(texts[n + 1])[:12])
+    rows = spark.createDataFrame([(n, s) for n, t in texts.items() for s in sorted(t)], "new_id long, shingle string")
+    known = rows.withColumnRenamed("new_id", "known_id")
+    expected = {(a, b): len(x & y) for a, x in texts.items() for b, y in texts.items() if len(x & y) / len(x) >= 0.15}
+    found = dedup.containment(rows, known, "new_id", "known_id", 0.15)
+    assert {(r.new_id, r.known_id): r.n_shared for r in found.collect()} == expected
+    assert all(r.n_new == len(texts[r.new_id]) and r.containment == r.n_shared / r.n_new for r in found.collect())
+    every = dedup.containment(rows, known, "new_id", "known_id")
+    assert {(r.new_id, r.known_id): r.n_shared for r in every.collect()} == {(a, b): n for a, x in texts.items() for b, y in texts.items() if (n := len(x & y))}
+    often = Counter(s for t in texts.values() for s in t)
+    assert most_rows(found) < sum(n * n for n in often.values()) / 2
