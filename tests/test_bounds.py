@@ -86,3 +86,12 @@ def test_words_are_counted_where_they_are_if_ids_are_unique(spark):
         assert found == {"abc": (2, 5 + 2 * (rows is twice)), "xyz": (2, 2 + (rows is twice))}
     plan = postings.word_table(postings.word_counts(once, "id", F.col("text")), True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_words_of_the_garbage_ratio_are_found_once(spark):
+    from corpusloom.functions import text as tx
+
+    texts = ["a b c d e " * 5 + "palavra " * 5, "palavra " * 30, "a b", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.garbage_run_ratio(F.col("text")).alias("r"))
+    assert [r.r for r in df.collect()] == [25 / 30, 0.0, 0.0, 0.0, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
