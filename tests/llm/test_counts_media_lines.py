@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import struct
 
 import numpy as np
 from conftest import assert_same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import decontaminate, line_dedup
@@ -204,6 +206,52 @@ def test_first_and_last_near_rows():
         assert (first[x], last[x]) == ((near[0], near[-1]) if near else (x, x))
 
 
+def test_no_pair_between_first_and_last_is_lost(spark):
+    """Two images whose every common corner other images have too, some before both and some between them, which link to nothing:
+    neither is the first or the last of the other's."""
+    rng = np.random.default_rng(9)
+    bits, places = rng.integers(0, 256, (8, 32), np.uint8), rng.integers(20, 400, (8, 2))
+
+    def corner(some):
+        return np.frombuffer(b"".join(struct.pack("<q", int(places[k, 0]) << 24 | int(places[k, 1])) + bits[k].tobytes() for k in some), "<i4").tolist()
+
+    images = {1: range(4), 2: range(4, 8), 10: range(8), 11: range(4), 12: range(4, 8), 20: range(8), 21: range(4), 22: range(4, 8)}
+    rows = [(i, bytes([i]), corner(some)) for i, some in images.items()]
+    found = spark.createDataFrame(rows, "image_id long, class_key binary, corner array<int>")
+    first = found.select("class_key", F.col("image_id").alias("class_id"))
+    assert {(r.a, r.b) for r in mc.links(found, first, width=14).collect()} == {(10, 20)}
+    plain = mc.hot_keys
+    for classes, part in ((2, 100), (2, 2)):
+        mc.hot_keys = lambda rows, key, **named: plain(rows, key, **(named | {"least": 2, "part": part}))
+        try:
+            assert {(r.a, r.b) for r in mc.links(found, first, width=14, classes=classes).collect()} == {(10, 20)}, (classes, part)
+        finally:
+            mc.hot_keys = plain
+
+
+def test_agreement_of_many_lists():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(0, 6, 400)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    p, q = (rng.integers(0, 2, at[-1]) << 54 | rng.integers(0, 3, at[-1]) << 48 | rng.integers(0, 9, at[-1]) << 24 | rng.integers(0, 9, at[-1]) for _ in range(2))
+    for least in (2, 3):
+        want = [mc.agreeing(p[x:y], q[x:y], least) for x, y in zip(at, at[1:])]
+        assert 0 < sum(want) < 400
+        for held in (1, 50, 1 << 20):
+            assert mc.agreed(at, p, q, least, held).tolist() == want
+
+
+def test_all_near_rows():
+    rng = np.random.default_rng(5)
+    check = rng.integers(0, 2**62, 3)[rng.integers(0, 3, 700)] ^ (1 << rng.integers(0, 40, 700))
+    lo = np.repeat([0, 300, 340], [300, 40, 360])
+    n = np.where(np.arange(700) < 340, np.arange(700) - lo, np.where(np.arange(700) < 500, 0, 160))  # all before; one side with the other
+    want = {(x, y) for x in range(700) for y in range(lo[x], lo[x] + n[x]) if (int(check[x]) ^ int(check[y])).bit_count() <= mc.NEAR}
+    for held, tile in ((1 << 20, 1024), (50, 64), (3, 7), (7, 400)):
+        got = [(int(a), int(b)) for x, y in mc.near_rows(lo, n, check, held, tile) for a, b in zip(x, y)]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_hot_keys_meet_across_their_parts(spark):
     """Keys of very many rows are dealt out; what is first in each part meets the others."""
     from corpusloom.llm import _common
