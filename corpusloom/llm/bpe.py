@@ -29,6 +29,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,6 +271,18 @@ def _codec(shared, mark: str, cache_pieces: int) -> Codec:
     return _codecs[key]
 
 
+def blocks(batch: pa.RecordBatch, text: int, rows: int, size: int = 1 << 20):
+    """The rows of ``batch`` in pieces of at most ``rows`` rows and ``size`` bytes of column ``text``, a longer text alone: what is
+    held of a block's pieces, ids and decoded texts is many times its bytes, and a worker keeps that memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        stop = min(max(stop, at + 1), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 _OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -295,8 +308,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     def run(batches):
         codec = _codec(shared, mark, cache_pieces)
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
+            for part in blocks(batch, batch.num_columns - 1, block):
                 ids, decoded = codec.encode(part.column(part.num_columns - 1).to_pylist())
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n, *(made(x, ids, decoded) for x in outputs)], names=names)
