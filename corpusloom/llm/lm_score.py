@@ -46,7 +46,8 @@ DIM, WIDE = 16, 32
 CONTEXT, SCORED = 8, 24
 WINDOW = CONTEXT + SCORED
 END = b""  # as a word: no word of a text is empty
-BLOCK = 1024  # windows that pass the model together
+BLOCK = 1024  # windows of a training step
+PIECE = 256  # windows that pass the model together: their tables stay in the cache, and no large ones are allotted anew each time
 _CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
 _SEEN = (_CAUSAL == 0).astype(np.float32)
@@ -197,15 +198,25 @@ class Attention:
 
     def hidden(self, x: np.ndarray) -> tuple:
         w = self.w
-        e = w["E"][x] + w["P"]
-        q, k, v = e[:, CONTEXT:] @ w["Q"], e @ w["K"], e @ w["V"]
+        e = w["E"].take(x, 0)
+        e += w["P"]
+        # One product of many rows instead of one for each window.
+        late, flat = np.ascontiguousarray(e[:, CONTEXT:]), e.reshape(-1, DIM)
+        q = (late.reshape(-1, DIM) @ w["Q"]).reshape(late.shape)
+        k, v = (flat @ w["K"]).reshape(e.shape), (flat @ w["V"]).reshape(e.shape)
         a = q @ k.transpose(0, 2, 1)
         a *= DIM**-0.5
-        a += _CAUSAL
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        g = (e[:, CONTEXT:] + a @ v).reshape(-1, DIM)
+        if a.size and max(a.max(), -a.min()) > 60:  # else no exponent can overflow and no sum vanish
+            a += _CAUSAL
+            a -= a.max(2, keepdims=True)
+            np.exp(a, out=a)
+        else:
+            np.exp(a, out=a)
+            a *= _SEEN
+        a *= 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(a.shape[0], SCORED, 1)
+        g = a @ v
+        g += late
+        g = g.reshape(-1, DIM)
         r = np.maximum(g @ w["A"], 0)
         return e, q, k, v, a, g, r, g + r @ w["B"]
 
@@ -306,14 +317,18 @@ class Attention:
         grad["A"] = g.T @ dr
         dg = (dh + dr @ w["A"].T).reshape(len(x), SCORED, DIM)
         da = dg @ v.transpose(0, 2, 1)
-        da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
-        da *= a
+        da *= a  # then a * (da - sum(da * a)) is this less a times its sum
+        da -= a * (da.reshape(-1, WINDOW) @ np.ones(WINDOW, da.dtype)).reshape(a.shape[0], SCORED, 1)
         da *= DIM**-0.5
         dv, dq, dk = a.transpose(0, 2, 1) @ dg, da @ k, da.transpose(0, 2, 1) @ q
         flat, late = e.reshape(-1, DIM), e[:, CONTEXT:].reshape(-1, DIM)
-        grad["Q"], grad["K"], grad["V"] = late.T @ dq.reshape(-1, DIM), flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-        de = dk @ w["K"].T + dv @ w["V"].T
-        de[:, CONTEXT:] += dg + dq @ w["Q"].T
+        dq, dk, dv = dq.reshape(-1, DIM), dk.reshape(-1, DIM), dv.reshape(-1, DIM)
+        grad["Q"], grad["K"], grad["V"] = late.T @ dq, flat.T @ dk, flat.T @ dv
+        de = dk @ w["K"].T
+        de += dv @ w["V"].T
+        de = de.reshape(e.shape)
+        dg += (dq @ w["Q"].T).reshape(dg.shape)
+        de[:, CONTEXT:] += dg
         grad["P"] = de.sum(0)
         at = x.ravel()
         by = np.argsort(at.astype(np.int16 if REST < 1 << 15 else np.int32), kind="stable")
@@ -343,8 +358,20 @@ class Trainer:
         self.m, self.v, self.mean = ({k: np.zeros_like(w) for k, w in model.w.items()} for _ in range(3))
         self.losses: list[float] = []
 
+    def whole(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss and its gradient over all windows, added up over pieces of them."""
+        loss, grad, n = 0.0, {}, np.float32(max(np.count_nonzero(y != PAD), 1))
+        for at in range(0, len(x), PIECE):
+            own = np.float32(np.count_nonzero(y[at : at + PIECE] != PAD)) / n
+            part, made = self.model.gradient(x[at : at + PIECE], y[at : at + PIECE], self.bias)
+            loss += part * float(own)
+            for k, g in made.items():
+                g *= own
+                grad[k] = g if k not in grad else np.add(grad[k], g, out=grad[k])
+        return loss, grad
+
     def step(self, x: np.ndarray, y: np.ndarray, share: float = 1.0) -> None:
-        loss, grad = self.model.gradient(x, y, self.bias)
+        loss, grad = self.whole(x, y)
         self.losses.append(loss)
         self.steps += 1
         now = self.rate * share * min(1, self.steps / 50)
@@ -513,9 +540,9 @@ class Scorer:
         per_word = np.add.reduceat(self.alone[flat], starts[:-1])
         total = np.bincount(owner, weights=per_word[words], minlength=len(docs))
         x, y, of = windows(known)
-        for at in range(0, len(x), BLOCK):
-            found = self.model.log_probabilities(x[at : at + BLOCK], y[at : at + BLOCK], self.bias)
-            total += np.bincount(of[at : at + BLOCK], weights=found.sum(1, dtype=np.float64), minlength=len(docs))
+        for at in range(0, len(x), PIECE):
+            found = self.model.log_probabilities(x[at : at + PIECE], y[at : at + PIECE], self.bias)
+            total += np.bincount(of[at : at + PIECE], weights=found.sum(1, dtype=np.float64), minlength=len(docs))
         return total / np.log(10), base, owner[rare], words[rare]
 
 

@@ -1,8 +1,10 @@
 """What a worker holds at once, and how many files a round of small tables makes."""
 
+import numpy as np
 import pyarrow as pa
 
 from corpusloom.llm import bpe, components
+from corpusloom.llm import lm_score as lm
 
 
 def test_blocks_are_bounded_by_bytes():
@@ -55,3 +57,29 @@ def test_rounds_of_few_links_write_few_files(spark, monkeypatch):
         for k, v in was.items():
             spark.conf.set(k, v)
     assert len(found) > 2 and all(n == 1 for name, n in found if name == "stars")
+
+
+def test_a_training_step_in_pieces_is_the_step_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    bias = lm.Bias(rng.integers(0, 9, (lm.REST + 1, lm.REST + 1)).astype(np.float32))
+    x, y, _ = lm.windows([rng.integers(0, lm.REST + 1, n) for n in (5, 700, 24, 9000, 1)])
+    model, most = lm.Attention(), []
+    loss, grad = model.gradient(x, y, bias)
+    gradient = lm.Attention.gradient
+    monkeypatch.setattr(lm.Attention, "gradient", lambda self, x, *more: most.append(len(x)) or gradient(self, x, *more))
+    trainer = lm.Trainer(model, bias, 0.002)
+    trainer.step(x, y)
+    assert sum(most) == len(x) > lm.PIECE >= max(most)
+    assert np.isclose(trainer.losses[0], loss, rtol=1e-5)
+    for k, g in grad.items():
+        assert np.allclose(trainer.m[k] / 0.1, g, rtol=1e-3, atol=1e-6), k
+
+
+def test_attention_of_large_weights_stays_finite():
+    rng = np.random.default_rng(2)
+    x, y, _ = lm.windows([rng.integers(0, lm.REST + 1, 300)])
+    model = lm.Attention()
+    for k in ("Q", "K"):
+        model.w[k] *= 100
+    loss, grad = model.gradient(x, y, lm.Bias(np.ones((lm.REST + 1, lm.REST + 1), np.float32)))
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
