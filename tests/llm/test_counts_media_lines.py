@@ -283,3 +283,39 @@ def test_copies_in_another_format(spark):
     picture = mc.render(np.arange(8.0))
     df = spark.createDataFrame([(0, b"X" + mc.write_pgm(picture)), (1, b"X" + mc.write_pgm(picture * 0.6 + 30))], "image_id long, data binary")
     assert {r.component_id for r in mc.copies(df, decode=lambda data: mc.read_pgm(data[1:])).collect()} == {0}
+
+
+def test_first_bits_of_longs_count_as_one():
+    """Rows that differ in the sign bit of a long, of which numpy counts the bits of the absolute value, are one bit apart."""
+    check = np.array([5, 5 ^ -(1 << 63), 7, 7 ^ -(1 << 63)], np.int64)
+    starts, n = np.zeros(4, np.int64), np.arange(4)
+    every = {(x, y) for x in range(4) for y in range(x)}
+    for tile in (1024, 7):
+        assert {(int(a), int(b)) for x, y in mc.near_rows(starts, n, check, tile=tile) for a, b in zip(x, y)} == every
+        words = np.stack([check, check, check])
+        assert {(int(a), int(b)) for x, y in mc.near_rows(starts, n, check, tile=tile, words=words, max_bits=4) for a, b in zip(x, y)} == {(1, 0), (2, 0), (3, 1), (3, 2)}
+        first, last = mc.paired(starts, check, np.arange(4), tile=tile)
+        assert first.tolist() == [0, 0, 0, 0] and last.tolist() == [0, 0, 1, 2]
+
+
+def test_rows_travel_in_blobs():
+    rng = np.random.default_rng(3)
+    a, b, bucket = rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(0, 2**63 - 1, (500, 2)), rng.integers(0, 9, 500)
+    made = mc._dealt(bucket, [a, b])
+    for k, blob in zip(made.column(0).to_pylist(), made.column(1).to_pylist()):
+        x, y, z = mc._columns([blob, blob], 3)
+        of = bucket == k
+        assert (x == np.tile(a[of], 2)).all() and (np.stack([y, z], 1) == np.tile(b[of], (2, 1))).all()
+    assert mc._dealt(bucket[:0], [a[:0], b[:0]]).num_rows == 0
+
+
+def test_pairs_are_compared_in_blocks_or_one_by_one(spark):
+    pictures = [mc.render(np.arange(8.0) + n) for n in range(3)]
+    rows = [(k, mc.write_pgm(pictures[k % 3] * (0.6 + 0.02 * k) + 10)) for k in range(12)]
+    points = mc.features(spark.createDataFrame(rows, "image_id long, data binary")).select("image_id", "corner").cache()
+    every = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)], "a long, b long")
+    want = {(a, b) for a in range(12) for b in range(a + 1, 12) if (b - a) % 3 == 0}
+    for blocks in (1, 3):
+        assert {(r.a, r.b) for r in mc._verified_in_blocks(every, points, "bigint", 40, 7, blocks).collect()} == want
+    assert {(r.a, r.b) for r in mc._verified(every, points, "bigint", 40, 7).collect()} == want
+    assert {(r.a, r.b) for r in mc._verified(every.where("a = 0 AND b > 8"), points, "bigint", 40, 7).collect()} == {(0, 9)}
